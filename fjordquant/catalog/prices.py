@@ -13,24 +13,24 @@ from fjordquant.plans.domain_sql import define, with_
 
 
 @query("daily_bars", "SRC-1 SRC-4 SRC-20", with_("bars", """
-SELECT symbol, time, round(open, 9) AS open, round(high, 9) AS high, round(low, 9) AS low,
-       round(close, 9) AS close, volume FROM bars"""))
+SELECT symbol, time, open AS open, high AS high, low AS low,
+       close AS close, volume FROM bars"""))
 def daily_bars(spark, d):
-    return rounded(D.bars(spark, d), {c: 9 for c in ("open", "high", "low", "close")})
+    return D.bars(spark, d)
 
 
 @query("bar_slice", "SRC-1 SRC-18 SRC-21", with_("bars", """
-SELECT symbol, time, round(close, 9) AS close, volume FROM bars
+SELECT symbol, time, close AS close, volume FROM bars
 WHERE symbol IN (1, 2, 5) AND time BETWEEN DATE '1998-01-01' AND DATE '1999-12-31'"""))
 def bar_slice(spark, d):
     df = D.bars(spark, d).where(
         F.col("symbol").isin(1, 2, 5) & F.col("time").between("1998-01-01", "1999-12-31")
     )
-    return rounded(df.select("symbol", "time", "close", "volume"), {"close": 9})
+    return df.select("symbol", "time", "close", "volume")
 
 
 @query("recent_bars_with_index", "SRC-21", with_("bars benchmark_index", """
-SELECT b.symbol, b.time, round(b.close, 9) AS close, round(x.close, 4) AS index_close
+SELECT b.symbol, b.time, b.close AS close, round(x.close, 4) AS index_close
 FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS rn FROM bars) b
 JOIN benchmark_index x USING (time) WHERE rn <= 60"""))
 def recent_bars_with_index(spark, d):
@@ -43,7 +43,7 @@ def recent_bars_with_index(spark, d):
     index = D.benchmark(bars).select("time", F.col("close").alias("index_close"))
     return rounded(
         recent.join(index, "time").select("symbol", "time", "close", "index_close"),
-        {"close": 9, "index_close": 4},
+        {"index_close": 4},
     )
 
 
@@ -55,8 +55,8 @@ WITH raw AS (
          l_orderkey * 10 + l_linenumber + l_extendedprice / l_quantity / 1e7 AS k FROM lineitem),
 ok AS (SELECT upper(trim(ticker)) AS symbol, CAST(strptime(CAST(d AS VARCHAR), '%Y%m%d') AS DATE) AS time, o, h, l, c, v,
          row_number() OVER (PARTITION BY ticker, d ORDER BY k DESC) AS rn FROM raw WHERE c > 0 AND v >= 0)
-SELECT symbol, time, round(o, 9) AS open, round(greatest(h, o, c), 9) AS high, round(least(l, o, c), 9) AS low,
-       round(c, 9) AS close, v AS volume FROM ok WHERE rn = 1""")
+SELECT symbol, time, o AS open, greatest(h, o, c) AS high, least(l, o, c) AS low,
+       c AS close, v AS volume FROM ok WHERE rn = 1""")
 def clean_vendor_bars(spark, d):
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     raw = D.table(spark, d, "lineitem").select(
@@ -70,7 +70,7 @@ def clean_vendor_bars(spark, d):
         F.col("l_quantity").alias("<Volume>"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber") + unit / 1e7).alias("ordinal"),
     )
-    return rounded(C.clean_bars(raw, "ordinal"), {c: 9 for c in ("open", "high", "low", "close")})
+    return C.clean_bars(raw, "ordinal")
 
 
 @query("session_flags", "CLN-4 CLS-3", with_("numbered securities", """
@@ -89,7 +89,7 @@ def session_flags(spark, d):
 
 
 @query("tradable_symbols", "FLT-1", with_("bars", """
-SELECT symbol, n_bars, last_time, round(last_close, 9) AS last_close, round(avg_volume, 4) AS avg_volume
+SELECT symbol, n_bars, last_time, last_close AS last_close, round(avg_volume, 4) AS avg_volume
 FROM (SELECT symbol, count(*) AS n_bars, max(time) AS last_time, max_by(close, time) AS last_close,
              avg(CASE WHEN rn <= 20 THEN volume END) AS avg_volume
       FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS rn FROM bars) GROUP BY symbol)
@@ -98,7 +98,7 @@ WHERE n_bars >= 250 AND last_time >= (SELECT max(time) FROM bars) - 14
 def tradable_symbols(spark, d):
     return rounded(
         C.tradable_symbols(D.bars(spark, d), min_volume=25_000.0),
-        {"last_close": 9, "avg_volume": 4},
+        {"avg_volume": 4},
     )
 
 
@@ -124,12 +124,12 @@ FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY time)""", ("bars",))
 
 
 @query("session_panel", "WIN-13", with_("panel", """
-SELECT symbol, time, round(price, 9) AS price, n_sessions, round(change_1d, 8) AS change_1d,
+SELECT symbol, time, price AS price, n_sessions, round(change_1d, 8) AS change_1d,
        round(ret_1m, 8) AS ret_1m, round(ret_3m, 8) AS ret_3m, round(ret_1y, 8) AS ret_1y,
        round(avg_value_20d, 1) AS avg_value_20d FROM panel"""))
 def session_panel(spark, d):
     return rounded(I.session_panel(D.bars(spark, d)), {
-        "price": 9, "change_1d": 8, "ret_1m": 8, "ret_3m": 8, "ret_1y": 8, "avg_value_20d": 1,
+        "change_1d": 8, "ret_1m": 8, "ret_3m": 8, "ret_1y": 8, "avg_value_20d": 1,
     })
 
 
@@ -146,14 +146,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS rn
 
 
 @query("price_metrics", "AGG-5", with_("price_metrics", """
-SELECT symbol, as_of_price, round(price, 9) AS price, n_sessions, round(change_1d, 8) AS change_1d, round(ret_1m, 8) AS ret_1m,
+SELECT symbol, as_of_price, price AS price, n_sessions, round(change_1d, 8) AS change_1d, round(ret_1m, 8) AS ret_1m,
        round(ret_3m, 8) AS ret_3m, round(ret_1y, 8) AS ret_1y, round(ret_ytd, 8) AS ret_ytd,
        round(avg_value_20d, 1) AS avg_value_20d FROM price_metrics"""))
 def price_metrics(spark, d):
     from fjordquant.operators.universe import price_metrics as op
 
     return rounded(op(D.bars(spark, d)), {
-        "price": 9, "change_1d": 8, "ret_1m": 8, "ret_3m": 8, "ret_1y": 8, "ret_ytd": 8,
+        "change_1d": 8, "ret_1m": 8, "ret_3m": 8, "ret_1y": 8, "ret_ytd": 8,
         "avg_value_20d": 1,
     })
 
@@ -161,19 +161,19 @@ def price_metrics(spark, d):
 @query("calendar_returns", "WIN-14", with_("bars", """
 WITH l AS (SELECT symbol, max(time) AS t, max_by(close, time) AS c FROM bars GROUP BY symbol),
 r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS rn FROM bars)
-SELECT l.symbol, l.t AS last_date, round(l.c, 9) AS close,
+SELECT l.symbol, l.t AS last_date, l.c AS close,
   round(l.c / max_by(b.close, b.time) FILTER (b.time <= l.t - 30) - 1, 8) AS ret_1m,
   round(l.c / max_by(b.close, b.time) FILTER (b.time <= l.t - 91) - 1, 8) AS ret_3m,
   round(l.c / max_by(b.close, b.time) FILTER (b.time <= l.t - 182) - 1, 8) AS ret_6m,
   round(l.c / max_by(b.close, b.time) FILTER (b.time <= l.t - 365) - 1, 8) AS ret_1y,
-  round(max(b.close) FILTER (b.time > l.t - 365), 9) AS high_52w, round(min(b.close) FILTER (b.time > l.t - 365), 9) AS low_52w,
+  max(b.close) FILTER (b.time > l.t - 365) AS high_52w, min(b.close) FILTER (b.time > l.t - 365) AS low_52w,
   round(avg(b.volume) FILTER (rn <= 20), 4) AS avg_volume_20d,
   round(avg(b.close * b.volume) FILTER (rn <= 20), 1) AS avg_value_20d
 FROM l JOIN r b USING (symbol) GROUP BY l.symbol, l.t, l.c"""))
 def calendar_returns(spark, d):
     return rounded(I.calendar_returns(D.bars(spark, d)), {
-        "close": 9, "ret_1m": 8, "ret_3m": 8, "ret_6m": 8, "ret_1y": 8, "high_52w": 9,
-        "low_52w": 9, "avg_volume_20d": 4, "avg_value_20d": 1,
+        "ret_1m": 8, "ret_3m": 8, "ret_6m": 8, "ret_1y": 8, 
+        "avg_volume_20d": 4, "avg_value_20d": 1,
     })
 
 

@@ -79,20 +79,20 @@ LINES = ["tenkan", "kijun", "senkou_a", "senkou_b", "base_a", "base_b", "chikou"
 
 
 @query("ichimoku_lines", "WIN-9", with_("cloud", "SELECT symbol, time, "
-       + ", ".join(f"round({c}, 9) AS {c}" for c in LINES) + " FROM cloud"))
+       + ", ".join(f"{c}" for c in LINES) + " FROM cloud"))
 def ichimoku_lines(spark, d):
     df = I.ichimoku(I.with_position(D.bars(spark, d)))
-    return rounded(df.select("symbol", "time", *LINES), {c: 9 for c in LINES})
+    return df.select("symbol", "time", *LINES)
 
 
 @query("ichimoku_five_day_week", "WIN-9", with_("numbered", """
-SELECT symbol, time, round(CASE WHEN i >= 6 THEN (max(high) OVER w7 + min(low) OVER w7) / 2 END, 9) AS tenkan,
-       round(CASE WHEN i >= 21 THEN (max(high) OVER w22 + min(low) OVER w22) / 2 END, 9) AS kijun
+SELECT symbol, time, CASE WHEN i >= 6 THEN (max(high) OVER w7 + min(low) OVER w7) / 2 END AS tenkan,
+       CASE WHEN i >= 21 THEN (max(high) OVER w22 + min(low) OVER w22) / 2 END AS kijun
 FROM numbered WINDOW w7 AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
   w22 AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 21 PRECEDING AND CURRENT ROW)"""))
 def ichimoku_five_day_week(spark, d):
     df = I.ichimoku(I.with_position(D.bars(spark, d)), "five_day_week")
-    return rounded(df.select("symbol", "time", "tenkan", "kijun"), {"tenkan": 9, "kijun": 9})
+    return df.select("symbol", "time", "tenkan", "kijun")
 
 
 define("swings", """
@@ -105,11 +105,11 @@ FROM (SELECT *, count(close) OVER a AS cc, max(close) OVER a AS mx, min(close) O
 
 
 @query("swing_points", "WIN-11", with_("swings",
-       "SELECT symbol, time, round(close, 9) AS close, price_swing FROM swings WHERE price_swing IS NOT NULL"))
+       "SELECT symbol, time, close, price_swing FROM swings WHERE price_swing IS NOT NULL"))
 def swing_points(spark, d):
     df = I.with_position(D.bars(spark, d)).withColumn("price_swing", I.swing("close"))
-    return rounded(df.where(F.col("price_swing").isNotNull())
-                   .select("symbol", "time", "close", "price_swing"), {"close": 9})
+    return df.where(F.col("price_swing").isNotNull()).select(
+        "symbol", "time", "close", "price_swing")
 
 
 # the check looks at the last bar of each symbol only
@@ -202,18 +202,18 @@ SELECT *, coalesce(zone = 'duoi_may', false) AS vetoed,
   CASE WHEN senkou_a > close AND senkou_b > close THEN least(senkou_a, senkou_b) WHEN senkou_a > close THEN senkou_a WHEN senkou_b > close THEN senkou_b END AS resistance
 FROM tech_scores""", ("tech_scores",))
 
-ACT_NUM = {"score_macd": 5, "score_rsi": 5, "score_ichimoku": 5, "total_score": 5, "close": 9, "entry_high": 4,
-           "stop_loss": 6, "target": 4, "resistance": 9, "risk_reward": 5}
+ACT_NUM = {"score_macd": 5, "score_rsi": 5, "score_ichimoku": 5, "total_score": 5, "entry_high": 4,
+           "stop_loss": 6, "target": 4, "risk_reward": 5}
 
 
 @query("technical_recommendation", "TEC-1 TEC-2", with_("tech_actions", """
 SELECT symbol, action, confidence, vetoed, divergence, round(score_macd, 5) AS score_macd, round(score_rsi, 5) AS score_rsi,
-  round(score_ichimoku, 5) AS score_ichimoku, round(total_score, 5) AS total_score, round(close, 9) AS close, round(entry_high, 4) AS entry_high,
-  round(stop_loss, 6) AS stop_loss, round(target, 4) AS target, round(resistance, 9) AS resistance,
+  round(score_ichimoku, 5) AS score_ichimoku, round(total_score, 5) AS total_score, close, round(entry_high, 4) AS entry_high,
+  round(stop_loss, 6) AS stop_loss, round(target, 4) AS target, resistance,
   round(CASE WHEN close > stop_loss THEN (target - close) / (close - stop_loss) END, 5) AS risk_reward FROM tech_actions"""))
 def technical_recommendation(spark, d):
     df = T.recommendations(D.bars(spark, d))
-    return rounded(df.select("symbol", "action", "confidence", "vetoed", "divergence", *ACT_NUM), ACT_NUM)
+    return rounded(df.select("symbol", "action", "confidence", "vetoed", "divergence", "close", "resistance", *ACT_NUM), ACT_NUM)
 
 
 @query("technical_reasons", "TEC-3", with_("state2", """
