@@ -93,3 +93,24 @@ def with_share_at_most(
         ).alias(name),
     )
     return df.join(shares, [*keys, value], "left")
+
+
+def grouped_order_stats(df: DataFrame, keys: list[str], value: str,
+                        positions: dict[str, Column]) -> DataFrame:
+    """Values at given 0-based positions of each group's sorted values.
+
+    A position is a column over ``_total`` (the group's value count).
+    """
+    ranked = value_counts(df, keys, value)
+    hi = F.col("_below") + F.col("_n")
+    return ranked.groupBy(*keys).agg(F.max("_total").alias("n_values"), *[
+        F.max(F.when((F.col("_below") <= p) & (p < hi), F.col("_v"))).alias(name)
+        for name, p in positions.items()])
+
+
+def array_quantile(values: Column, p: float) -> Column:
+    """Interpolated quantile of a short array without nulls."""
+    s = F.array_sort(values)
+    pos = (F.size(values) - 1) * F.lit(p)
+    lo, hi = F.floor(pos).cast("int"), F.ceil(pos).cast("int")
+    return F.when(F.size(values) > 0, F.get(s, lo) + (F.get(s, hi) - F.get(s, lo)) * (pos - lo))
