@@ -47,14 +47,6 @@ def market_universe(spark, d):
     return rounded(now_universe(spark, d).select(*U_TXT, *U_DIG), U_DIG)
 
 
-@query("eligible_universe", "FLT-2", with_("now_u", """
-SELECT symbol, n_sessions, round(avg_value_20d, 1) AS avg_value_20d FROM now_u
-WHERE n_sessions >= 120 AND avg_value_20d >= 5e9 AND has_bctc AND traded_today"""))
-def eligible_universe(spark, d):
-    return rounded(C.eligible_universe(now_universe(spark, d)).select(
-        "symbol", "n_sessions", "avg_value_20d"), {"avg_value_20d": 1})
-
-
 @query("clean_multiples", "FLT-7", with_("now_u", """
 SELECT symbol, round(CASE WHEN pe > 0 AND pe <= 100 THEN pe END, 6) AS pe, round(CASE WHEN pb > 0 AND pb <= 20 THEN pb END, 8) AS pb,
   round(CASE WHEN ev_ebitda > 0 AND ev_ebitda <= 50 THEN ev_ebitda END, 6) AS ev_ebitda,

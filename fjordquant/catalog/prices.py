@@ -177,7 +177,7 @@ def calendar_returns(spark, d):
     })
 
 
-define("beta", """
+define("betas", """
 WITH wk AS (SELECT symbol, CAST(time + CAST((5 - isodow(time) + 7) % 7 AS INTEGER) AS DATE) AS week, max_by(close, time) AS c FROM bars GROUP BY 1, 2),
 bw AS (SELECT CAST(time + CAST((5 - isodow(time) + 7) % 7 AS INTEGER) AS DATE) AS week, max_by(close, time) AS c FROM benchmark_index GROUP BY 1),
 allw AS (SELECT DISTINCT CAST(unnest(generate_series((SELECT min(week) FROM bw), (SELECT max(week) FROM bw), INTERVAL 7 DAY)) AS DATE) AS week),
@@ -187,11 +187,10 @@ sf AS (SELECT symbol, allw.week, last_value(c IGNORE NULLS) OVER (PARTITION BY s
 bf AS (SELECT week, last_value(c IGNORE NULLS) OVER (ORDER BY week) AS c FROM allw LEFT JOIN bw USING (week)),
 sr AS (SELECT symbol, week, c / lag(c) OVER (PARTITION BY symbol ORDER BY week) - 1 AS r FROM sf),
 br AS (SELECT week, c / lag(c) OVER (ORDER BY week) - 1 AS rb FROM bf),
-j AS (SELECT symbol, r, rb, row_number() OVER (PARTITION BY symbol ORDER BY week DESC) AS rn
-      FROM sr JOIN br USING (week) WHERE r IS NOT NULL AND rb IS NOT NULL)
-SELECT symbol, count(*) AS n_weeks,
-       CASE WHEN count(*) >= 26 AND var_samp(rb) > 0 THEN covar_samp(r, rb) / var_samp(rb) END AS beta
-FROM j WHERE rn <= 104 GROUP BY symbol""", ("bars", "benchmark_index"))
+j AS (SELECT symbol, week, r, rb FROM sr JOIN br USING (week) WHERE r IS NOT NULL AND rb IS NOT NULL)
+SELECT symbol, week, count(*) OVER w AS n_weeks, CASE WHEN count(*) OVER w >= 26 AND var_samp(rb) OVER w > 0 THEN covar_samp(r, rb) OVER w / var_samp(rb) OVER w END AS beta
+FROM j WINDOW w AS (PARTITION BY symbol ORDER BY week ROWS BETWEEN 103 PRECEDING AND CURRENT ROW)""", ("bars", "benchmark_index"))
+define("beta", "SELECT * FROM betas QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY week DESC) = 1", ("betas",))
 
 
 @query("weekly_beta", "JN-12", with_("beta", "SELECT symbol, n_weeks, round(beta, 7) AS beta FROM beta"))

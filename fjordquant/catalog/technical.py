@@ -11,6 +11,22 @@ from fjordquant.operators import technical as T
 from fjordquant.plans import domain as D
 from fjordquant.plans.domain_sql import define, with_
 
+TECH_SCORES = """
+WITH a AS (SELECT *,
+  CASE WHEN above_zero IS NULL THEN 0e0 ELSE least(greatest(CASE WHEN above_zero THEN 35e0 ELSE -35e0 END
+    + coalesce(CASE WHEN macd_cross = 'golden' THEN CASE WHEN above_zero THEN 45e0 ELSE 30e0 END WHEN macd_cross = 'death' THEN CASE WHEN above_zero THEN -30e0 ELSE -45e0 END END
+        * greatest(0e0, 1 - macd_bars / 20e0), 0) + coalesce(least(greatest(hist_slope * 200, -15), 15), 0), -100), 100) END AS score_macd,
+  CASE WHEN rsi IS NULL THEN 0e0 ELSE least(greatest((rsi - 50) / 50 * 100 * CASE WHEN rsi_zone = 'trung_tinh' THEN 1e0 ELSE 0.85e0 END
+    + coalesce(least(greatest(rsi_slope * 10, -15), 15), 0), -100), 100) END AS score_rsi,
+  (CASE zone WHEN 'tren_may' THEN 40e0 WHEN 'duoi_may' THEN -40e0 ELSE 0e0 END
+    + coalesce(CASE WHEN tk_cross = 'golden' THEN 1e0 WHEN tk_cross = 'death' THEN -1e0 END * CASE tk_strength WHEN 'manh' THEN 45e0 WHEN 'trung_tinh' THEN 25e0 ELSE 10e0 END
+        * greatest(0e0, 1 - tk_bars / 20e0), 0)
+    + CASE WHEN chikou_free THEN 10e0 WHEN NOT chikou_free THEN -10e0 ELSE 0e0 END) * CASE WHEN twist THEN 0.85e0 ELSE 1e0 END AS ic
+  FROM state2),
+b AS (SELECT *, CASE WHEN zone IS NULL THEN 0e0 ELSE least(greatest(ic + CASE WHEN ic >= 0 THEN 1 ELSE -1 END * coalesce(least(greatest(thickness, 0), 1) * 10, 0), -100), 100) END AS score_ichimoku FROM a)
+SELECT *, least(greatest(0.30e0 * score_macd + 0.25e0 * score_rsi + 0.45e0 * score_ichimoku
+          - CASE WHEN divergence = 'bearish' THEN 25e0 ELSE 0e0 END, -100), 100) AS total_score FROM b"""
+
 # the check engine computes the smoothed columns by stepping bar by bar
 define("smoothed", """
 WITH RECURSIVE t AS MATERIALIZED (
@@ -112,23 +128,31 @@ def swing_points(spark, d):
         "symbol", "time", "close", "price_swing")
 
 
-# the check looks at the last bar of each symbol only
-define("last_swings", """
-SELECT s.symbol, s.i, s.close, s.hist, s.price_swing, s.hist_swing FROM swings s
-JOIN (SELECT symbol, max(i) AS li FROM numbered GROUP BY symbol) USING (symbol) WHERE s.i BETWEEN li - 54 AND li - 5""", ("swings", "numbered"))
-define("divergence", """
-WITH p AS (SELECT symbol, price_swing AS side, i, close AS v, row_number() OVER (PARTITION BY symbol, price_swing ORDER BY i DESC) AS rn
-           FROM last_swings WHERE price_swing IS NOT NULL),
-o AS (SELECT p.symbol, p.side, p.rn, p.v, (SELECT h.hist FROM last_swings h WHERE h.symbol = p.symbol AND h.hist_swing = p.side
-         AND abs(h.i - p.i) <= 10 ORDER BY abs(h.i - p.i), h.i LIMIT 1) AS ov FROM p WHERE rn <= 2),
-q AS (SELECT symbol, max(CASE WHEN side = 'L' AND rn = 2 THEN v END) AS l1, max(CASE WHEN side = 'L' AND rn = 1 THEN v END) AS l2,
+define("last_tb", "SELECT symbol, max(i) AS li FROM numbered GROUP BY symbol", ("numbered",))
+
+
+def divergence_sql(p: str) -> None:
+    """Divergence at the target bars ``<p>_tb(symbol, li)``."""
+    define(f"{p}_sw", f"""
+SELECT s.symbol, t.li, s.i, s.close, s.hist, s.price_swing, s.hist_swing FROM swings s JOIN {p}_tb t ON s.symbol = t.symbol AND s.i BETWEEN t.li - 54 AND t.li - 5
+WHERE s.price_swing IS NOT NULL OR s.hist_swing IS NOT NULL""", ("swings", f"{p}_tb"))
+    define(f"{p}_div", f"""
+WITH p AS (SELECT symbol, li, price_swing AS side, i, close AS v, row_number() OVER (PARTITION BY symbol, li, price_swing ORDER BY i DESC) AS rn
+           FROM {p}_sw WHERE price_swing IS NOT NULL),
+o AS (SELECT p.symbol, p.li, p.side, p.rn, any_value(p.v) AS v, arg_min(h.hist, abs(h.i - p.i) * 1000 + h.i - p.li + 100) AS ov
+      FROM p LEFT JOIN {p}_sw h ON h.symbol = p.symbol AND h.li = p.li AND h.hist_swing = p.side AND abs(h.i - p.i) <= 10 WHERE rn <= 2 GROUP BY 1, 2, 3, 4),
+q AS (SELECT symbol, li, max(CASE WHEN side = 'L' AND rn = 2 THEN v END) AS l1, max(CASE WHEN side = 'L' AND rn = 1 THEN v END) AS l2,
         max(CASE WHEN side = 'H' AND rn = 2 THEN v END) AS h1, max(CASE WHEN side = 'H' AND rn = 1 THEN v END) AS h2,
         max(CASE WHEN side = 'L' AND rn = 2 THEN ov END) AS a, max(CASE WHEN side = 'L' AND rn = 1 THEN ov END) AS b,
-        max(CASE WHEN side = 'H' AND rn = 2 THEN ov END) AS c, max(CASE WHEN side = 'H' AND rn = 1 THEN ov END) AS d FROM o GROUP BY symbol)
-SELECT symbol, CASE WHEN l2 < l1 AND b > a THEN 'bullish' WHEN h2 > h1 AND d < c THEN 'bearish' END AS divergence,
+        max(CASE WHEN side = 'H' AND rn = 2 THEN ov END) AS c, max(CASE WHEN side = 'H' AND rn = 1 THEN ov END) AS d FROM o GROUP BY 1, 2)
+SELECT symbol, li, CASE WHEN l2 < l1 AND b > a THEN 'bullish' WHEN h2 > h1 AND d < c THEN 'bearish' END AS divergence,
        CASE WHEN l2 < l1 AND b > a THEN abs(b - a) / CASE WHEN a = 0 THEN 1 ELSE abs(a) END
             WHEN h2 > h1 AND d < c THEN abs(d - c) / CASE WHEN c = 0 THEN 1 ELSE abs(c) END ELSE 0e0 END AS strength
-FROM (SELECT DISTINCT symbol FROM numbered) LEFT JOIN q USING (symbol)""", ("last_swings", "numbered"))
+FROM {p}_tb LEFT JOIN q USING (symbol, li)""", (f"{p}_sw", f"{p}_tb"))
+
+
+divergence_sql("last")
+define("divergence", "SELECT symbol, divergence, strength FROM last_div", ("last_div",))
 
 
 @query("divergence", "WIN-12", with_("divergence", "SELECT symbol, divergence, round(strength, 6) AS strength FROM divergence"))
@@ -138,7 +162,7 @@ def divergence(spark, d):
                    {"strength": 6})
 
 
-define("state", """
+define("state_all", """
 WITH z AS (SELECT *, CASE WHEN senkou_a IS NULL OR senkou_b IS NULL THEN NULL WHEN close > greatest(senkou_a, senkou_b) THEN 'tren_may'
                  WHEN close < least(senkou_a, senkou_b) THEN 'duoi_may' ELSE 'trong_may' END AS zone,
              sign(macd - signal) AS sm, sign(tenkan - kijun) AS st, sign(base_a - base_b) AS sb FROM cloud),
@@ -148,27 +172,39 @@ c AS (SELECT *, CASE WHEN sm <> lag(sm) OVER w THEN i END AS cm, CASE WHEN st <>
              CASE WHEN count(hist) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 THEN regr_slope(hist, i) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS hist_slope,
              CASE WHEN count(rsi) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5 THEN regr_slope(rsi, i) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS rsi_slope
       FROM z WINDOW w AS (PARTITION BY symbol ORDER BY i)),
-g AS (SELECT symbol, max(i) AS li, max(cm) AS cm, max_by(sm, cm) AS sm, max(ct) AS ct, max_by(st, ct) AS st, max(cb) AS cb, max(cz) AS cz,
-             count(zone) AS nz FROM c GROUP BY symbol)
-SELECT c.symbol, c.time, c.i, c.close, c.atr, c.kijun, c.senkou_a, c.senkou_b, c.macd, c.signal, c.hist, c.rsi, c.volume_ratio, c.hist_slope, c.rsi_slope,
-  c.macd > 0 AS above_zero, CASE WHEN g.cm IS NULL THEN NULL WHEN g.sm > 0 THEN 'golden' ELSE 'death' END AS macd_cross, li - g.cm AS macd_bars,
-  CASE WHEN c.rsi IS NOT NULL THEN coalesce(c.upper, 85e0) END AS upper, CASE WHEN c.rsi IS NOT NULL THEN coalesce(c.lower, 15e0) END AS lower,
-  c.zone, CASE WHEN g.ct IS NULL OR c.zone IS NULL THEN NULL WHEN g.st > 0 THEN 'golden' ELSE 'death' END AS tk_cross,
-  CASE WHEN c.zone IS NOT NULL THEN li - g.ct END AS tk_bars,
-  CASE WHEN c.zone IS NOT NULL THEN coalesce(g.cb - 1 >= li - 25, false) END AS twist, CASE WHEN c.zone IS NOT NULL THEN c.close > c26 END AS chikou_free,
-  CASE WHEN c.atr <> 0 THEN abs(c.senkou_a - c.senkou_b) / c.atr END AS thickness,
-  CASE WHEN c.zone <> 'trong_may' AND nz >= 2 THEN li - g.cz END AS break_bars
-FROM c JOIN g ON c.symbol = g.symbol AND c.i = g.li""", ("cloud",))
-define("state2", """
-SELECT *, CASE WHEN rsi IS NULL THEN NULL WHEN rsi > upper THEN 'qua_mua' WHEN rsi < lower THEN 'qua_ban' ELSE 'trung_tinh' END AS rsi_zone,
+g AS (SELECT *, max(cm) OVER u AS lcm, max(ct) OVER u AS lct, max(cb) OVER u AS lcb, max(cz) OVER u AS lcz, count(zone) OVER u AS nz,
+             last_value(CASE WHEN cm IS NOT NULL THEN sm END IGNORE NULLS) OVER u AS lsm, last_value(CASE WHEN ct IS NOT NULL THEN st END IGNORE NULLS) OVER u AS lst
+      FROM c WINDOW u AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT symbol, time, i, close, atr, kijun, senkou_a, senkou_b, macd, signal, hist, rsi, volume_ratio, hist_slope, rsi_slope,
+  macd > 0 AS above_zero, CASE WHEN lcm IS NULL THEN NULL WHEN lsm > 0 THEN 'golden' ELSE 'death' END AS macd_cross, i - lcm AS macd_bars,
+  CASE WHEN rsi IS NOT NULL THEN coalesce(upper, 85e0) END AS upper, CASE WHEN rsi IS NOT NULL THEN coalesce(lower, 15e0) END AS lower,
+  zone, CASE WHEN lct IS NULL OR zone IS NULL THEN NULL WHEN lst > 0 THEN 'golden' ELSE 'death' END AS tk_cross,
+  CASE WHEN zone IS NOT NULL THEN i - lct END AS tk_bars,
+  CASE WHEN zone IS NOT NULL THEN coalesce(lcb - 1 >= i - 25, false) END AS twist, CASE WHEN zone IS NOT NULL THEN close > c26 END AS chikou_free,
+  CASE WHEN atr <> 0 THEN abs(senkou_a - senkou_b) / atr END AS thickness,
+  CASE WHEN zone <> 'trong_may' AND nz >= 2 THEN i - lcz END AS break_bars FROM g""", ("cloud",))
+
+
+def tech_stage(p: str) -> None:
+    """State and scores at the target bars ``<p>_tb``."""
+    if p != "last":
+        divergence_sql(p)
+    define(f"{p}_state2", f"""
+SELECT s.*, divergence, strength, CASE WHEN rsi IS NULL THEN NULL WHEN rsi > upper THEN 'qua_mua' WHEN rsi < lower THEN 'qua_ban' ELSE 'trung_tinh' END AS rsi_zone,
        CASE WHEN tk_cross IS NULL THEN NULL WHEN zone = 'tren_may' THEN 'manh' WHEN zone = 'trong_may' THEN 'trung_tinh' ELSE 'yeu' END AS tk_strength
-FROM state JOIN divergence USING (symbol)""", ("state", "divergence"))
+FROM state_all s JOIN {p}_div d ON s.symbol = d.symbol AND s.i = d.li""", ("state_all", f"{p}_div"))
+    define(f"{p}_tech", TECH_SCORES.replace("state2", f"{p}_state2"), (f"{p}_state2",))
+
 
 STATE_COLS = ["macd_cross", "macd_bars", "above_zero", "rsi_zone", "zone", "tk_cross", "tk_bars",
               "tk_strength", "twist", "chikou_free", "break_bars"]
 STATE_NUM = {"hist_slope": 3, "rsi_slope": 5, "upper": 5, "lower": 5, "thickness": 6, "volume_ratio": 6}
 
 
+tech_stage("last")
+define("state2", "SELECT * FROM last_state2", ("last_state2",))
+
+
 @query("technical_state", "WIN-4 WIN-5 WIN-6 WIN-8 WIN-10", with_("state2", "SELECT symbol, time, "
        + ", ".join(STATE_COLS) + ", " + ", ".join(f"round({c}, {n}) AS {c}" for c, n in STATE_NUM.items()) + " FROM state2"))
 def technical_state(spark, d):
@@ -176,21 +212,7 @@ def technical_state(spark, d):
     return rounded(df.select("symbol", "time", *STATE_COLS, *STATE_NUM), STATE_NUM)
 
 
-define("tech_scores", """
-WITH a AS (SELECT *,
-  CASE WHEN above_zero IS NULL THEN 0e0 ELSE least(greatest(CASE WHEN above_zero THEN 35e0 ELSE -35e0 END
-    + coalesce(CASE WHEN macd_cross = 'golden' THEN CASE WHEN above_zero THEN 45e0 ELSE 30e0 END WHEN macd_cross = 'death' THEN CASE WHEN above_zero THEN -30e0 ELSE -45e0 END END
-        * greatest(0e0, 1 - macd_bars / 20e0), 0) + coalesce(least(greatest(hist_slope * 200, -15), 15), 0), -100), 100) END AS score_macd,
-  CASE WHEN rsi IS NULL THEN 0e0 ELSE least(greatest((rsi - 50) / 50 * 100 * CASE WHEN rsi_zone = 'trung_tinh' THEN 1e0 ELSE 0.85e0 END
-    + coalesce(least(greatest(rsi_slope * 10, -15), 15), 0), -100), 100) END AS score_rsi,
-  (CASE zone WHEN 'tren_may' THEN 40e0 WHEN 'duoi_may' THEN -40e0 ELSE 0e0 END
-    + coalesce(CASE WHEN tk_cross = 'golden' THEN 1e0 WHEN tk_cross = 'death' THEN -1e0 END * CASE tk_strength WHEN 'manh' THEN 45e0 WHEN 'trung_tinh' THEN 25e0 ELSE 10e0 END
-        * greatest(0e0, 1 - tk_bars / 20e0), 0)
-    + CASE WHEN chikou_free THEN 10e0 WHEN NOT chikou_free THEN -10e0 ELSE 0e0 END) * CASE WHEN twist THEN 0.85e0 ELSE 1e0 END AS ic
-  FROM state2),
-b AS (SELECT *, CASE WHEN zone IS NULL THEN 0e0 ELSE least(greatest(ic + CASE WHEN ic >= 0 THEN 1 ELSE -1 END * coalesce(least(greatest(thickness, 0), 1) * 10, 0), -100), 100) END AS score_ichimoku FROM a)
-SELECT *, least(greatest(0.30e0 * score_macd + 0.25e0 * score_rsi + 0.45e0 * score_ichimoku
-          - CASE WHEN divergence = 'bearish' THEN 25e0 ELSE 0e0 END, -100), 100) AS total_score FROM b""", ("state2",))
+define("tech_scores", "SELECT * FROM last_tech", ("last_tech",))
 define("tech_actions", """
 SELECT *, coalesce(zone = 'duoi_may', false) AS vetoed,
   CASE WHEN total_score >= 60 THEN CASE WHEN coalesce(zone = 'duoi_may', false) THEN 'TÍCH LUỸ' ELSE 'MUA' END WHEN total_score >= 20 THEN 'TÍCH LUỸ'

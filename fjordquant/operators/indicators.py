@@ -195,8 +195,8 @@ def calendar_returns(bars: DataFrame) -> DataFrame:
     )
 
 
-def weekly_beta(bars: DataFrame, index: DataFrame, weeks: int = 104) -> DataFrame:
-    """Slope of weekly returns on the index over the last 104 common weeks.
+def weekly_pairs(bars: DataFrame, index: DataFrame) -> DataFrame:
+    """(symbol, week, r, rb): weekly returns of each symbol next to the index.
 
     A week without a bar keeps the last close (its return is zero), as a
     forward-filled weekly series has it.
@@ -206,32 +206,29 @@ def weekly_beta(bars: DataFrame, index: DataFrame, weeks: int = 104) -> DataFram
     def weekly(df: DataFrame, by: list[str]) -> DataFrame:
         last = df.groupBy(*by, friday.alias("week")).agg(F.max_by("close", "time").alias("c"))
         w = Window.partitionBy(*by).orderBy("week") if by else Window.orderBy("week")
-        nxt = F.coalesce(F.date_sub(F.lead("week").over(w), 7), F.col("week"))
-        filled = last.withColumn("weeks", F.expr("1")).withColumns({
-            "r": F.col("c") / F.lag("c").over(w) - 1, "until": nxt,
-        })
+        until = F.coalesce(F.date_sub(F.lead("week").over(w), 7), F.col("week"))
+        moves = last.withColumns({"r": F.col("c") / F.lag("c").over(w) - 1, "until": until})
         # the week itself carries the return, the empty weeks after it carry zero
-        return filled.select(
-            *by,
-            F.explode(F.sequence("week", "until", F.expr("interval 7 days"))).alias("w"),
-            "week", "r",
-        ).select(
-            *by, F.col("w").alias("week"),
-            F.when(F.col("w") == F.col("week"), F.col("r")).otherwise(0.0).alias("r"),
-        )
+        every = F.explode(F.sequence("week", "until", F.expr("interval 7 days")))
+        return moves.select(*by, every.alias("w"), "week", "r").select(
+            *by, F.when(F.col("w") == F.col("week"), F.col("r")).otherwise(0.0).alias("r"),
+            F.col("w").alias("week"))
 
     s = weekly(bars, ["symbol"]).where(F.col("r").isNotNull())
     b = weekly(index, []).where(F.col("r").isNotNull()).withColumnRenamed("r", "rb")
-    both = s.join(b, "week").withColumn(
-        "rn", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("week")))
-    )
-    agg = both.where(F.col("rn") <= weeks).groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("n_weeks"),
-        F.covar_samp("r", "rb").alias("cov"),
-        F.var_samp("rb").alias("var"),
-    )
-    return agg.select(
-        "symbol", "n_weeks",
-        F.when((F.col("n_weeks") >= 26) & (F.col("var") > 0), F.col("cov") / F.col("var"))
-        .alias("beta"),
-    )
+    return s.join(b, "week")
+
+
+def rolling_beta(pairs: DataFrame, weeks: int = 104) -> DataFrame:
+    """Slope of weekly returns on the index over the last 104 common weeks."""
+    w = Window.partitionBy("symbol").orderBy("week").rowsBetween(-(weeks - 1), 0)
+    n, var = F.count(F.lit(1)).over(w), F.var_samp("rb").over(w)
+    return pairs.select(
+        "symbol", "week", n.alias("n_weeks"),
+        F.when((n >= 26) & (var > 0), F.covar_samp("r", "rb").over(w) / var).alias("beta"))
+
+
+def weekly_beta(bars: DataFrame, index: DataFrame) -> DataFrame:
+    rolled = rolling_beta(weekly_pairs(bars, index))
+    return rolled.groupBy("symbol").agg(
+        F.max_by("n_weeks", "week").alias("n_weeks"), F.max_by("beta", "week").alias("beta"))

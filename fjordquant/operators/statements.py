@@ -37,9 +37,11 @@ COMMON_RATIOS = ["roe", "roa", "ni_growth"]
 ALL_RATIOS = COMMON_RATIOS + BANK_RATIOS + COMPANY_RATIOS
 
 
-def annual_ratios(annual: DataFrame) -> DataFrame:
+def annual_ratios(annual: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """All ratios of every (symbol, year); ``annual`` carries ``company_type``.
 
+    ``keep`` passes statement fields through, which saves joining them back.
+
     One window spec serves every ratio, so the frame is sorted once.
     """
     df = annual.withColumns({
@@ -84,7 +86,7 @@ def annual_ratios(annual: DataFrame) -> DataFrame:
         ratio("ni_any", average("total_assets")).alias("roa"),
         F.when(prev > 0, F.col("nip") / prev - 1).alias("ni_growth"),
         *[F.when(bank, c).alias(k) for k, c in banks.items()],
-        *[F.when(~bank, c).alias(k) for k, c in others.items()])
+        *[F.when(~bank, c).alias(k) for k, c in others.items()], *keep)
 
 
 def cagr(first: Column, last: Column, years: Column) -> Column:
