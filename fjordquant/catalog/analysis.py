@@ -17,6 +17,7 @@ from fjordquant.operators import scoring as SC
 from fjordquant.operators import valuation as V
 from fjordquant.plans import domain as D
 from fjordquant.plans.domain_sql import define, with_
+from fjordquant.session import materialise
 
 # ------------------------------------------------------------ check SQL stages
 define("features", """
@@ -135,20 +136,24 @@ def features(spark, d, bars):
 
 
 def now_valuation(spark, d):
-    bars = D.bars(spark, d)
-    u = now_universe(spark, d, bars)
+    bars = materialise(D.bars(spark, d))
+    u = materialise(now_universe(spark, d, bars))
     betas = u.select("as_of", "symbol").join(I.weekly_beta(bars, D.benchmark(bars)), "symbol")
     f = A.features_now(u, features(spark, d, bars))
     return bars, u, A.valuation(u, f, betas.select("as_of", "symbol", "beta"))
 
 
+def signal_bars(spark, d):
+    return materialise(D.bars(spark, d))
+
+
 def hist_universe(spark, d, bars):
     return A.universe_as_of(D.securities(spark, d), bars, D.annual(D.quarters(spark, d)),
                             deduped(spark, d), D.month_ends(bars))
 
 
 def hist_valuation(spark, d, bars):
-    u = hist_universe(spark, d, bars)
+    u = materialise(hist_universe(spark, d, bars))
     rolled = I.rolling_beta(I.weekly_pairs(bars, D.benchmark(bars)))
     betas = P.attach_as_of(u.select("as_of", "symbol"), rolled, ["symbol"], "as_of", "week", ["beta"])
     return u, A.valuation(u, A.features_as_of(u, features(spark, d, bars)), betas)
@@ -221,7 +226,7 @@ def valuation(spark, d):
 
 @query("valuation_by_month", "VAL-2 BT-1 UDF-3", with_("hist_v2", f"SELECT as_of, symbol, {VAL_SQL} FROM hist_v2"))
 def valuation_by_month(spark, d):
-    return _valuation_view(hist_valuation(spark, d, D.bars(spark, d))[1], "as_of", "symbol")
+    return _valuation_view(hist_valuation(spark, d, signal_bars(spark, d))[1], "as_of", "symbol")
 
 
 @query("ev_ebitda_targets", "VAL-3", with_("now_u now_f now_levels now_clean", """
@@ -268,7 +273,7 @@ def stock_analysis(spark, d):
 
 @query("scores_by_month", "BT-1 FIN-2 FIN-3 FLT-3", with_("hist_s", f"SELECT as_of, symbol, {SCORE_SQL} FROM hist_s"))
 def scores_by_month(spark, d):
-    return _score_view(hist_scores(spark, d, D.bars(spark, d)), "as_of", "symbol")
+    return _score_view(hist_scores(spark, d, signal_bars(spark, d)), "as_of", "symbol")
 
 
 @query("opportunity_ranking", "FLT-5 TOP-3", with_("now_s", """
@@ -283,7 +288,7 @@ def opportunity_ranking(spark, d):
 SELECT CASE WHEN upside IS NULL THEN 'missing' WHEN upside < -0.5 THEN '<-50%' WHEN upside <= 0 THEN '-50..0%' WHEN upside <= 0.25 THEN '0..25%' WHEN upside <= 0.5 THEN '25..50%'
   WHEN upside <= 1 THEN '50..100%' ELSE '>100%' END AS bucket, count(*) AS n, count_if(eligible) AS n_eligible FROM hist_s GROUP BY 1"""))
 def upside_distribution(spark, d):
-    return SC.upside_distribution(hist_scores(spark, d, D.bars(spark, d)))
+    return SC.upside_distribution(hist_scores(spark, d, signal_bars(spark, d)))
 
 
 @query("roe_histogram", "AGG-14", with_("hist_u", """

@@ -41,7 +41,7 @@ def rank_ic(panel: DataFrame, min_names: int = S.MIN_CROSS_SECTION) -> DataFrame
     ranked = with_average_rank(with_average_rank(both, keys, "x", "rx"), keys, "y", "ry")
     return ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.when((F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), F.corr("rx", "ry")).alias("ic"),
+        F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("ic"),
     ).where((F.col("n") >= min_names) & F.col("ic").isNotNull())
 
 

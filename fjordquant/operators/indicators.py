@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fjordquant import settings as S
 from fjordquant.functions.numeric import clip
 from fjordquant.functions.smoothing import with_ewm
+from fjordquant.session import spread
 
 
 def by_time() -> WindowSpec:
@@ -50,7 +51,7 @@ def midpoint(n: int) -> Column:
 
 def with_position(bars: DataFrame) -> DataFrame:
     """0-based bar number, previous close, true range, gain and loss."""
-    df = bars.withColumns({
+    df = spread(bars, "symbol").withColumns({
         "i": F.row_number().over(by_time()) - 1,
         "prev": F.lag("close").over(by_time()),
     })

@@ -167,7 +167,7 @@ def methods(df: DataFrame) -> DataFrame:
     pe_ok = F.col("valued") & ~special & (F.col("current_pe") < 60) & (F.col("eps") > 0)
     cap90 = F.greatest(F.col("pb_m0"), F.coalesce("pb_p90", "pb_m2"))
     pb = [F.col("pb_m0"), F.least(cap90, F.greatest("pb_m0", "pb_m1")), cap90]
-    pb_ok = F.col("valued") & (F.col("bvps") > 0)
+    pb_ok = F.col("valued") & (F.col("bvps") > 0) & F.col("pb_source").isNotNull()
     wd = F.try_divide(F.col("debt"), F.col("debt") + cap)
     kd = F.when((F.col("debt") != 0) & (F.col("avg_debt") != 0) & F.col("interest").isNotNull(),
                 clip(F.col("interest") / F.col("avg_debt"), *S.KD_RANGE)).otherwise(S.DEFAULT_KD)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "fjordquant") -> SparkSession:
@@ -25,15 +27,41 @@ def local_session(cores: int | str = 8, app: str = "fjordquant") -> SparkSession
     return spark
 
 
-def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The shared checkpoint folder the cluster names; ``fallback`` only if unset."""
+_LOCAL_ROOT: list[str] = []
+
+
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a temporary one only on local masters."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir() if hasattr(
-        spark.sparkContext, "getCheckpointDir") else None
-    if current:
-        return current
-    if fallback:
-        spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if not _LOCAL_ROOT:
+        _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="run-"))
+    return _LOCAL_ROOT[0]
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    Used where many later steps read the same table: it is computed once, later
+    plans start from a columnar scan of known size (so join strategies rest on
+    real sizes), and a lost executor costs nothing that was written.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition by ``columns`` into the session's shuffle partitions.
+
+    The windows that follow need this exchange anyway; naming the number keeps
+    the adaptive planner from merging small but compute-heavy partitions.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns)
