@@ -1,6 +1,6 @@
 """Named queries over the supplied tables, each with its check SQL."""
 
-from fjordquant.catalog import analysis, backtest, market, prices, statements, technical  # noqa: F401
+from fjordquant.catalog import analysis, backtest, macro, market, prices, statements, technical  # noqa: F401
 from fjordquant.catalog.registry import ENTRIES
 
 __all__ = ["ENTRIES"]

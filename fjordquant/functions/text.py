@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Vietnamese letters by base letter (fixed values)
-LETTERS = {
-    "a": "àáảãạăằắẳẵặâầấẩẫậ",
-    "e": "èéẻẽẹêềếểễệ",
-    "i": "ìíỉĩị",
-    "o": "òóỏõọôồốổỗộơờớởỡợ",
-    "u": "ùúủũụưừứửữự",
-    "y": "ỳýỷỹỵ",
-    "d": "đ",
-}
-ACCENTED = "".join(LETTERS.values())
-PLAIN = "".join(base * len(letters) for base, letters in LETTERS.items())
+
+def _fold_table() -> tuple[str, str]:
+    """Every lower-case letter that decomposes into a base letter and accents."""
+    pairs = []
+    for point in range(0xC0, 0x2000):
+        char = chr(point)
+        plain = "".join(c for c in unicodedata.normalize("NFD", char)
+                        if unicodedata.category(c) != "Mn")
+        if len(plain) == 1 and plain != char and char == char.lower():
+            pairs.append((char, plain))
+    pairs.append(("đ", "d"))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _fold_table()
 
 
 def fold(text: Column) -> Column:
     """Lower case without accents; combining marks of decomposed input go too."""
-    flat = F.translate(F.lower(text), ACCENTED, PLAIN)
-    return F.regexp_replace(flat, r"\p{Mn}", "")
+    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"\p{Mn}", "")
 
 
 def squeeze(text: Column) -> Column:
@@ -81,32 +85,32 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, F.trim), lambda s: s != "")
 
 
-NUMBER = r"\d+(?:[.,]\d+)*"
+NUMBER = r"(?U)(?<!\w)[-+]?\d[\d.,]*(?!\w)"
 
 
 def canonical_number(raw: Column) -> Column:
-    """One spelling for Western and Vietnamese separators.
+    """One spelling for Western and Vietnamese separators, null if not a number.
 
-    With both separators the last one is the decimal mark; one that repeats or
-    is followed by exactly three digits groups thousands.
+    With both separators the later one is the decimal mark; a lone comma is a
+    decimal mark; dots followed by groups of three digits group thousands.
     """
-    dots = F.length(raw) - F.length(F.replace(raw, F.lit("."), F.lit("")))
-    commas = F.length(raw) - F.length(F.replace(raw, F.lit(","), F.lit("")))
-    no_dots = F.replace(raw, F.lit("."), F.lit(""))
-    no_commas = F.replace(raw, F.lit(","), F.lit(""))
-    last_is_comma = F.instr(F.reverse(raw), ",") < F.instr(F.reverse(raw), ".")
-    groups = F.length(F.substring_index(F.translate(raw, ",", "."), ".", -1)) == 3
+    sign = F.regexp_extract(raw, "^[-+]", 0)
+    v = F.regexp_replace(raw, "^[-+]", "")
+    dot, comma = F.contains(v, F.lit(".")), F.contains(v, F.lit(","))
+    comma_last = F.instr(F.reverse(v), ",") < F.instr(F.reverse(v), ".")
     text = (
-        F.when((dots > 0) & (commas > 0), F.when(
-            last_is_comma, F.replace(no_dots, F.lit(","), F.lit("."))).otherwise(no_commas))
-        .when((dots > 1) | ((dots == 1) & groups), no_dots)
-        .when((commas > 1) | ((commas == 1) & groups), no_commas)
-        .otherwise(F.translate(raw, ",", ".")))
-    trimmed = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.regexp_replace(trimmed, r"^0+(?=\d)", "")
+        F.when(dot & comma & comma_last, F.translate(F.replace(v, F.lit("."), F.lit("")), ",", "."))
+        .when(dot & comma, F.replace(v, F.lit(","), F.lit("")))
+        .when(comma, F.translate(v, ",", "."))
+        .when(v.rlike(r"^\d+(\.\d{3})+$"), F.replace(v, F.lit("."), F.lit("")))
+        .otherwise(v))
+    plain = F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0*$", "")).otherwise(text)
+    plain = F.regexp_replace(plain, r"^0+(?=\d)", "")
+    return F.when(text.rlike(r"^\d+\.?\d*$"), F.when(plain == "0", plain).otherwise(
+        F.concat(sign, plain)))
 
 
 def numbers_in(text: Column) -> Column:
-    """Sorted list of the canonical numbers of a text."""
-    found = F.regexp_extract_all(text, F.lit(f"({NUMBER})"), F.lit(1))
-    return F.array_sort(F.transform(found, canonical_number))
+    """Sorted canonical numbers of a text; equal arrays mean equal multisets."""
+    found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
+    return F.array_sort(F.array_compact(F.transform(found, canonical_number)))
