@@ -1,6 +1,8 @@
 """Named queries over the supplied tables, each with its check SQL."""
 
-from fjordquant.catalog import analysis, backtest, macro, market, news, prices, statements, technical  # noqa: F401
+from fjordquant.catalog import (  # noqa: F401
+    analysis, backtest, macro, market, news, prices, statements, streams, technical, vendor,
+)
 from fjordquant.catalog.registry import ENTRIES
 
 __all__ = ["ENTRIES"]

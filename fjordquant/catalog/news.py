@@ -80,10 +80,10 @@ def firms(spark, d):
 
 
 define("matched", f"""
-WITH t AS MATERIALIZED (SELECT guid, upper(title || ' ' || body) AS u, ' ' || {WORDS.format("title || ' ' || body")} || ' ' AS w FROM news),
+WITH t AS MATERIALIZED (SELECT guid, upper(title || ' ' || body) AS u, ' ' || {WORDS.format("title || ' ' || body")} || ' ' AS w, list_distinct(regexp_extract_all(upper(title || ' ' || body), '[\\p{{L}}\\p{{N}}_]+')) AS tk FROM news),
 c AS MATERIALIZED (SELECT symbol, code, {WORDS.format('brand')} AS b, {WORDS.format('name')} AS n FROM firms)
 SELECT guid, symbol, reason FROM (SELECT t.guid, c.symbol, CASE
-  WHEN contains(u, code) AND regexp_matches(u, '(^|[^\\p{{L}}\\p{{N}}_])' || code || '($|[^\\p{{L}}\\p{{N}}_])') THEN 'mã cổ phiếu xuất hiện độc lập'
+  WHEN list_contains(tk, code) THEN 'mã cổ phiếu xuất hiện độc lập'
   WHEN length(b) >= 5 AND contains(w, ' ' || b || ' ') THEN 'khớp thương hiệu không dấu'
   WHEN length(n) >= 5 AND contains(w, ' ' || n || ' ') THEN 'khớp tên doanh nghiệp không dấu' END AS reason FROM t, c) WHERE reason IS NOT NULL""", ("news", "firms"))
 
@@ -197,13 +197,13 @@ def _marks_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-define("marks", "SELECT doc_id, section, CAST(sum(length(seg)) OVER (PARTITION BY doc_id, pat ORDER BY ord ROWS UNBOUNDED PRECEDING) - length(hit) + 1 AS BIGINT) AS at FROM (" + _marks_sql() + ")")
+define("marks", "SELECT doc_id, section, CAST(sum(length(seg)) OVER (PARTITION BY doc_id, pat ORDER BY ord ROWS UNBOUNDED PRECEDING) - length(hit) + 1 AS BIGINT) AS pos FROM (" + _marks_sql() + ")")
 
 
 @query("filing_sections", "TXT-5", with_("marks", """
-WITH s AS (SELECT *, lead(at) OVER (PARTITION BY doc_id ORDER BY at, section) AS until FROM marks),
-f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, section ORDER BY at) = 1)
-SELECT doc_id, section, at AS start, trim(substring(text, at, coalesce(until, length(text) + 1) - at), ' ') AS body FROM f JOIN documents USING (doc_id)"""))
+WITH s AS (SELECT *, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos, section) AS until FROM marks),
+f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, section ORDER BY pos) = 1)
+SELECT doc_id, section, pos AS start, trim(substring(text, pos, coalesce(until, length(text) + 1) - pos), ' ') AS body FROM f JOIN documents USING (doc_id)"""))
 def filing_sections(spark, d):
     return FI.sections(D.table(spark, d, "documents"), HEADINGS)
 
