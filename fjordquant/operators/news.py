@@ -108,22 +108,29 @@ def match_companies(news: DataFrame, companies: DataFrame,
     unclear = AMBIGUOUS if ambiguous is None else ambiguous
     docs = news.select("guid", F.concat_ws(" ", "title", "body").alias("text"))
     docs = docs.withColumns({"upper": F.upper("text"), "norm": words_only(F.col("text"))})
+    # one cheap scan per text decides which of the context patterns can apply at all
+    docs = docs.withColumns({
+        "has_exchange": F.col("upper").rlike("HOSE|HSX|HNX|UPCOM"),
+        "has_firm": F.col("upper").rlike("CHỨNG KHOÁN|TẬP ĐOÀN|NGÂN HÀNG|CÔNG TY"),
+        "has_share": F.col("upper").rlike("MÃ|CỔ PHIẾU|CHỨNG KHOÁN"),
+    })
     firms = companies.select(
         "symbol", F.upper(F.col("code")).alias("code"), _phrase("brand").alias("brand"),
         _phrase("name").alias("name"))
     tokens = docs.select("guid", F.explode(F.array_distinct(
         F.regexp_extract_all("upper", F.lit(r"(?U)\w+"), F.lit(0)))).alias("code"))
-    by_code = tokens.join(firms.select("symbol", "code"), "code").select("guid", "symbol")
-    words = F.split("norm", " ")
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))),
-        lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
-    keys = docs.withColumn("w", words).select(
-        "guid", F.explode(F.array_distinct(F.concat("w", pairs))).alias("key"))
+    by_code = tokens.join(firms.select("symbol", "code"), "code").select(
+        "guid", "symbol", F.lit(True).alias("is_token"))
+    # single words and word pairs come out of two native scans of the text
+    singles = F.split("norm", " ")
+    doubles = F.regexp_extract_all("norm", F.lit(r"(?=(\S+ \S+))\S+ "), F.lit(1))
+    keys = docs.select("guid", F.explode(F.array_distinct(F.concat(singles, doubles))).alias("key"))
     phrases = firms.select("symbol", F.explode(F.array("brand", "name")).alias("p")).where(
         F.length("p") >= 5).select("symbol", _lead(F.col("p")).alias("key")).distinct()
-    by_name = keys.join(phrases, "key").select("guid", "symbol")
-    pairs_df = by_code.unionByName(by_name).distinct().join(docs, "guid").join(firms, "symbol")
+    by_name = keys.join(phrases, "key").select("guid", "symbol", F.lit(False).alias("is_token"))
+    pairs = by_code.unionByName(by_name).groupBy("guid", "symbol").agg(
+        F.bool_or("is_token").alias("is_token"))
+    pairs_df = pairs.join(docs, "guid").join(firms, "symbol")
     t = F.col("code")
 
     def found(before: str, after: str) -> Column:
@@ -131,17 +138,19 @@ def match_companies(news: DataFrame, companies: DataFrame,
 
     at = F.regexp_instr("upper", F.concat(F.lit(r"(?U)\b"), t, F.lit(r"\b")))
     near = words_only(F.substring("upper", F.greatest(at - 45, F.lit(1)), F.length(t) + 90))
-    alone = (at > 0) & (~t.isin(unclear) | near.rlike(rf"\b({CONTEXT})\b") if unclear else at > 0)
+    # a ticker standing alone is exactly a token hit; ordinary words need context
+    token = F.col("is_token")
+    alone = token & (~t.isin(unclear) | near.rlike(rf"\b({CONTEXT})\b")) if unclear else token
     spaced = F.concat(F.lit(" "), "norm", F.lit(" "))
 
     def named(c: str) -> Column:
         return (F.length(c) >= 5) & F.contains(spaced, F.concat(F.lit(" "), F.col(c), F.lit(" ")))
 
     reason = (
-        F.when(found(r"\((?:HOSE|HSX|HNX|UPCOM)\s*:\s*", r"\)"), "mã sàn trong ngoặc")
-        .when(found(r"\b(?:CHỨNG KHOÁN|TẬP ĐOÀN|NGÂN HÀNG|CÔNG TY)\b[^\n]{0,50}\(\s*", r"\s*\)"),
+        F.when(F.col("has_exchange") & token & found(r"\((?:HOSE|HSX|HNX|UPCOM)\s*:\s*", r"\)"), "mã sàn trong ngoặc")
+        .when(F.col("has_firm") & token & found(r"\b(?:CHỨNG KHOÁN|TẬP ĐOÀN|NGÂN HÀNG|CÔNG TY)\b[^\n]{0,50}\(\s*", r"\s*\)"),
               "mã trong ngoặc sau tên doanh nghiệp")
-        .when(found(r"\b(?:MÃ|CỔ PHIẾU|CHỨNG KHOÁN)\s+", r"\b"),
+        .when(F.col("has_share") & token & found(r"\b(?:MÃ|CỔ PHIẾU|CHỨNG KHOÁN)\s+", r"\b"),
               "mã được nêu kèm ngữ cảnh chứng khoán")
         .when(alone, "mã cổ phiếu xuất hiện độc lập")
         .when(named("brand"), "khớp thương hiệu không dấu")
