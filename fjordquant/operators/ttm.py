@@ -76,7 +76,8 @@ def with_ttm(deduped: DataFrame, flows: list[str], stocks: list[str]) -> DataFra
         "ttm_label": F.concat(F.lit("TTM Q"), "quarter", F.lit("/"), "year"),
         "ttm_periods": F.concat_ws(",", *[qlabel(F.col("q") - k) for k in (3, 2, 1, 0)]),
         "roe_ttm": F.try_divide(
-            F.coalesce("net_income_parent_ttm", "net_income_ttm"), F.col("equity_avg_5")),
+            F.coalesce(*[f"{c}_ttm" for c in ("net_income_parent", "net_income") if c in flows]),
+            F.col("equity_avg_5")),
     })
     return out.select("symbol", "q", "year", "quarter", "ttm_label", "ttm_periods",
                       *cols, *stocks, "equity_avg_5", "roe_ttm")
