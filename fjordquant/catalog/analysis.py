@@ -166,13 +166,13 @@ def impacts(spark):
 def now_scores(spark, d):
     bars, u, valued = now_valuation(spark, d)
     sector = A.sector_view(u, PE.index_returns(D.benchmark(bars)), impacts(spark))
-    return A.score_universe(u, valued, sector, A.technical_totals(bars))
+    return A.score_universe(u, valued, sector, A.technical_totals(bars, u))
 
 
 def hist_scores(spark, d, bars):
     u, valued = hist_valuation(spark, d, bars)
     sector = A.sector_view(u, PE.index_returns(D.benchmark(bars)), None)
-    return A.score_universe(u, valued, sector, A.technical_totals(bars))
+    return A.score_universe(u, valued, sector, A.technical_totals(bars, u))
 
 
 @query("universe_as_of", "JN-3 JN-5 WIN-13", with_("hist_u", """

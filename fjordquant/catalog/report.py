@@ -56,7 +56,7 @@ def thesis_and_risks(spark, d):
     bars, u, v = now_valuation(spark, d)
     roe = PE.node_quantiles(u, ["roe"], {"roe_median": 0.5}).select(*PE.NODE, "roe_median")
     med = PE.peer_levels(u).join(roe, PE.NODE, "left").select("symbol", "roe_median")
-    tech = T.with_action(T.with_scores(T.last_bars(T.technical_state(bars)))).select(
+    tech = T.with_action(T.with_scores(T.technical_state(bars, wanted="last"))).select(
         "symbol", "vetoed", F.col("total_score").alias("tech_total"))
     years = F.concat((F.col("year") - F.col("n_years") + 1).cast("string"), F.lit("–"), F.col("year").cast("string"))
     df = v.join(med, "symbol", "left").join(tech, "symbol", "left").withColumn("years", years)

@@ -157,7 +157,7 @@ define("divergence", "SELECT symbol, divergence, strength FROM last_div", ("last
 
 @query("divergence", "WIN-12", with_("divergence", "SELECT symbol, divergence, round(strength, 6) AS strength FROM divergence"))
 def divergence(spark, d):
-    df = T.last_bars(T.with_divergence(I.oscillators(D.bars(spark, d))))
+    df = T.last_bars(T.with_divergence(T.with_swing_lists(I.oscillators(D.bars(spark, d)))))
     return rounded(df.select("symbol", "divergence", F.col("divergence_strength").alias("strength")),
                    {"strength": 6})
 
@@ -208,7 +208,7 @@ define("state2", "SELECT * FROM last_state2", ("last_state2",))
 @query("technical_state", "WIN-4 WIN-5 WIN-6 WIN-8 WIN-10", with_("state2", "SELECT symbol, time, "
        + ", ".join(STATE_COLS) + ", " + ", ".join(f"round({c}, {n}) AS {c}" for c, n in STATE_NUM.items()) + " FROM state2"))
 def technical_state(spark, d):
-    df = T.last_bars(T.technical_state(D.bars(spark, d)))
+    df = T.technical_state(D.bars(spark, d), wanted="last")
     return rounded(df.select("symbol", "time", *STATE_COLS, *STATE_NUM), STATE_NUM)
 
 
@@ -262,7 +262,7 @@ SELECT symbol, coalesce(zone = 'tren_may' AND break_bars <= 3 AND macd_cross = '
   coalesce(zone = 'trong_may' AND thickness <= 1 AND volume_ratio <= 0.8e0, false) AS accumulate,
   coalesce(zone = 'duoi_may' AND break_bars <= 3, false) AS warning FROM state2"""))
 def screen_presets(spark, d):
-    return T.screens(T.last_bars(T.technical_state(D.bars(spark, d))))
+    return T.screens(T.technical_state(D.bars(spark, d), wanted="last"))
 
 
 

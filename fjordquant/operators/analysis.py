@@ -87,9 +87,10 @@ def sector_view(universe: DataFrame, index_rets: DataFrame, impacts: DataFrame |
     )).select("as_of", "symbol", "score_sector", F.col("impact").alias("score_macro"))
 
 
-def technical_totals(bars: DataFrame) -> DataFrame:
-    """(symbol, as_of_price, total score) at every bar with 120 sessions behind it."""
-    scored = T.with_scores(T.technical_state(bars))
+def technical_totals(bars: DataFrame, universe: DataFrame) -> DataFrame:
+    """(symbol, as_of_price, total score) at the universe's bars with 120 sessions."""
+    at = universe.select("symbol", F.col("as_of_price").alias("time"))
+    scored = T.with_scores(T.technical_state(bars, wanted=at))
     return scored.where(F.col("i") >= 119).select(
         "symbol", F.col("time").alias("as_of_price"), F.col("total_score").alias("tech_total"))
 

@@ -91,14 +91,14 @@ def oscillators(bars: DataFrame) -> DataFrame:
     })
 
 
-def adaptive_bands(df: DataFrame, lookback: int = 252) -> DataFrame:
-    """Rolling 90th/10th percentile of RSI, held inside fixed limits.
+def with_rsi_window(df: DataFrame, lookback: int = 252) -> DataFrame:
+    return df.withColumn("_win", F.collect_list("rsi").over(rows(lookback, by_pos())))
 
-    One sorted array of at most ``lookback`` values serves both percentiles;
-    a ``percentile`` aggregate would rebuild a hash map per bar.
-    """
-    df = df.withColumn("_win", F.sort_array(
-        F.collect_list("rsi").over(rows(lookback, by_pos()))))
+
+def with_band_levels(df: DataFrame, lookback: int = 252) -> DataFrame:
+    """One sorted array of at most ``lookback`` values serves both percentiles;
+    a ``percentile`` aggregate would rebuild a hash map per bar."""
+    df = df.withColumn("_win", F.sort_array("_win"))
 
     def at(p: float) -> Column:
         pos = (F.size("_win") - 1) * p
@@ -111,6 +111,11 @@ def adaptive_bands(df: DataFrame, lookback: int = 252) -> DataFrame:
     }).drop("_win")
 
 
+def adaptive_bands(df: DataFrame, lookback: int = 252) -> DataFrame:
+    """Rolling 90th/10th percentile of RSI, held inside fixed limits."""
+    return with_band_levels(with_rsi_window(df, lookback), lookback)
+
+
 def ichimoku(df: DataFrame, preset: str = "six_day_week", shift: int = 26) -> DataFrame:
     tenkan, kijun, senkou = S.ICHIMOKU_PRESETS[preset]
     df = df.withColumns({

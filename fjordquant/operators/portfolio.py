@@ -152,9 +152,15 @@ def equity(returns: DataFrame, by: tuple[str, ...] = ("strategy",)) -> DataFrame
 
 
 # ------------------------------------------------------------------ performance
-@F.pandas_udf(DoubleType())
-def normal_cdf(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: None if pd.isna(v) else NormalDist().cdf(v))
+def normal_cdf(z: Column) -> Column:
+    """Standard normal distribution function (over one row per strategy)."""
+
+    def cdf(v: pd.Series) -> pd.Series:  # nested, so workers need no package on their path
+        from statistics import NormalDist as Normal
+
+        return v.map(lambda x: None if x != x or x is None else Normal().cdf(x))
+
+    return F.pandas_udf(cdf, DoubleType())(z)
 
 
 def expected_max_sharpe(n_trials: int, sr_variance: Column) -> Column:

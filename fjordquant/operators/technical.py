@@ -46,11 +46,11 @@ def _nearest(points: Column, at: Column, tolerance: int) -> Column:
     return best["v"]
 
 
-def with_divergence(df: DataFrame, oscillator: str = "hist", lookback: int = 60,
-                    order: int = 5) -> DataFrame:
-    """Bullish/bearish divergence of price and oscillator in the last bars.
+def with_swing_lists(df: DataFrame, oscillator: str = "hist", lookback: int = 60,
+                     order: int = 5) -> DataFrame:
+    """Swing points of price and oscillator in the last bars, as short lists.
 
-    The swing lists of one bar hold at most lookback/(order+1) points.
+    The lists of one bar hold at most lookback/(order+1) points.
     """
     df = df.withColumns({"_ps": I.swing("close", order), "_os": I.swing(oscillator, order)})
     frame = I.by_pos().rowsBetween(-(lookback - 1 - order), -order)
@@ -60,11 +60,15 @@ def with_divergence(df: DataFrame, oscillator: str = "hist", lookback: int = 60,
             F.col(kind) == side, F.struct(F.col("i").alias("i"), F.col(value).alias("v"))
         )).over(frame)
 
-    df = df.withColumns({
+    return df.withColumns({
         "_pl": points("_ps", "close", "L"), "_ph": points("_ps", "close", "H"),
         "_ol": points("_os", oscillator, "L"), "_oh": points("_os", oscillator, "H"),
     })
 
+
+def with_divergence(df: DataFrame, order: int = 5) -> DataFrame:
+    """Bullish/bearish divergence of price and oscillator from the swing lists."""
+
     def pair(name: str):
         first = F.when(F.size(name) >= 2, F.element_at(name, -2))
         second = F.when(F.size(name) >= 2, F.element_at(name, -1))
@@ -90,10 +94,19 @@ def with_divergence(df: DataFrame, oscillator: str = "hist", lookback: int = 60,
     }).drop("_ps", "_os", "_pl", "_ph", "_ol", "_oh", "_a", "_b", "_c", "_d")
 
 
-def technical_state(bars: DataFrame, preset: str = "six_day_week", shift: int = 26) -> DataFrame:
-    """Every indicator and state column per bar."""
+def technical_state(bars: DataFrame, preset: str = "six_day_week", shift: int = 26,
+                    wanted: DataFrame | str | None = None) -> DataFrame:
+    """Every indicator and state column per bar.
+
+    ``wanted`` keeps only some bars: "last" for the newest of each symbol, or a
+    table of (symbol, time).  All windows run first, then the unwanted bars
+    drop, so the per-row array work is done for wanted bars only.
+    """
+    if isinstance(wanted, DataFrame):
+        marks = wanted.select("symbol", "time").distinct().withColumn("_want", F.lit(True))
+        bars = bars.join(marks, ["symbol", "time"], "left")
     df = I.ichimoku(I.oscillators(bars), preset, shift)
-    df = I.adaptive_bands(df)
+    df = I.with_rsi_window(df)
     df = _cross(df, "macd", "macd", "signal")
     df = _cross(df, "tk", "tenkan", "kijun")
     df = _cross(df, "base", "base_a", "base_b")
@@ -101,35 +114,44 @@ def technical_state(bars: DataFrame, preset: str = "six_day_week", shift: int =
     df = df.withColumn("_zs", F.when(
         F.col("zone").isNotNull()
         & ~F.lag("zone").over(I.by_pos()).eqNullSafe(F.col("zone")), F.col("i")))
-    started = F.max("_zs").over(up_to_now())
-    seen = F.count("zone").over(up_to_now())
     df = df.withColumns({
-        "volume_ratio": F.col("volume") / I.guarded(F.avg("volume"), "volume", 20, I.by_pos()),
-        "hist_slope": I.slope("hist", 3),
-        "rsi_slope": I.slope("rsi", 5),
+        "_started": F.max("_zs").over(up_to_now()), "_seen": F.count("zone").over(up_to_now()),
+        "_back": F.lag("close", shift).over(I.by_pos()),
+        "_avg_volume": I.guarded(F.avg("volume"), "volume", 20, I.by_pos()),
+        "hist_slope": I.slope("hist", 3), "rsi_slope": I.slope("rsi", 5),
+    })
+    df = with_swing_lists(df)
+    if isinstance(wanted, str):
+        df = df.withColumn("_want", F.lead("i").over(I.by_pos()).isNull())
+    if wanted is not None:
+        df = df.where("_want").drop("_want")
+    df = I.with_band_levels(df)
+    inside = F.col("zone").isNotNull()
+    df = df.withColumns({
+        "volume_ratio": F.col("volume") / F.col("_avg_volume"),
         "above_zero": F.col("macd") > 0,
         "upper": F.when(F.col("rsi").isNotNull(), F.coalesce("upper", F.lit(S.RSI_UPPER[1]))),
         "lower": F.when(F.col("rsi").isNotNull(), F.coalesce("lower", F.lit(S.RSI_LOWER[0]))),
-        "twist": F.when(
-            F.col("zone").isNotNull(),
-            F.coalesce(F.col("base_cross_at") - 1 >= F.col("i") - (shift - 1), F.lit(False))),
-        "chikou_free": F.when(
-            F.col("zone").isNotNull(), F.col("close") > F.lag("close", shift).over(I.by_pos())),
+        "twist": F.when(inside, F.coalesce(
+            F.col("base_cross_at") - 1 >= F.col("i") - (shift - 1), F.lit(False))),
+        "chikou_free": F.when(inside, F.col("close") > F.col("_back")),
         "thickness": F.when(
             F.col("atr") != 0, F.abs(F.col("senkou_a") - F.col("senkou_b")) / F.col("atr")),
         "break_bars": F.when(
-            (F.col("zone") != "trong_may") & (seen >= 2), F.col("i") - started),
-        "tk_cross": F.when(F.col("zone").isNotNull(), F.col("tk_cross")),
-        "tk_bars": F.when(F.col("zone").isNotNull(), F.col("tk_bars")),
+            (F.col("zone") != "trong_may") & (F.col("_seen") >= 2), F.col("i") - F.col("_started")),
+        "tk_cross": F.when(inside, F.col("tk_cross")),
+        "tk_bars": F.when(inside, F.col("tk_bars")),
+    })
+    df = df.withColumns({
+        "rsi_zone": F.when(
+            F.col("rsi").isNotNull(),
+            F.when(F.col("rsi") > F.col("upper"), "qua_mua")
+            .when(F.col("rsi") < F.col("lower"), "qua_ban").otherwise("trung_tinh")),
+        "tk_strength": F.when(
+            F.col("tk_cross").isNotNull(),
+            F.when(F.col("zone") == "tren_may", "manh")
+            .when(F.col("zone") == "trong_may", "trung_tinh").otherwise("yeu")),
     })
-    df = df.withColumn("rsi_zone", F.when(
-        F.col("rsi").isNotNull(),
-        F.when(F.col("rsi") > F.col("upper"), "qua_mua")
-        .when(F.col("rsi") < F.col("lower"), "qua_ban").otherwise("trung_tinh")))
-    df = df.withColumn("tk_strength", F.when(
-        F.col("tk_cross").isNotNull(),
-        F.when(F.col("zone") == "tren_may", "manh")
-        .when(F.col("zone") == "trong_may", "trung_tinh").otherwise("yeu")))
     return with_divergence(df)
 
 
@@ -280,7 +302,7 @@ def last_bars(df: DataFrame) -> DataFrame:
 
 
 def recommendations(bars: DataFrame) -> DataFrame:
-    return with_reasons(with_action(with_scores(last_bars(technical_state(bars)))))
+    return with_reasons(with_action(with_scores(technical_state(bars, wanted="last"))))
 
 
 def screens(state: DataFrame) -> DataFrame:
