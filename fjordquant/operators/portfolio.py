@@ -316,9 +316,12 @@ def top_winners(bars: DataFrame, start: str, end: str, share: float = 0.10) -> D
         (F.col("_total") - F.col("_below") - F.col("_n")).alias("above"),
         F.ceil(F.col("_total") * share).alias("k"), F.col("_n").alias("ties"))
     hit = total.join(ranked, "total").where(F.col("above") < F.col("k"))
+    whole = F.col("above") + F.col("ties") <= F.col("k")
+    # only the values tied at the cut need an order among themselves
     tie = Window.partitionBy("total").orderBy("symbol")
-    return hit.withColumn("_t", F.row_number().over(tie)).where(
-        F.col("above") + F.col("_t") <= F.col("k")).select("symbol", "total")
+    cut = hit.where(~whole).withColumn("_t", F.row_number().over(tie)).where(
+        F.col("above") + F.col("_t") <= F.col("k"))
+    return hit.where(whole).select("symbol", "total").unionByName(cut.select("symbol", "total"))
 
 
 def order_sizes(targets: DataFrame, holdings: DataFrame, prices: DataFrame,
@@ -342,15 +345,15 @@ def order_sizes(targets: DataFrame, holdings: DataFrame, prices: DataFrame,
 
 def verdict(strategy: DataFrame, bench: DataFrame) -> DataFrame:
     """The four criteria: return and Sharpe ahead, PSR above 0.95, drawdown smaller."""
-    b = bench.select(F.col("cagr").alias("b_cagr"), F.col("sharpe").alias("b_sharpe"),
-                     F.col("max_drawdown").alias("b_dd"), F.lit(1).alias("_one"))
-    j = strategy.withColumn("_one", F.lit(1)).join(b, "_one")
+    def ref(c: str) -> Column:
+        return bench.select(c).scalar()
+
     tests = {
-        "return_ahead": F.col("cagr") > F.col("b_cagr"),
-        "sharpe_ahead": F.col("sharpe") > F.col("b_sharpe"),
+        "return_ahead": F.col("cagr") > ref("cagr"),
+        "sharpe_ahead": F.col("sharpe") > ref("sharpe"),
         "significant": F.col("psr") >= 0.95,
-        "drawdown_smaller": F.col("max_drawdown") > F.col("b_dd"),
+        "drawdown_smaller": F.col("max_drawdown") > ref("max_drawdown"),
     }
-    out = j.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in tests.items()})
+    out = strategy.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in tests.items()})
     passed = sum((F.col(k).cast("int") for k in tests), F.lit(0))
     return out.select("strategy", *tests, passed.alias("criteria_met"))
