@@ -156,7 +156,7 @@ def annual(quarters_df: DataFrame) -> DataFrame:
     return quarters_df.groupBy("symbol", "year").agg(*aggs)
 
 
-# ---------------------------------------------------------------- reference
+# ---------------------------------------------------------------- securities, macro, news
 def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The security master with a four-level industry tree."""
     s = F.col("s_suppkey")
