@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from fjordquant.llm import jaccard
+import public_tokenizers
+
+from fjordquant.llm import bpe, jaccard
 from fjordquant.llm.common import table
 from fjordquant.llm.registry import query
 
@@ -10,3 +12,9 @@ from fjordquant.llm.registry import query
 @query("op10_adaptive_jaccard")
 def op10_adaptive_jaccard(spark, d):
     return jaccard.link(table(spark, d, "documents"), "doc_id", "text", width=3, percent=90)
+
+
+@query("op4_scan_bpe")
+def op4_scan_bpe(spark, d):
+    vocabulary = bpe.load_vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.digests(table(spark, d, "documents"), "doc_id", "text", vocabulary)
