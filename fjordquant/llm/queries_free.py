@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from fjordquant.llm import bpe, jaccard
+from fjordquant.llm import bpe, jaccard, langid
 from fjordquant.llm.common import table
 from fjordquant.llm.registry import query
 
@@ -18,3 +19,12 @@ def op10_adaptive_jaccard(spark, d):
 def op4_scan_bpe(spark, d):
     vocabulary = bpe.load_vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.digests(table(spark, d, "documents"), "doc_id", "text", vocabulary)
+
+
+@query("op9_kneser_ney_language")
+def op9_kneser_ney_language(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    model, calibration = langid.train(docs, "doc_id", "text", "lang")
+    rows = langid.predict(docs.select("doc_id", "text"), "text", model, calibration)
+    return rows.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred",
+                       "score")
