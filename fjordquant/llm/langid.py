@@ -6,7 +6,8 @@ so a model holds 2^24 four-grams per language at most, whatever the corpus.  Tas
 count four-grams of all training rows, Spark adds the counts up, and the summed
 table becomes sorted key arrays with one column of log-probabilities per language.
 A text's language is that of the lowest cross-entropy per symbol; scores and the
-rejection limit are calibrated on a bounded sample of the training rows.
+rejection limit are calibrated on a bounded sample of the training rows, which the
+counts leave out.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0 and is
 rejected; ties go to the first language by name; a table without labels gives
@@ -35,6 +36,8 @@ CALIBRATION_ROWS = 20_000  # expected rows scored to calibrate
 BINS = 12
 REJECT_QUANTILE = 0.999
 REJECT_SLACK = 1.5
+REJECT_FLOOR = 0.5         # nats per symbol above a language's mean that always pass
+CALIBRATION_SHARE = 0.2    # of the labelled rows at most
 SHORT = 40.0               # texts of about this many symbols vary twice as much
 MERGE_EVERY = 24
 UNKNOWN = "und"
@@ -219,7 +222,7 @@ def calibrate(sample: list[tuple]) -> Calibration:
     mean = {x: float(np.mean([s[3] for s in sample if s[1] == x])) for x in {s[1] for s in sample}}
     flat = Calibration(edges, share.tolist(), mean, 0.0)
     excess = np.array([flat.excess(s[1], s[3], s[4]) for s in sample])
-    flat.limit = float(np.quantile(excess, REJECT_QUANTILE)) * REJECT_SLACK
+    flat.limit = max(float(np.quantile(excess, REJECT_QUANTILE)) * REJECT_SLACK, REJECT_FLOOR)
     return flat
 
 
@@ -279,8 +282,11 @@ def train(df: DataFrame, key: str, text: str, lang: str) -> tuple[Model, Calibra
     """Fit on the labelled rows that are not held out."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")) \
         .where(~held_out(F.col("key")) & F.col("lang").isNotNull() & has_letter(F.col("text")))
+    n = df.where(~held_out(F.col(key)) & F.col(lang).isNotNull()).count()
+    part = int(min(CALIBRATION_SHARE, CALIBRATION_ROWS / max(n, 1)) * 1_000_000)
+    sampled = F.pmod(F.xxhash64("key", "text"), F.lit(1_000_000)) < part
     # at most 2^24 rows a language by construction of the symbols
-    table = count_grams(rows).toArrow()
+    table = count_grams(rows.where(~sampled)).toArrow()
     names = np.array(table.column("lang").to_pylist(), object)
     grams = table.column("gram").to_numpy().astype(np.uint32)
     counts = table.column("n").to_numpy()
@@ -293,9 +299,7 @@ def train(df: DataFrame, key: str, text: str, lang: str) -> tuple[Model, Calibra
     model = kneser_ney(languages, tables)
     if not languages:
         return model, calibrate([])
-    n = df.where(~held_out(F.col(key)) & F.col(lang).isNotNull()).count()
-    part = int(min(1.0, CALIBRATION_ROWS / max(n, 1)) * 1_000_000)
-    sample = predict(rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < part), "text", model, None)
+    sample = predict(rows.where(sampled), "text", model, None)
     return model, calibrate([tuple(r) for r in sample.select(
         "lang", "lang_pred", "gap", "entropy", "symbols").collect()])
 
