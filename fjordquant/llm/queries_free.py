@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fjordquant.llm import bpe, jaccard, langid
+from fjordquant.llm import bpe, jaccard, langid, licenses
 from fjordquant.llm.common import table
 from fjordquant.llm.registry import query
 
@@ -28,3 +28,8 @@ def op9_kneser_ney_language(spark, d):
     rows = langid.predict(docs.select("doc_id", "text"), "text", model, calibration)
     return rows.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred",
                        "score")
+
+
+@query("op7_diagonal_voting")
+def op7_diagonal_voting(spark, d):
+    return licenses.summary(table(spark, d, "documents"), "doc_id", "text")
