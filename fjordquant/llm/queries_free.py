@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fjordquant.llm import bpe, jaccard, langid, licenses
+from fjordquant.llm import bpe, extract, jaccard, langid, licenses
 from fjordquant.llm.common import table
 from fjordquant.llm.registry import query
 
@@ -33,3 +33,9 @@ def op9_kneser_ney_language(spark, d):
 @query("op7_diagonal_voting")
 def op7_diagonal_voting(spark, d):
     return licenses.summary(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("op6_two_pass_blocks")
+def op6_two_pass_blocks(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url", "html")
+    return extract.main_text(pages, "html").withColumn("n_chars", F.length("text").cast("long"))
