@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fjordquant.llm import chat, quality, sharding
+from fjordquant.llm import chat, decontaminate, quality, sharding
 from fjordquant.llm.common import table
 from fjordquant.llm.registry import query
 
@@ -23,6 +23,12 @@ def op1_rendezvous_shards(spark, d):
                        "grown_shard")
 
 
+@query("op2_template_windows")
+def op2_template_windows(spark, d):
+    return decontaminate.report(table(spark, d, "documents"), "doc_id", "text",
+                                table(spark, d, "benchmark"), "item_id", "text")
+
+
 def _quality_sql() -> str:
     stats = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
