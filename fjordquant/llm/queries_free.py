@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fjordquant.llm import bpe, extract, jaccard, langid, licenses
+from fjordquant.llm import bpe, extract, jaccard, langid, licenses, warc
 from fjordquant.llm.common import table
 from fjordquant.llm.registry import query
 
@@ -39,3 +39,11 @@ def op7_diagonal_voting(spark, d):
 def op6_two_pass_blocks(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url", "html")
     return extract.main_text(pages, "html").withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op5_boundary_chain")
+def op5_boundary_chain(spark, d):
+    path = warc.new_path(spark)
+    warc.write(table(spark, d, "pages"), "page_id", "url", "html", path)
+    return warc.read(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
