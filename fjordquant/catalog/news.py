@@ -141,7 +141,7 @@ LINK = r'(?s)<a[^>]+href="([^"]+)"[^>]*>(.*?)</a>'
 @query("article_links", "TXT-4 STR-6", r"""
 WITH e AS (SELECT page_id, regexp_extract_all(html, '(?s)<a[^>]+href="([^"]+)"[^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?s)<a[^>]+href="([^"]+)"[^>]*>(.*?)</a>', 2) AS t FROM pages),
 u AS (SELECT page_id, generate_subscripts(h, 1) AS pos, unnest(h) AS href, unnest(t) AS raw FROM e),
-c AS (SELECT page_id, pos, href, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(raw, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM u),
+c AS (SELECT page_id, pos, href, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(raw, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM u),
 f AS (SELECT * FROM c WHERE length(title) >= 3 QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY pos) = 1)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank, href, title FROM f QUALIFY rank <= 25""")
 def article_links(spark, d):
@@ -149,7 +149,7 @@ def article_links(spark, d):
 
 
 @query("page_text", "STR-6", r"""
-SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
 def page_text(spark, d):
     return D.table(spark, d, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
 

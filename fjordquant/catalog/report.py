@@ -93,13 +93,6 @@ def filings_index(spark, d):
     return R.filings_index(f, "filings/").select("ticker", "rank", "link")
 
 
-@query("foreign_flow", "SRC-13", with_("bars", "SELECT symbol, time, CAST(NULL AS DOUBLE) AS buy_volume FROM bars"))
-def foreign_flow(spark, d):
-    flow = V.foreign_flow(spark).withColumn("symbol", F.col("symbol").cast("long"))
-    return D.bars(spark, d).select("symbol", "time").join(flow, ["symbol", "time"], "left").select(
-        "symbol", "time", "buy_volume")
-
-
 @query("source_cross_checks", "CHK-1", with_("ratios now_u", """
 WITH s AS (SELECT symbol, year, roe, roe * 100 + CASE WHEN symbol % 5 = 0 THEN 10 ELSE 0 END AS src FROM ratios),
 p AS (SELECT symbol, count(src) AS n_both, count_if(abs(src / 100 - roe) > 0.03) AS bad FROM s GROUP BY 1)

@@ -44,9 +44,9 @@ def quote_board(spark, d):
 
 
 @query("price_payloads", "SRC-20", with_("bars", """
-SELECT symbol, time, close, volume FROM bars WHERE symbol % 3 <> 0 AND symbol < 50"""))
+SELECT symbol, time, close, volume FROM bars WHERE symbol % 3 <> 0"""))
 def price_payloads(spark, d):
-    bars = D.bars(spark, d).where(F.col("symbol") < 50)
+    bars = D.bars(spark, d)
     row = F.struct(F.unix_timestamp(F.col("time").cast("timestamp")).alias("t"), "open", "high", "low", "close", "volume")
     packed = bars.groupBy("symbol", F.year("time").alias("y")).agg(F.collect_list(row).alias("a")).select(
         "symbol", F.when(F.col("symbol") % 3 == 0, "other").otherwise(F.col("symbol").cast("string")).alias("returned_symbol"),
@@ -246,7 +246,11 @@ def missing_signal_dates(spark, d):
     return STORE.missing_dates(m, m.where(F.year("as_of") == 1998))
 
 
-@query("input_signature", "SNK-6", None)
+@query("input_signature", "SNK-6", with_("ttm_all", """
+WITH h AS (SELECT sha256(concat_ws('|', CAST(symbol AS VARCHAR), CAST(q AS VARCHAR), coalesce(ttm_label, '\\N'))) AS d FROM ttm_all),
+p AS (SELECT count(*) AS n, """ + ", ".join(
+    f"sum(CAST('0x' || substr(d, {1 + 8 * i}, 8) AS BIGINT)) AS p{i}" for i in range(8)) + """ FROM h)
+SELECT n, sha256(concat_ws('-', n, p0, p1, p2, p3, p4, p5, p6, p7)) AS signature FROM p"""))
 def input_signature(spark, d):
     return STORE.input_signature(TTM.ttm_history(deduped(spark, d)), ["symbol", "q", "ttm_label"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def fold(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Folded text with single spaces."""
-    return F.trim(F.regexp_replace(fold(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(fold(text), r"(?U)\s+", " "))
 
 
 def words_only(text: Column) -> Column:
@@ -67,21 +68,40 @@ def percent_vi(v: Column, decimals: int = 1, na: str = "N/A", sign: bool = False
     return F.when(v.isNull() | F.isnan(v), na).otherwise(text)
 
 
-# named entities (fixed values)
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-            ("&apos;", "'"), ("&amp;", "&")]
+# every named character reference of one code point, from the standard table
+ENTITIES = {name[:-1]: char for name, char in html5.items() if name.endswith(";") and len(char) == 1}
+
+
+def unescape(text: Column) -> Column:
+    """Character references resolved, named and numeric, each once."""
+    cuts = F.split(text, "(?=&)")  # every piece but the first begins with an ampersand
+    names = F.create_map(*[F.lit(x) for pair in sorted(ENTITIES.items()) for x in pair])
+
+    def one(piece: Column) -> Column:
+        name = F.regexp_extract(piece, "^&(#?[0-9A-Za-z]+);", 1)
+        code = F.when(name.rlike("^#[0-9]{1,7}$"), F.conv(F.substr(name, F.lit(2)), 10, 10)).when(
+            name.rlike("^#[xX][0-9A-Fa-f]{1,6}$"), F.conv(F.substr(name, F.lit(3)), 16, 10))
+        number = code.cast("long")
+        # a code point as UTF-16 units in hex, decoded
+        pair = F.concat(F.lpad(F.hex(F.lit(0xD800) + F.shiftright(number - 0x10000, 10)), 4, "0"),
+                        F.lpad(F.hex(F.lit(0xDC00) + (number - 0x10000).bitwiseAND(0x3FF)), 4, "0"))
+        units = F.when(number < 0x10000, F.lpad(F.hex(number), 4, "0")).otherwise(pair)
+        char = F.when(number.between(1, 0x10FFFF), F.decode(F.unhex(units), "UTF-16BE")).otherwise(
+            F.try_element_at(names, name))
+        return F.when((name != "") & char.isNotNull(), F.concat(
+            char, F.substr(piece, F.length(name) + 3))).otherwise(piece)
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(cuts, one), "")).otherwise(text)
 
 
 def strip_html(html: Column) -> Column:
-    """Tags out, entities resolved, white space collapsed."""
-    text = F.regexp_replace(html, "<[^>]+>", " ")
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Tags out, references resolved, white space collapsed."""
+    text = unescape(F.regexp_replace(html, "<[^>]+>", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def sentences(text: Column) -> Column:
-    parts = F.split(text, r"(?<=[.!?;])\s+|\n+")
+    parts = F.split(text, r"(?U)(?<=[.!?;])\s+|\n+")
     return F.filter(F.transform(parts, F.trim), lambda s: s != "")
 
 

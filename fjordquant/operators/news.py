@@ -137,7 +137,8 @@ def match_companies(news: DataFrame, companies: DataFrame,
         return F.regexp_like("upper", F.concat(F.lit("(?U)" + before), t, F.lit(after)))
 
     at = F.regexp_instr("upper", F.concat(F.lit(r"(?U)\b"), t, F.lit(r"\b")))
-    near = words_only(F.substring("upper", F.greatest(at - 45, F.lit(1)), F.length(t) + 90))
+    begin = F.greatest(at - 45, F.lit(1))  # the window is cut at the text's start, not moved
+    near = words_only(F.substring("upper", begin, at + F.length(t) + 45 - begin))
     # a ticker standing alone is exactly a token hit; ordinary words need context
     token = F.col("is_token")
     alone = token & (~t.isin(unclear) | near.rlike(rf"\b({CONTEXT})\b")) if unclear else token

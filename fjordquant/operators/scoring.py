@@ -125,7 +125,7 @@ def opportunities(df: DataFrame, exchange: str | None = None, min_value: float |
         df = df.where(F.contains(F.lower(F.col("symbol").cast("string")), F.lit(q.lower()))
                       | F.contains(F.lower("name"), F.lit(q.lower())))
     order = ranking_order()
-    top = with_ranking_keys(df).orderBy(*order).limit(max(1, min(limit, 2000)))
+    top = with_ranking_keys(df).orderBy(*order).limit(max(1, limit))
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("_s", "_u", "_v")
 
 

@@ -28,7 +28,7 @@ def universe_page(universe: DataFrame, exchange: str | None = None, node: str |
         df = df.where(F.contains(F.col("symbol").cast("string"), F.lit(q.upper()))
                       | F.contains(F.lower("name"), F.lit(q.lower())))
     order = F.asc_nulls_last(sort) if ascending else F.desc_nulls_last(sort)
-    size = max(1, min(page_size, 2000))
+    size = max(1, page_size)
     return df.orderBy(order, "symbol").offset((max(1, page) - 1) * size).limit(size)
 
 

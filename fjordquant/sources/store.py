@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,16 +40,39 @@ def refresh_bars(old: DataFrame, new: DataFrame) -> DataFrame:
 def publish(df: DataFrame, root: str, cluster: str = "symbol", order: str = "time") -> str:
     """All-or-nothing publish: write a new version, then move the pointer.
 
+    A pointer entry carries the next sequence number; ``current`` reads the highest.
     Range partitioning by symbol keeps one symbol's bars in neighbouring row
     groups, so a symbol filter skips the rest.
     """
     version = f"{root}/v-{uuid.uuid4().hex}"
     df.repartitionByRange(cluster, order).sortWithinPartitions(cluster, order).write.parquet(version)
-    pointer = df.sparkSession.createDataFrame([(version,)], "path string")
-    pointer.write.mode("append").parquet(f"{root}/_current")
+    spark = df.sparkSession
+    seq = pointer_of(spark, root)[0] + 1
+    spark.createDataFrame([(seq, version)], POINTER).write.mode("append").parquet(f"{root}/_current")
     return version
 
 
+POINTER = "seq long, path string"
+
+
+def pointer_of(spark: SparkSession, root: str) -> tuple[int, str | None]:
+    """Sequence number and path of the published version; (0, None) before the first."""
+    try:
+        entries = spark.read.schema(POINTER).parquet(f"{root}/_current")
+    except AnalysisException:
+        return 0, None
+    last = entries.agg(F.max(F.struct("seq", "path")).alias("last")).first()["last"]
+    return (last["seq"], last["path"]) if last else (0, None)
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The published version of a store."""
+    path = pointer_of(spark, root)[1]
+    if path is None:
+        raise ValueError(f"nothing is published under {root}")
+    return spark.read.parquet(path)
+
+
 def publish_scores(df: DataFrame, path: str) -> None:
     """One partition per signal date; only the dates in ``df`` are replaced."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
@@ -83,7 +107,8 @@ def input_signature(rows: DataFrame, columns: list[str]) -> DataFrame:
     Row digests are summed in 32-bit pieces (an aggregate with map-side
     combine) and the sums are hashed; no list of rows is built.
     """
-    digest = F.sha2(F.to_json(F.struct(*columns)), 256)
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]
+    digest = F.sha2(F.concat_ws("|", *fields), 256)
     parts = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)") for i in range(8)]
     sums = rows.select(*[p.alias(f"p{i}") for i, p in enumerate(parts)]).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(f"p{i}").alias(f"p{i}") for i in range(8)])

@@ -62,9 +62,9 @@ def company_type(code: Column, icb2: Column, icb3: Column, icb4: Column) -> Colu
 
 def classify_by_keywords(df: DataFrame, static: DataFrame) -> DataFrame:
     """Industry keywords in kind order, then the static list, with the reason."""
-    text = F.lower(F.coalesce("industry", F.lit("")))
+    text = fold(F.coalesce("industry", F.lit("")))
     kind = F.coalesce(*[
-        F.when(F.contains(text, F.lit(k)), F.struct(
+        F.when(F.contains(text, fold(F.lit(k))), F.struct(
             F.lit(name).alias("kind"), F.concat(F.lit("industry: "), F.lit(k)).alias("reason")))
         for name, words in KIND_KEYWORDS for k in words])
     j = df.join(static.withColumnRenamed("kind", "static_kind"), "symbol", "left")
@@ -260,10 +260,5 @@ def first_source(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(best, [*by, "priority"])
 
 
-def foreign_flow(spark: SparkSession) -> DataFrame:
-    """The foreign-flow contract; no provider fills it."""
-    return spark.createDataFrame([], FOREIGN_FLOW)
-
-
 def stale(store: DataFrame, now: Column, days: int = 7) -> DataFrame:
     return store.agg((F.date_diff(now, F.max("updated_at")) > days).alias("stale"))

@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 from fjordquant.functions import text as X
 from fjordquant.functions.ordering import (
     grouped_quantiles, order_bucket, with_average_rank, with_share_at_most)
-from fjordquant.functions.smoothing import BLOCK, with_ewm
+from fjordquant.functions.smoothing import block_length, with_ewm
 
 
 def test_smoothing_equals_recursion_over_several_blocks(spark):
     rng = np.random.default_rng(3)
-    n = 2 * BLOCK + 300
+    n = 2 * block_length(0.2) + 300
     x = pd.DataFrame({"s": 1, "i": range(n), "x": rng.normal(size=n).cumsum() + 50})
     out = with_ewm(spark.createDataFrame(x), ["s"], "i", [
         {"name": "a", "value": "x", "alpha": 2 / 10, "start": 0, "min_periods": 9},
@@ -58,3 +58,24 @@ def test_text_folding_numbers_and_slugs(spark):
     fmt = spark.createDataFrame([(1234.5,), (None,)], "v double")
     assert [r[0] for r in fmt.select(X.number_vi(F.col("v"), 1)).collect()] == ["1.234,5", "N/A"]
     assert fmt.select(X.percent_vi(F.lit(0.125), sign=True)).first()[0] == "+12,5%"
+
+
+def test_smoothing_for_any_span(spark):
+    rng = np.random.default_rng(2)
+    x = pd.DataFrame({"s": "A", "i": range(5000), "x": rng.random(5000) * 100})
+    spans = [1, 2, 3, 5, 9, 26, 60, 200, 500]
+    out = with_ewm(spark.createDataFrame(x), ["s"], "i", [
+        {"name": f"e{n}", "value": "x", "alpha": 2 / (n + 1), "start": 0} for n in spans])
+    got = out.orderBy("i").toPandas()
+    for n in spans:
+        want = x.x.ewm(span=n, adjust=False).mean()
+        assert np.allclose(got[f"e{n}"], want, rtol=1e-11), n
+
+
+def test_references_and_unicode_space(spark):
+    from fjordquant.functions.text import sentences, squeeze, strip_html
+
+    df = spark.createDataFrame([("<p>Caf&eacute; &#272;&#x1F600; &amp;lt; &bogus; A&nbsp;B &lt;</p>", "n\u1ee3\u00a0x\u1ea5u", "Mot.\u00a0Hai")], "h string, t string, s string")
+    r = df.select(strip_html(F.col("h")).alias("h"), squeeze(F.col("t")).alias("t"), sentences(F.col("s")).alias("s")).first()
+    assert r.h == "Caf\u00e9 \u0110\U0001F600 &lt; &bogus; A B <"
+    assert r.t == "no xau" and r.s == ["Mot.", "Hai"]

@@ -12,11 +12,11 @@ from fjordquant.sources import store as STORE
 from fjordquant.streaming import live as L
 
 SF = "/root/testdata/sf0.001"
-WITHOUT_SQL = {"input_signature"}
 
 
 def test_every_query_has_check_sql():
-    assert set(entry_module.queries()) - set(entry_module.oracle_sql()) == WITHOUT_SQL
+    assert {n for n, e in ENTRIES.items() if e.sql is None} == set()
+    assert set(ENTRIES) <= set(entry_module.queries()) & set(entry_module.oracle_sql())
 
 
 def test_stream_equals_batch(spark):
@@ -38,6 +38,9 @@ def test_publish_merge_and_partitions(spark, tmp_path):
     assert [r.symbol for r in STORE.refresh_bars(old, new).collect()] == ["A"]
     path = STORE.publish(STORE.merge_bars(old, new), str(tmp_path / "bars"))
     assert STORE.read_bars(spark, path, ["B"], "2024-01-01", ["symbol", "close"]).collect()[0].close == 3.0
+    STORE.publish(old, str(tmp_path / "bars"))
+    assert [r.close for r in STORE.current(spark, str(tmp_path / "bars")).collect()] == [1.0]
+    assert STORE.pointer_of(spark, str(tmp_path / "bars"))[0] == 2
     scores = spark.createDataFrame([("A", 1.0, "2024-01-31"), ("A", 2.0, "2024-02-29")], "symbol string, score double, as_of string")
     out = str(tmp_path / "scores")
     STORE.publish_scores(scores, out)
