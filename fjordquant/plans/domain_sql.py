@@ -97,7 +97,7 @@ define("macro", """
 SELECT o_orderpriority AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS date,
        avg(o_totalprice) AS value FROM orders GROUP BY 1, 2""")
 define("news", """
-SELECT doc_id AS guid, substring(text, 1, 160) AS title, text AS body, source, lang,
+SELECT doc_id AS guid, split_part(text, chr(10), 1) AS title, text AS body, source, lang,
        DATE '2024-01-01' + CAST(doc_id % 180 AS INTEGER) AS published_at FROM documents""")
 define("quotes", """
 SELECT event_id, user_id AS symbol, ts, value AS price,
