@@ -191,9 +191,10 @@ def sector_table(spark, d):
 
 
 @query("market_map", "AGG-3", with_("now_u", """
-SELECT level, node, parent, round(coalesce(sum(market_cap), 0), 1) AS size, count(*) AS count, round(median(ret_1m), 8) AS value
-FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS level, unnest([icb1, icb2, icb3, icb4, CAST(symbol AS VARCHAR)]) AS node, unnest([NULL, icb1, icb2, icb3, icb4]) AS parent FROM now_u)
-GROUP BY 1, 2, 3"""))
+SELECT level, path, node, parent, round(coalesce(sum(market_cap), 0), 1) AS size, count(*) AS count, round(median(ret_1m), 8) AS value
+FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS level, unnest([icb1, icb2, icb3, icb4, CAST(symbol AS VARCHAR)]) AS node, unnest([NULL, icb1, icb2, icb3, icb4]) AS parent,
+  unnest([icb1, concat_ws('/', icb1, icb2), concat_ws('/', icb1, icb2, icb3), concat_ws('/', icb1, icb2, icb3, icb4), concat_ws('/', icb1, icb2, icb3, icb4, CAST(symbol AS VARCHAR))]) AS path FROM now_u)
+GROUP BY 1, 2, 3, 4"""))
 def market_map(spark, d):
     return rounded(PE.market_tree(now_universe(spark, d)), {"size": 1, "value": 8})
 

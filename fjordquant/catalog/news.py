@@ -164,9 +164,9 @@ def folded_titles(spark, d):
 
 @query("vietnamese_numbers", "STR-4 STR-5", """
 SELECT o_orderkey, replace(replace(replace(format('{:,.2f}', o_totalprice), ',', '_'), '.', ','), '_', '.') AS price_vi,
-  (CASE WHEN o_totalprice % 3 < 1 THEN '+' ELSE '' END) || replace(format('{:.1f}', round(o_totalprice / 1000, 1)), '.', ',') || '%' AS share_vi, true AS same_numbers, 2 AS n_numbers FROM orders WHERE o_totalprice >= 1000""")
+  (CASE WHEN o_totalprice % 3 < 1 THEN '+' ELSE '' END) || replace(format('{:.1f}', round(o_totalprice / 1000, 1)), '.', ',') || '%' AS share_vi, true AS same_numbers, 2 AS n_numbers FROM orders""")
 def vietnamese_numbers(spark, d):
-    o = D.table(spark, d, "orders").where(F.col("o_totalprice") >= 1000)
+    o = D.table(spark, d, "orders")
     p = F.col("o_totalprice")
     western = F.concat(F.lit("from "), F.format_number(p, 2), F.lit(" on "), F.col("o_orderkey") + 1, F.lit("."))
     local = F.concat(F.lit("ngày "), F.col("o_orderkey") + 1, F.lit(" là "), X.number_vi(p, 2), F.lit(" đ"))

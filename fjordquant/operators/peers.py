@@ -135,22 +135,27 @@ def sector_table(universe: DataFrame, index_rets: DataFrame, impacts: DataFrame)
 
 
 def market_tree(universe: DataFrame, period: str = "ret_1m") -> DataFrame:
-    """The tree as rows: every node with its parent, size, median return, count."""
+    """The tree as rows: every node with its path, parent, size, median return, count.
+
+    A node is its whole path, so equal names under two parents stay apart.
+    """
+    names = [f"icb{k}" for k in (1, 2, 3, 4)]
     levels = F.array(*[F.struct(
-        F.lit(k).alias("level"), F.col(f"icb{k}").alias("node"),
-        (F.col(f"icb{k - 1}") if k > 1 else F.lit(None).cast("string")).alias("parent"))
+        F.lit(k).alias("level"), F.concat_ws("/", *names[:k]).alias("path"),
+        F.col(names[k - 1]).alias("node"),
+        (F.col(names[k - 2]) if k > 1 else F.lit(None).cast("string")).alias("parent"))
         for k in (1, 2, 3, 4)])
     rows = universe.select("market_cap", F.col(period).alias("value"), F.explode(levels).alias("l")
                            ).select("l.*", "market_cap", "value")
-    keys = ["level", "node"]
-    sizes = rows.groupBy(*keys).agg(
-        F.first("parent").alias("parent"), F.coalesce(F.sum("market_cap"), F.lit(0.0)).alias("size"),
-        F.count(F.lit(1)).alias("count"))
+    keys = ["level", "path"]
+    sizes = rows.groupBy(*keys, "node", "parent").agg(
+        F.coalesce(F.sum("market_cap"), F.lit(0.0)).alias("size"), F.count(F.lit(1)).alias("count"))
     medians = grouped_quantiles(rows, keys, "value", {"value": 0.5}).select(*keys, "value")
     inner = sizes.join(medians, keys, "left")
     leaves = universe.select(
-        F.lit(5).alias("level"), F.col("symbol").cast("string").alias("node"),
-        F.col("icb4").alias("parent"), F.coalesce("market_cap", F.lit(0.0)).alias("size"),
+        F.lit(5).alias("level"), F.concat_ws("/", *names, F.col("symbol").cast("string")).alias("path"),
+        F.col("symbol").cast("string").alias("node"), F.col("icb4").alias("parent"),
+        F.coalesce("market_cap", F.lit(0.0)).alias("size"),
         F.lit(1).cast("long").alias("count"), F.col(period).alias("value"))
     return inner.unionByName(leaves)
 
