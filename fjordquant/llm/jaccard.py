@@ -35,8 +35,9 @@ from fjordquant.llm import textscan as S
 from fjordquant.session import materialise
 
 HOT = 64               # holders of a prefix token that are still paired directly
-MAX_LEVELS = 6         # levels of centres; lists left after the last are paired directly
+MAX_LEVELS = 2         # levels of centres; lists left after the last are paired directly
 LEVELS_OF_MATCH = 3    # longest L
+HEAD = 24              # least number of tokens kept for every row; above LEVELS_OF_MATCH
 VERIFY_COST = 20.0     # cost of one verification, in postings read
 BROADCAST_ROWS = 1_000_000  # ids sent to all tasks (8 MB); beyond, rows are shuffled
 
@@ -71,6 +72,11 @@ def required(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def head_size(n: int, percent: int) -> int:
+    """Tokens kept for every row: twice what a difference's prefix needs."""
+    return 2 * ((100 - percent) * n // percent) + HEAD
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     at = np.zeros(len(arrays) + 1, np.int32)
     np.cumsum([len(a) for a in arrays], out=at[1:])
@@ -79,12 +85,11 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def scan(docs: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
-    """(key, id, node, n, tokens) of (key, id, text): all tokens, or the longest prefix."""
+    """(key, id, node, n, tokens) of (key, id, text): all tokens, or the smallest ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in S.slices(batches, "text"):
             sets = token_sets(batch.column(2), width)
-            cut = sets if whole else [
-                s[:len(s) - required(len(s), percent) + LEVELS_OF_MATCH] for s in sets]
+            cut = sets if whole else [s[:head_size(len(s), percent)] for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([set_id(s) for s in sets], pa.int64()),
                  pa.array([len(s) for s in sets], pa.int64()), _lists(cut)],
@@ -105,23 +110,24 @@ def close_sizes(a: str, b: str, percent: int) -> str:
 
 def list_pairs(postings: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """Pairs of holders of a token, smaller node first, close in size."""
-    left = postings.select(*keys, F.col("node").alias("a"), F.col("n").alias("na"),
-                           F.col("need").alias("need_a"))
-    right = postings.select(*keys, F.col("node").alias("b"), F.col("n").alias("nb"),
-                            F.col("need").alias("need_b"))
+    left, right = (postings.select(
+        *keys, F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("need").alias(f"need_{x}"),
+        F.col("inside").alias(f"in_{x}")) for x in "ab")
     return left.join(right, keys).where(
-        (F.col("a") < F.col("b")) & F.expr(close_sizes("na", "nb", percent)))
+        (F.col("a") < F.col("b")) & ~(F.col("in_a") & F.col("in_b"))
+        & F.expr(close_sizes("na", "nb", percent)))
 
 
 def first_level(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs from short lists with adaptive L, and members of hot groups."""
-    postings = classes.select(
+    base = f"(n - ceil({percent} * n / 100))"
+    prefix = F.expr(f"slice(tokens, 1, cast({base} + {LEVELS_OF_MATCH} as int))")
+    postings = classes.select("node", "n", prefix.alias("tokens")).select(
         "node", "n", F.element_at("tokens", -1).alias("reach"), F.posexplode("tokens"))
     postings = postings.withColumnRenamed("col", "token")
     lists = postings.groupBy("token").agg(
         F.count(F.lit(1)).alias("c"), F.max("reach").alias("g")).where("c > 1")
     shared = materialise(postings.join(lists, "token"))
-    base = f"(n - ceil({percent} * n / 100))"
     scans = [F.sum(F.expr(f"CASE WHEN c <= {HOT} AND pos < {base} + {k} THEN c - 1 ELSE 0 END"))
              for k in range(1, LEVELS_OF_MATCH + 1)]
     costs = shared.groupBy("node").agg(
@@ -130,12 +136,14 @@ def first_level(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
         (F.col(f"s{k}") * (1 + VERIFY_COST / k)).alias("cost"), F.lit(k).alias("need")))
         for k in range(1, LEVELS_OF_MATCH + 1)]
     need = costs.select("node", F.array_min(F.array_compact(F.array(*options)))["need"].alias("need"))
-    short = shared.where(F.col("c") <= HOT).join(need, "node").where(f"pos < {base} + need")
+    short = shared.where(F.col("c") <= HOT).join(need, "node").where(
+        f"pos < {base} + need").withColumn("inside", F.lit(False))
     pairs = (
         list_pairs(short, ["token"], percent).groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("hits"), F.min(F.least("need_a", "need_b")).alias("need"))
         .where("hits >= need").select("a", "b"))
-    return pairs, shared.where(F.col("c") > HOT).select("g", "node", "n").distinct()
+    return pairs, shared.where(F.col("c") > HOT).select(
+        "g", "node", "n", F.lit(0).alias("deep")).distinct()
 
 
 def group_counts(members: DataFrame) -> DataFrame:
@@ -158,24 +166,53 @@ def group_counts(members: DataFrame) -> DataFrame:
         "g", "token").agg(F.sum("cnt").alias("cnt"))
 
 
-def centre_level(members: DataFrame, percent: int, last: bool
+def differences(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
+    """(g, node, n, deep, f, d, enough) of (g, node, n, deep, tokens).
+
+    ``tokens`` may be the smallest ones of a set only; the difference is then known
+    up to the last of them, which is enough if it holds a whole prefix.  ``f`` is
+    the slack; without all tokens it is null, as such a difference is too long for
+    a certain link.
+    """
+    none = F.array().cast("array<long>")
+    whole, centre = F.col("whole"), F.col("centre")
+    near = members.join(centres, "g", "left").select(
+        "g", "node", "n", "deep", "tokens", (F.size("tokens") == F.col("n")).alias("whole"),
+        F.coalesce("centre", none).alias("centre"))
+    near = near.withColumn("last", F.element_at("tokens", -1)).withColumn(
+        "centre", F.when(whole, centre).otherwise(F.filter(centre, lambda t: t <= F.col("last"))))
+    near = near.withColumn("d", F.sort_array(F.concat(
+        F.array_except("tokens", "centre"), F.array_except("centre", "tokens"))))
+    # o >= |D| - (100 - T) / (100 + T) * (1 + 100 / T) * n = |D| - (100 - T) / T * n
+    prefix = f"cast(floor({100 - percent} * n / {percent}) + 1 as int)"
+    return near.select(
+        "g", "node", "n", "deep",
+        F.when(whole, F.size("d") * (100 + percent) - F.col("n") * (100 - percent)).alias("f"),
+        F.expr(f"slice(d, 1, {prefix})").alias("d"),
+        F.expr(f"whole OR size(d) >= {prefix}").alias("enough"))
+
+
+def centre_level(members: DataFrame, tokens_of, percent: int, last: bool
                  ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(certain links, candidate pairs, members of the next level's groups)."""
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
-    centres = group_counts(members).join(sizes, "g").where("2 * cnt > m").groupBy("g").agg(
-        F.array_agg("token").alias("centre"))
-    near = members.join(centres, "g", "left").select(
-        "g", "node", "n", F.coalesce("centre", F.array().cast("array<long>")).alias("centre"), "tokens")
-    near = near.select("g", "node", "n", F.sort_array(F.concat(
-        F.array_except("tokens", "centre"), F.array_except("centre", "tokens"))).alias("d"))
-    near = materialise(near.select(
-        "g", "node", "n", (F.size("d") * (100 + percent) - F.col("n") * (100 - percent)).alias("f"),
-        # o >= |D| - (100 - T) / (100 + T) * (1 + 100 / T) * n = |D| - (100 - T) / T * n
-        F.expr(f"slice(d, 1, cast(floor({100 - percent} * n / {percent}) + 1 as int))").alias("d")))
-    best = near.groupBy("g").agg(F.min(F.struct("f", "node")).alias("best"))
-    links = near.join(best, "g").where("f + best.f <= 0 AND node <> best.node").select(
+    centres = materialise(
+        group_counts(members).join(sizes, "g").where("2 * cnt > m").groupBy("g").agg(
+            F.array_agg("token").alias("centre")))
+    known = materialise(differences(members, centres, percent))
+    lacking = members.select("g", "node", "n", F.lit(1).alias("deep")).join(
+        known.where("NOT enough").select("g", "node"), ["g", "node"], "left_semi")
+    fetched = tokens_of(known.where("NOT enough").select("node").distinct())
+    near = known.where("enough").unionByName(
+        differences(lacking.join(fetched, "node"), centres, percent))
+    near = materialise(near.drop("enough"))
+    best = near.where("f IS NOT NULL").groupBy("g").agg(F.min(F.struct("f", "node")).alias("best"))
+    # inside: linked to the best member for certain, so pairs of such members add nothing
+    near = near.join(best, "g", "left").withColumn(
+        "inside", F.expr("coalesce(f + best.f <= 0, false)"))
+    links = near.where("inside AND node <> best.node").select(
         F.col("best.node").alias("a"), F.col("node").alias("b"))
-    postings = near.select("g", "node", "n", F.element_at("d", -1).alias("reach"),
+    postings = near.select("g", "node", "n", "deep", "inside", F.element_at("d", -1).alias("reach"),
                            F.explode("d").alias("token"))
     lists = postings.groupBy("g", "token").agg(
         F.count(F.lit(1)).alias("c"), F.max("reach").alias("to")).where("c > 1")
@@ -183,10 +220,28 @@ def centre_level(members: DataFrame, percent: int, last: bool
     short = shared if last else shared.where(F.col("c") <= HOT)
     pairs = list_pairs(short, ["g", "token"], percent).select("a", "b").distinct()
     deeper = shared.where(F.col("c") > HOT).select(
-        F.xxhash64("g", "to").alias("g"), "node", "n").distinct()
+        F.xxhash64("g", "to").alias("g"), "node", "n", "deep").groupBy("g", "node", "n").agg(
+        F.max("deep").alias("deep"))
     return links, pairs, deeper
 
 
+def plausible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose smallest tokens do not differ by more than whole similar sets may.
+
+    Up to the lesser of their last known tokens both sets are known, so what differs
+    there differs in the whole sets.
+    """
+    side = lambda x: heads.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"),
+                                  F.col("tokens").alias(f"t{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    upto = lambda x: F.when(F.size(f"t{x}") < F.col(f"n{x}"), F.element_at(f"t{x}", -1)).otherwise(
+        F.lit((1 << 63) - 1))
+    both = both.withColumn("upto", F.least(upto("a"), upto("b")))
+    extra = lambda x, y: F.size(F.filter(F.array_except(f"t{x}", f"t{y}"), lambda t: t <= F.col("upto")))
+    return both.where((100 + percent) * (extra("a", "b") + extra("b", "a"))
+                      <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge."""
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct())
@@ -231,11 +286,16 @@ def link(docs: DataFrame, id_column: str, text: str, width: int = 3, percent: in
         members = materialise(members)
         if not members.limit(1).count():
             break
-        full = materialise(members.join(tokens_of(members.select("node").distinct()), "node"))
-        links, pairs, members = centre_level(full, percent, level == MAX_LEVELS - 1)
+        # where the smallest tokens did not reach once, all of them are used from then on
+        deep = tokens_of(members.where("deep = 1").select("node").distinct())
+        headed = materialise(
+            members.where("deep = 0").join(classes.select("node", "tokens"), "node")
+            .unionByName(members.where("deep = 1").join(deep, "node")))
+        links, pairs, members = centre_level(headed, tokens_of, percent, level == MAX_LEVELS - 1)
         all_links.append(links)
         all_pairs.append(pairs)
-    candidates = materialise(reduce(DataFrame.union, all_pairs).distinct())
+    candidates = materialise(plausible(
+        reduce(DataFrame.union, all_pairs).distinct(), classes.select("node", "n", "tokens"), percent))
     tokens = tokens_of(candidates.select(F.col("a").alias("node")).union(
         candidates.select("b")).distinct())
     overlap = F.size(F.array_intersect("ta", "tb"))
