@@ -195,12 +195,16 @@ def keep_good(df: DataFrame, text: str) -> DataFrame:
     names = [f"_vote{i}" for i in range(len(RULES))]
     stats = [F.col(c) for c in (*STATS, "base_failed")]
     voted = text_stats(df.select(F.col(text)), text).select(*stats)
-    model = fit(voted.select(*[F.expr(vote(r)).alias(n) for n, r in zip(names, RULES)]), names)
+    voted = materialise(voted.select(*[F.expr(vote(r)).alias(n) for n, r in zip(names, RULES)]))
+    model = fit(voted, names)
     row, inner = fresh(df, "_row", "_text")
     boxed = df.select(F.struct(*[F.col(c) for c in df.columns]).alias(row),
                       F.col(text).alias(inner))
     boxed = text_stats(boxed, inner).withColumns({
         n: F.expr(vote(r)) for n, r in zip(names, RULES)})
-    good = boxed.where(~F.col("base_failed")
+    # the id keeps the planner from moving the filter below the counts and working each out
+    # again inside the other's lambdas
+    boxed = boxed.withColumn("_stay", F.monotonically_increasing_id())
+    good = boxed.where((F.col("_stay") >= 0) & ~F.col("base_failed")
                        & (model.posterior([F.col(n) for n in names]) >= KEEP_AT))
     return good.select(*[F.col(row)[c].alias(c) for c in df.columns])
