@@ -100,15 +100,17 @@ RULES = [
          "n_dup_lines = 0 AND n_lines >= 3"),
     Rule("repeats", "20 * n_repeat_words > 3 * n_words",
          "50 * n_repeat_words <= n_words AND n_words >= 20"),
-    Rule("word_length", "word_chars < 3 * n_words OR word_chars > 12 * n_words",
-         "2 * word_chars >= 7 * n_words AND word_chars <= 7 * n_words"),
+    Rule("symbol_density", "20 * n_symbols > word_chars", "500 * n_symbols <= word_chars"),
+    Rule("word_length", "n_words >= 20 AND (word_chars < 3 * n_words OR 10 * word_chars > 72 * n_words)",
+         "2 * word_chars >= 7 * n_words AND 2 * word_chars <= 13 * n_words"),
     Rule("variety", "n_words BETWEEN 15 AND 2000 AND 10 * n_distinct < 4 * n_words",
          "n_words >= 15 AND 10 * n_distinct >= 6 * n_words"),
 ]
 
 ROUNDS = 12
 PRIOR_FINE = 0.9      # share of fine documents before any vote is seen
-PRIOR_RIGHT = 0.8     # how often a rule that votes is right, before any vote is seen
+PRIOR_ON_FINE = 0.95  # a rule rarely calls a fine document poor ...
+PRIOR_ON_POOR = 0.5   # ... and calls about every other poor one poor, before any vote is seen
 PRIOR_WEIGHT = 0.05   # strength of both beliefs, as a share of the corpus
 KEEP_AT = 0.5
 
@@ -134,7 +136,7 @@ class LabelModel:
 
 
 def first_model(rules: int) -> LabelModel:
-    return LabelModel(PRIOR_FINE, (PRIOR_RIGHT,) * rules, (PRIOR_RIGHT,) * rules)
+    return LabelModel(PRIOR_FINE, (PRIOR_ON_FINE,) * rules, (PRIOR_ON_POOR,) * rules)
 
 
 def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> LabelModel:
@@ -156,12 +158,12 @@ def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> LabelModel:
         if not row[0]:
             break
         weight = PRIOR_WEIGHT * row[0]
-        rate = lambda hit, of: ((hit or 0.0) + weight * PRIOR_RIGHT) / ((of or 0.0) + weight)
+        rate = lambda hit, of, prior: ((hit or 0.0) + weight * prior) / ((of or 0.0) + weight)
         at = range(2, len(row), 4)
         model = LabelModel(
             (row[1] + weight * PRIOR_FINE) / (row[0] + weight),
-            tuple(rate(row[i], row[i + 1]) for i in at),
-            tuple(rate(row[i + 2], row[i + 3]) for i in at))
+            tuple(rate(row[i], row[i + 1], PRIOR_ON_FINE) for i in at),
+            tuple(rate(row[i + 2], row[i + 3], PRIOR_ON_POOR) for i in at))
     return model
 
 

@@ -59,14 +59,15 @@ s AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words
                      f" WHEN -1 THEN ln((1 - m.a{i}) / m.b{i}) ELSE 0 END")
         return f"1 / (1 + exp(-({odds})))"
 
-    w, ok = f"{quality.PRIOR_WEIGHT}::DOUBLE", f"{quality.PRIOR_RIGHT}::DOUBLE"
+    w = f"{quality.PRIOR_WEIGHT}::DOUBLE"
+    on_fine, on_poor = f"{quality.PRIOR_ON_FINE}::DOUBLE", f"{quality.PRIOR_ON_POOR}::DOUBLE"
     ctes = "m0 AS (SELECT " + f"{quality.PRIOR_FINE}::DOUBLE AS f, " + ", ".join(
-        f"{ok} AS a{i}, {ok} AS b{i}" for i in range(n)) + ")"
+        f"{on_fine} AS a{i}, {on_poor} AS b{i}" for i in range(n)) + ")"
     for k in range(quality.ROUNDS):
         rates = ", ".join(
-            f"(coalesce(sum(CASE WHEN v{i} = 1 THEN n * p END), 0) + {w} * sum(n) * {ok})"
+            f"(coalesce(sum(CASE WHEN v{i} = 1 THEN n * p END), 0) + {w} * sum(n) * {on_fine})"
             f" / (coalesce(sum(CASE WHEN v{i} <> 0 THEN n * p END), 0) + {w} * sum(n)) AS a{i}, "
-            f"(coalesce(sum(CASE WHEN v{i} = -1 THEN n * (1 - p) END), 0) + {w} * sum(n) * {ok})"
+            f"(coalesce(sum(CASE WHEN v{i} = -1 THEN n * (1 - p) END), 0) + {w} * sum(n) * {on_poor})"
             f" / (coalesce(sum(CASE WHEN v{i} <> 0 THEN n * (1 - p) END), 0) + {w} * sum(n)) AS b{i}"
             for i in range(n))
         ctes += (f",\nm{k + 1} AS MATERIALIZED (SELECT (sum(n * p) + {w} * sum(n) * {quality.PRIOR_FINE}::DOUBLE)"
