@@ -39,6 +39,7 @@ MAX_LEVELS = 2         # levels of centres; lists left after the last are paired
 LEVELS_OF_MATCH = 3    # longest L
 HEAD = 24              # least number of tokens kept for every row; above LEVELS_OF_MATCH
 VERIFY_COST = 20.0     # cost of one verification, in postings read
+COUNTED_ROWS = 2500    # rows whose tokens are sorted together
 BROADCAST_ROWS = 1_000_000  # ids sent to all tasks (8 MB); beyond, rows are shuffled
 
 
@@ -147,17 +148,25 @@ def first_level(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
 
 
 def group_counts(members: DataFrame) -> DataFrame:
-    """(g, token, cnt) summed per batch before the shuffle."""
+    """(g, token, cnt) summed per batch before the shuffle, of tokens that a batch repeats.
+
+    A centre may be any set, so what one member alone holds in a batch is left out.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        parts = (b.slice(i, COUNTED_ROWS) for b in batches for i in range(0, b.num_rows, COUNTED_ROWS))
+        for batch in parts:
             lists = batch.column(1)
             sizes = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             groups = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
-            both, count = np.unique(np.stack([groups, flat], 1), axis=0, return_counts=True) \
-                if len(flat) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+            order = np.lexsort((flat, groups))
+            groups, flat = groups[order], flat[order]
+            new = np.ones(len(flat), bool)
+            new[1:] = (groups[1:] != groups[:-1]) | (flat[1:] != flat[:-1])
+            at = np.flatnonzero(new)
+            both = np.stack([groups[at], flat[at]], 1)
+            count = np.diff(np.append(at, len(flat)))
+            both, count = both[count > 1], count[count > 1]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(count.astype(np.int64))],
                 ["g", "token", "cnt"])
