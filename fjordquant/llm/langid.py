@@ -5,13 +5,14 @@ one, a-z are themselves, other letters share the remaining symbols by code point
 so a model holds 2^24 four-grams per language at most, whatever the corpus.  Tasks
 count four-grams of all training rows, Spark adds the counts up, and the summed
 table becomes sorted key arrays with one column of log-probabilities per language.
-A text's language is that of the lowest cross-entropy per symbol; scores and the
-rejection limit are calibrated on a bounded sample of the training rows, which the
-counts leave out.
+A text's language is that of the lowest cross-entropy per symbol.  Scores and the
+rejection limits are calibrated with a model that leaves out a bounded sample of the
+training rows of every language; the model that is returned counts all of them.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0 and is
 rejected; ties go to the first language by name; a table without labels gives
-``und`` throughout; an empty table gives an empty result.
+``und`` throughout; a language without calibration rows of its own is never
+rejected; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +33,13 @@ from fjordquant.llm.common import fresh
 ORDER = 4
 BITS = 6
 SYMBOLS = 1 << BITS
-CALIBRATION_ROWS = 20_000  # expected rows scored to calibrate
+CALIBRATION_ROWS = 20_000  # expected rows scored to calibrate, over all languages
+CALIBRATION_LEAST = 200    # expected rows of every language, as far as its share allows
 BINS = 12
 REJECT_QUANTILE = 0.999
 REJECT_SLACK = 1.5
 REJECT_FLOOR = 0.5         # nats per symbol above a language's mean that always pass
-CALIBRATION_SHARE = 0.2    # of the labelled rows at most
+CALIBRATION_SHARE = 0.2    # of a language's labelled rows at most
 SHORT = 40.0               # texts of about this many symbols vary twice as much
 MERGE_EVERY = 24
 UNKNOWN = "und"
@@ -199,19 +201,24 @@ class Calibration:
     edges: list[float]
     share: list[float]
     mean: dict[str, float]
-    limit: float
+    limit: dict[str, float]
 
     def score(self, gap: np.ndarray) -> np.ndarray:
         return np.array(self.share)[np.searchsorted(self.edges, gap)]
 
     def excess(self, lang: str, entropy: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return (entropy - self.mean.get(lang, 0.0)) / np.sqrt(1 + SHORT / np.maximum(size, 1))
+        return (entropy - self.mean[lang]) / np.sqrt(1 + SHORT / np.maximum(size, 1))
+
+    def accepts(self, lang: str, entropy: np.ndarray, size: np.ndarray) -> np.ndarray:
+        if lang not in self.mean:
+            return np.ones(len(size), bool)
+        return self.excess(lang, entropy, size) <= self.limit[lang]
 
 
 def calibrate(sample: list[tuple]) -> Calibration:
     """From (true language, predicted, gap, entropy, symbols) of the sample rows."""
     if not sample:
-        return Calibration([], [0.5], {}, float("inf"))
+        return Calibration([], [0.5], {}, {})
     gap = np.array([s[2] for s in sample])
     right = np.array([s[0] == s[1] for s in sample])
     edges = sorted(set(np.quantile(gap, np.linspace(0, 1, BINS + 1)[1:-1]).tolist()))
@@ -219,10 +226,20 @@ def calibrate(sample: list[tuple]) -> Calibration:
     n = np.bincount(place, minlength=len(edges) + 1)
     hits = np.bincount(place, right, len(edges) + 1)
     share = np.maximum.accumulate((hits + 1) / (n + 2))
-    mean = {x: float(np.mean([s[3] for s in sample if s[1] == x])) for x in {s[1] for s in sample}}
-    flat = Calibration(edges, share.tolist(), mean, 0.0)
-    excess = np.array([flat.excess(s[1], s[3], s[4]) for s in sample])
-    flat.limit = max(float(np.quantile(excess, REJECT_QUANTILE)) * REJECT_SLACK, REJECT_FLOOR)
+    own: dict[str, list[tuple]] = {s[0]: [] for s in sample if s[0] == s[1]}
+    for s in sample:
+        if s[1] in own:
+            own[s[1]].append(s)
+    mean = {x: float(np.mean([s[3] for s in rows])) for x, rows in own.items()}
+    flat = Calibration(edges, share.tolist(), mean, {})
+    excess = {x: [float(flat.excess(x, s[3], s[4])) for s in rows] for x, rows in own.items()}
+
+    def limit(values: list[float]) -> float:
+        return max(float(np.quantile(values, REJECT_QUANTILE)) * REJECT_SLACK, REJECT_FLOOR)
+
+    if own:
+        common = limit([v for values in excess.values() for v in values])
+        flat.limit = {x: max(common, limit(values)) for x, values in excess.items()}
     return flat
 
 
@@ -262,8 +279,7 @@ def predict(df: DataFrame, text: str, model: Model, calibration: Calibration | N
                     score = np.where(known, calibration.score(gap), 0.0)
                     for name in model.languages:
                         own = names == name
-                        accepted[own] &= calibration.excess(
-                            name, entropy[own], size[own]) <= calibration.limit
+                        accepted[own] &= calibration.accepts(name, entropy[own], size[own])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-2], pa.array(names.tolist(), pa.string()), pa.array(score),
                  pa.array(accepted), pa.array(gap), pa.array(entropy),
@@ -278,28 +294,44 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def calibration_parts(counts: dict[str, int]) -> dict[str, int]:
+    """Rows in a million that calibrate, for each language of so many labelled rows."""
+    total = max(sum(counts.values()), 1)
+    return {x: int(min(CALIBRATION_SHARE, max(CALIBRATION_ROWS / total, CALIBRATION_LEAST / n))
+                   * 1_000_000) for x, n in counts.items()}
+
+
 def train(df: DataFrame, key: str, text: str, lang: str) -> tuple[Model, Calibration]:
     """Fit on the labelled rows that are not held out."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")) \
         .where(~held_out(F.col("key")) & F.col("lang").isNotNull() & has_letter(F.col("text")))
-    n = df.where(~held_out(F.col(key)) & F.col(lang).isNotNull()).count()
-    part = int(min(CALIBRATION_SHARE, CALIBRATION_ROWS / max(n, 1)) * 1_000_000)
-    sampled = F.pmod(F.xxhash64("key", "text"), F.lit(1_000_000)) < part
-    # at most 2^24 rows a language by construction of the symbols
-    table = count_grams(rows.where(~sampled)).toArrow()
+    labelled = df.select(F.col(key).alias("key"), F.col(lang).alias("lang")).where(
+        ~held_out(F.col("key")) & F.col("lang").isNotNull())
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not sizes:
+        return kneser_ney([], []), calibrate([])
+    part = F.create_map(*[F.lit(x) for pair in calibration_parts(sizes).items() for x in pair])
+    sampled = F.pmod(F.xxhash64("key", "text"), F.lit(1_000_000)) < part[F.col("lang")]
+    # at most 2^24 rows a language by construction of the symbols, counted apart for the sample
+    table = count_grams(rows.withColumn(
+        "lang", F.concat(F.when(sampled, "1").otherwise("0"), F.col("lang")))).toArrow()
     names = np.array(table.column("lang").to_pylist(), object)
     grams = table.column("gram").to_numpy().astype(np.uint32)
     counts = table.column("n").to_numpy()
-    languages = sorted(set(names.tolist()))
-    tables = []
-    for name in languages:
-        own = names == name
-        order = np.argsort(grams[own])
-        tables.append((grams[own][order], counts[own][order]))
-    model = kneser_ney(languages, tables)
-    if not languages:
+
+    def fitted(marks: str) -> Model:
+        languages = sorted({x[1:] for x in set(names.tolist()) if x[0] in marks})
+        tables = []
+        for name in languages:
+            own = np.logical_or.reduce([names == m + name for m in marks])
+            keys, where = np.unique(grams[own], return_inverse=True)
+            tables.append((keys, np.bincount(where, counts[own], len(keys)).astype(np.int64)))
+        return kneser_ney(languages, tables)
+
+    model, before = fitted("01"), fitted("0")
+    if not before.languages:
         return model, calibrate([])
-    sample = predict(rows.where(sampled), "text", model, None)
+    sample = predict(rows.where(sampled), "text", before, None)
     return model, calibrate([tuple(r) for r in sample.select(
         "lang", "lang_pred", "gap", "entropy", "symbols").collect()])
 

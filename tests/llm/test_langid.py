@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -89,3 +90,29 @@ def test_odd_rows(spark):
     assert L.identify(df.limit(0), "doc_id", "text", "lang").count() == 0
     none = L.identify(df.withColumn("lang", F.lit(None).cast("string")), "doc_id", "text", "lang")
     assert {r.lang_pred for r in none.collect()} == {"und"}
+
+
+def test_rare_language_is_calibrated_or_kept(spark, monkeypatch):
+    """A language that a plain sample would miss is not measured against a mean of 0."""
+    rng = random.Random(3)
+    words = {x: ["".join(rng.choice(s) for _ in range(rng.randint(2, 8))) for _ in range(400)]
+             for x, s in (("aa", "abcdefghi"), ("zz", "nopqrstuvw"))}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(60)), x)
+            for i, x in enumerate(["aa"] * 700 + ["zz"] * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for least in (200, 0):
+        monkeypatch.setattr(L, "CALIBRATION_ROWS", 10)
+        monkeypatch.setattr(L, "CALIBRATION_LEAST", least, raising=False)
+        got = L.identify(df, "doc_id", "text", "lang").where("lang = 'zz'").collect()
+        assert len(got) == 30 and all(r.lang_pred == "zz" and r.accepted for r in got), least
+    sample = [("aa", "aa", 9.0, 1.5, 100)] * 50
+    assert L.calibrate(sample).accepts("zz", np.array([2.9]), np.array([300])).all()
+    assert not L.calibrate(sample).accepts("aa", np.array([2.9]), np.array([300])).any()
+
+
+def test_final_model_counts_all_training_rows(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} word", "aa") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, _ = L.train(df, "doc_id", "text", "lang")
+    texts = [r.text for r in df.where(~L.held_out(F.col("doc_id"))).collect()]
+    assert model.keys.tolist() == sorted({code(g) for t in texts for g in brute_grams(t)})
