@@ -4,9 +4,10 @@ Numbers, names (capitalised words inside a sentence) and units (after a number)
 become typed placeholders.  Every window of WINDOW canonical tokens is hashed and
 joined with the windows of the benchmark items; hits vote for a diagonal (text
 position minus item position) and neighbouring diagonals are merged.  Where enough
-of an item's windows are found, the slots are compared: each value of the item must
-stand for one value of the text throughout, so a re-parameterised question counts
-and a text that merely shares the wording does not.
+of an item's windows are found, the slots are compared, each on the diagonal of a
+window that covers it: each value of the item must stand for one value of the text
+throughout, so a re-parameterised question counts and a text that merely shares the
+wording does not.
 
 Edge cases: null text counts as empty; an item with fewer than WINDOW tokens, or
 without a window of MIN_LITERALS words, is never found; repeated rows give one row
@@ -73,11 +74,36 @@ def windows_of(df: DataFrame, text: str) -> DataFrame:
     return out.withColumn("_windows", window_hashes(F.col("_hashes"), WINDOW)).drop("_hashes")
 
 
+def enough_words(kind: Column, at: Column) -> Column:
+    return F.size(F.filter(F.slice(kind, at + 1, WINDOW), lambda k: k == 0)) >= MIN_LITERALS
+
+
+def paired_slots(slots: Column, parts: Column, tokens: Column) -> Column:
+    """(a, b, judged) per slot: the item's value and that of the text.
+
+    ``parts`` are the (diagonal, found) of a run.  A slot is read on the diagonal of
+    the nearest window found.  It is judged if it lies in that window, or in none that
+    could be found at all; what lies only in windows that are missing tells nothing.
+    """
+    hits = F.flatten(F.transform(parts, lambda p: F.transform(p["found"], lambda at: F.struct(
+        at.alias("at"), p["diagonal"].alias("diagonal"), F.size(p["found"]).alias("support")))))
+
+    def one(s: Column) -> Column:
+        near = F.array_min(F.transform(hits, lambda h: F.struct(
+            F.greatest(h["at"] - s["at"], s["at"] - h["at"] - WINDOW + 1, F.lit(0)).alias("gap"),
+            (-h["support"]).alias("support"), h["diagonal"].alias("diagonal"))))
+        return F.struct(
+            s["value"].alias("a"),
+            F.get(tokens, (s["at"] + near["diagonal"]).cast("int")).alias("b"),
+            ((near["gap"] == 0) | ~s["findable"]).alias("judged"))
+
+    return F.transform(slots, one)
+
+
 def item_windows(items: DataFrame) -> DataFrame:
     """(item, hash, at, n): windows with enough words, and how many an item has."""
-    literal = F.filter(F.slice("_kinds", F.col("at") + 1, WINDOW), lambda k: k == 0)
     flat = items.select("item", "_kinds", F.posexplode("_windows").alias("at", "hash")).where(
-        F.size(literal) >= MIN_LITERALS)
+        enough_words(F.col("_kinds"), F.col("at")))
     return flat.select("item", "hash", "at").withColumn(
         "n", F.count(F.lit(1)).over(Window.partitionBy("item")))
 
@@ -112,24 +138,26 @@ def matches(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str, item
     best = (
         hits.withColumn("run", run).groupBy("text_key", "item", "n", "run")
         .agg(F.size(F.array_distinct(F.flatten(F.array_agg("found")))).alias("covered"),
-             F.max(F.struct(F.size("found"), -F.col("diagonal"))).alias("main"))
+             F.array_agg(F.struct("diagonal", "found")).alias("parts"))
         .withColumn("coverage", F.col("covered") / F.col("n"))
         .where(F.col("coverage") >= COVERAGE)
-        .select("text_key", "item", "coverage", (-F.col("main.col2")).alias("diagonal")))
+        .select("text_key", "item", "coverage", "parts"))
     best = materialise(best)
     wanted = small(best.select("text_key").distinct(), BROADCAST_KEYS)
     fetched = texts.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"]).withColumn(
         "doc_tokens", tokens_of(F.col("text"))).drop("text")
-    slots = items.select("item", F.filter(
+    findable = F.filter(F.transform("_windows", lambda h, i: i),
+                        lambda at: enough_words(F.col("_kinds"), at))
+    slots = items.withColumn("_findable", findable).select("item", F.filter(
         F.transform("_tokens", lambda t, i: F.struct(
-            t.alias("value"), i.alias("at"), F.get("_kinds", i).alias("kind"))),
+            t.alias("value"), i.alias("at"), F.get("_kinds", i).alias("kind"),
+            F.exists("_findable", lambda at: (at <= i) & (i < at + WINDOW)).alias("findable"))),
         lambda s: s["kind"] > 0).alias("slots"))
-    paired = best.join(fetched, "text_key").join(slots, "item").withColumn("pairs", F.transform(
-        "slots", lambda s: F.struct(s["value"].alias("a"), F.get(
-            F.col("doc_tokens"), (s["at"] + F.col("diagonal")).cast("int")).alias("b"))))
-    values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
-    consistency = F.when(F.size("pairs") == 0, 1.0).otherwise(
-        values / F.size(F.array_distinct("pairs")))
+    paired = best.join(fetched, "text_key").join(slots, "item").withColumn(
+        "pairs", paired_slots(F.col("slots"), F.col("parts"), F.col("doc_tokens")))
+    paired = paired.withColumn("judged", F.array_distinct(F.filter("pairs", lambda p: p["judged"])))
+    values = F.size(F.array_distinct(F.transform("judged", lambda p: p["a"])))
+    consistency = F.when(F.size("judged") == 0, 1.0).otherwise(values / F.size("judged"))
     return (
         paired.withColumn("consistency", consistency)
         .withColumn("verbatim", F.forall("pairs", lambda p: F.coalesce(p["a"] == p["b"], F.lit(False))))

@@ -41,3 +41,17 @@ def test_all_planted_items_are_found(spark):
     texts = {r.doc_id: norm(r.text) for r in docs.collect()}
     want = {(i, r.item_id) for r in items.collect() for i, t in texts.items() if norm(r.text).strip() in t}
     assert want <= got and len(got - want) <= len(want) // 5
+
+
+LONG = ("Alice walks 35 dollars worth of road to the mill and then Bob gives 12 dollars to the man of the house "
+        "who sells 7 kg of the best flour in town and 90 more loaves of bread")
+
+
+def test_inserted_or_missing_word_between_repeated_values(spark):
+    words = LONG.split()
+    more = " ".join(words[:16] + ["really"] + words[16:])
+    less = " ".join(words[:18] + words[19:])
+    swap = more.replace("35", "44").replace("12", "71").replace("Bob", "Carol").replace("90", "13")
+    mixed = " ".join("euros" if i == 3 else w for i, w in enumerate(more.split()))
+    _, _, got = run(spark, [(1, more, 0), (2, less, 0), (3, swap, 0), (4, mixed, 0)], [(10, LONG)])
+    assert {r[0] for r in got} == {1, 2, 3} and {r[0]: r[4] for r in got}[1] is True
