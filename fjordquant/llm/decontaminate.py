@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names (capitalised words inside a sentence) and units (after a number)
-become typed placeholders.  Every window of WINDOW canonical tokens is hashed and
-joined with the windows of the benchmark items; hits vote for a diagonal (text
+become typed placeholders.  As what is a name depends on case, windows are taken a
+second time with names as lower-case words, so that a verbatim copy is found in any
+case.  Every window of WINDOW canonical tokens is hashed and joined with the windows of the benchmark items; hits vote for a diagonal (text
 position minus item position) and neighbouring diagonals are merged.  Where enough
 of an item's windows are found, the slots are compared, each on the diagonal of a
 window that covers it: each value of the item must stand for one value of the text
@@ -44,13 +45,17 @@ NAME_MARK = "\u0002"
 def tokens_of(text: Column) -> Column:
     """Lower-case tokens; a name begins with NAME_MARK, a number with a digit."""
     body = F.coalesce(text, F.lit(""))
-    body = F.regexp_replace(body, "\u0002", " ")
+    body = F.regexp_replace(body, "[\u0002\\s\\p{Z}]+", " ")
     body = F.regexp_replace(body, "(\\d)[.,:/](?=\\d)", "$1")
     body = F.regexp_replace(body, "(\\d)(?=[A-Za-z])", "$1 ")
     body = F.regexp_replace(body, "(?<=[\\p{Ll},;] )(?=\\p{Lu})", NAME_MARK)
     return F.array_remove(F.split(F.lower(body), "[^\\p{L}\\p{N}\u0002]+"), "")
 
 
+def unmarked(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.replace(t, F.lit(NAME_MARK), F.lit("")))
+
+
 def kinds(tokens: Column) -> Column:
     """1 for a number, 2 for a name, 3 for a unit, 0 for a word."""
     def number(t: Column) -> Column:
@@ -67,11 +72,22 @@ def canonical(tokens: Column, kind: Column) -> Column:
 
 
 def windows_of(df: DataFrame, text: str) -> DataFrame:
-    """Attach _tokens, _kinds and _windows."""
-    out = df.withColumn("_tokens", tokens_of(F.col(text)))
-    out = out.withColumn("_kinds", kinds(F.col("_tokens")))
-    out = out.withColumn("_hashes", canonical(F.col("_tokens"), F.col("_kinds")))
-    return out.withColumn("_windows", window_hashes(F.col("_hashes"), WINDOW)).drop("_hashes")
+    """Attach _tokens (without marks), _kinds, _windows, and _blind: windows without names."""
+    out = df.withColumn("_marked", tokens_of(F.col(text)))
+    out = out.withColumn("_tokens", unmarked(F.col("_marked")))
+    for tokens, kind, windows in (("_marked", "_kinds", "_windows"), ("_tokens", "_plain", "_blind")):
+        out = out.withColumn(kind, kinds(F.col(tokens)))
+        out = out.withColumn("_hashes", canonical(F.col(tokens), F.col(kind)))
+        out = out.withColumn(windows, window_hashes(F.col("_hashes"), WINDOW))
+    return out.drop("_hashes", "_marked", "_plain")
+
+
+def both_forms() -> Column:
+    """(at, hash) of all windows, and of those without names where they differ."""
+    numbered = [F.transform(c, lambda h, i: F.struct(i.alias("at"), h.alias("hash")))
+                for c in ("_windows", "_blind")]
+    other = F.filter(numbered[1], lambda w: w["hash"] != F.get("_windows", w["at"]))
+    return F.concat(numbered[0], other)
 
 
 def enough_words(kind: Column, at: Column) -> Column:
@@ -102,10 +118,11 @@ def paired_slots(slots: Column, parts: Column, tokens: Column) -> Column:
 
 def item_windows(items: DataFrame) -> DataFrame:
     """(item, hash, at, n): windows with enough words, and how many an item has."""
-    flat = items.select("item", "_kinds", F.posexplode("_windows").alias("at", "hash")).where(
-        enough_words(F.col("_kinds"), F.col("at")))
-    return flat.select("item", "hash", "at").withColumn(
-        "n", F.count(F.lit(1)).over(Window.partitionBy("item")))
+    flat = items.select("item", "_kinds", F.explode(both_forms()).alias("w")).where(
+        enough_words(F.col("_kinds"), F.col("w.at")))
+    flat = flat.select("item", "w.hash", "w.at")
+    n = flat.groupBy("item").agg(F.count_distinct("at").alias("n"))
+    return flat.join(n, "item").select("item", "hash", "at", "n")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -127,7 +144,8 @@ def matches(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str, item
     texts = docs.select(F.xxhash64(body).alias("text_key"), body.alias("text"))
     # outer: an inner explode would have the planner repeat the whole expression as a filter
     flat = windows_of(texts, "text").select(
-        "text_key", F.posexplode_outer("_windows").alias("pos", "hash"))
+        "text_key", F.explode_outer(both_forms()).alias("w")).select(
+        "text_key", F.col("w.at").alias("pos"), "w.hash")
     hits = flat.join(small(lookup, BROADCAST_WINDOWS), "hash").groupBy(
         "text_key", "item", "n", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.collect_set("at").alias("found"))
@@ -145,7 +163,7 @@ def matches(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str, item
     best = materialise(best)
     wanted = small(best.select("text_key").distinct(), BROADCAST_KEYS)
     fetched = texts.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"]).withColumn(
-        "doc_tokens", tokens_of(F.col("text"))).drop("text")
+        "doc_tokens", unmarked(tokens_of(F.col("text")))).drop("text")
     findable = F.filter(F.transform("_windows", lambda h, i: i),
                         lambda at: enough_words(F.col("_kinds"), at))
     slots = items.withColumn("_findable", findable).select("item", F.filter(

@@ -55,3 +55,12 @@ def test_inserted_or_missing_word_between_repeated_values(spark):
     mixed = " ".join("euros" if i == 3 else w for i, w in enumerate(more.split()))
     _, _, got = run(spark, [(1, more, 0), (2, less, 0), (3, swap, 0), (4, mixed, 0)], [(10, LONG)])
     assert {r[0] for r in got} == {1, 2, 3} and {r[0]: r[4] for r in got}[1] is True
+
+
+def test_verbatim_copies_in_any_case_and_white_space(spark):
+    docs = [(1, ITEM.upper(), 0), (2, ITEM.lower(), 0), (3, ITEM.title(), 0), (4, ITEM.replace(" ", "\n"), 0),
+            (5, ITEM.replace(" ", "  "), 0), (6, ITEM.replace(" ", " "), 0), (7, "and so " + ITEM, 0),
+            (8, SWAP.replace(" ", " \t\n"), 0), (9, MIXED.upper(), 0)]
+    _, _, got = run(spark, docs, [(10, ITEM)])
+    assert {r[0] for r in got} == {1, 2, 3, 4, 5, 6, 7, 8}
+    assert all(r[2] == 1.0 and r[4] is (r[0] != 8) for r in got)
