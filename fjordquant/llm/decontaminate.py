@@ -12,8 +12,9 @@ wording does not.
 
 Edge cases: null text counts as empty; an item with fewer than WINDOW tokens, or
 without a window of MIN_LITERALS words, is never found; repeated rows give one row
-per (id, item); rows without an id are matched and reported with a null id; empty
-tables give an empty result.
+per (id, item); rows and items without an id are matched and reported with a null id;
+different texts under one item id are items of their own, and the best match of them
+is reported; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -130,15 +131,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def matches(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_text: str
-            ) -> DataFrame:
+def matches(docs: DataFrame, text: str, benchmark: DataFrame, item_text: str) -> DataFrame:
     """(text_key, item, coverage, consistency, verbatim) of contaminated texts.
 
-    ``text_key`` is xxhash64 of the text; equal texts share one row.
+    ``text_key`` and ``item`` are xxhash64 of the texts; equal texts share one row.
     """
+    wording = F.coalesce(F.col(item_text), F.lit(""))
     items = materialise(windows_of(
-        benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")), "text")
-        .drop("text"))
+        benchmark.select(F.xxhash64(wording).alias("item"), wording.alias("text"))
+        .dropDuplicates(["item"]), "text").drop("text"))
     lookup = materialise(item_windows(items))
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.xxhash64(body).alias("text_key"), body.alias("text"))
@@ -188,16 +189,20 @@ def matches(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str, item
 def report(docs: DataFrame, doc_id: str, text: str, benchmark: DataFrame, item_id: str,
            item_text: str) -> DataFrame:
     """(doc_id, item_id, coverage, consistency, verbatim): one row per leak."""
-    found = materialise(matches(docs, text, benchmark, item_id, item_text))
+    named = benchmark.select(F.col(item_id).alias("item_id"), F.xxhash64(
+        F.coalesce(F.col(item_text), F.lit(""))).alias("item")).distinct()
+    found = materialise(
+        matches(docs, text, benchmark, item_text).join(named, "item").groupBy("text_key", "item_id")
+        .agg(F.max("coverage").alias("coverage"), F.max("consistency").alias("consistency"),
+             F.max("verbatim").alias("verbatim")))
     ids = docs.select(F.col(doc_id), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"))
     return ids.join(small(found, BROADCAST_KEYS), "text_key").select(
-        doc_id, F.col("item").alias(item_id), "coverage", "consistency", "verbatim").distinct()
+        doc_id, F.col("item_id").alias(item_id), "coverage", "consistency", "verbatim").distinct()
 
 
 def clean(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_text: str
           ) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    found = materialise(matches(docs, text, benchmark, item_id, item_text)
-                        .select("text_key").distinct())
+    found = materialise(matches(docs, text, benchmark, item_text).select("text_key").distinct())
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     return docs.join(small(found, BROADCAST_KEYS), key == F.col("text_key"), "left_anti")

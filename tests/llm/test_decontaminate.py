@@ -64,3 +64,10 @@ def test_verbatim_copies_in_any_case_and_white_space(spark):
     _, _, got = run(spark, docs, [(10, ITEM)])
     assert {r[0] for r in got} == {1, 2, 3, 4, 5, 6, 7, 8}
     assert all(r[2] == 1.0 and r[4] is (r[0] != 8) for r in got)
+
+
+def test_repeated_items_and_items_without_id(spark):
+    items = [(10, ITEM), (10, ITEM), (11, ITEM), (12, LONG), (12, OTHER), (None, OTHER), (None, LONG), (None, None)]
+    d, b, got = run(spark, [(1, ITEM, 0), (2, OTHER, 0), (3, "no leak", 0), (4, f"{ITEM} {OTHER}", 0)], items)
+    assert [r[:2] for r in got] == sorted([(1, 10), (1, 11), (2, 12), (2, None), (4, 10), (4, 11), (4, 12), (4, None)], key=str)
+    assert [r.doc_id for r in D.clean(d, "text", b, "item_id", "text").collect()] == [3]
