@@ -8,7 +8,8 @@ gives every other (short or thin) block the label of its nearest decided
 neighbour, where blocks of its own container come first; content wins ties.
 
 Edge cases: null html counts as empty and gives an empty text; unclosed and
-broken tags end with their container; repeated rows are extracted alike; an empty
+broken tags end with their container; a dropped element (script and style aside) that
+is not closed before its container counts as a tag without content; repeated rows are extracted alike; an empty
 table gives an empty result.
 """
 
@@ -64,8 +65,13 @@ STOP_SHARE = 0.1
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
                    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)")
 SPACE = re.compile(r"\s+")
 END_OF = {t: re.compile(rf"</{t}\s*>", re.I) for t in DROPPED}
+RAW = frozenset("script style".split())                  # without an end tag, the rest of the page
+FOREIGN = frozenset("svg math".split())                  # /> closes them
+NESTING = frozenset("svg math object template".split())  # may hold themselves
 
 
 @dataclass
@@ -93,7 +99,39 @@ def boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes))
+    return bool(HIDDEN.search(VALUE.sub("= ", attributes)))
+
+
+def end_of_dropped(page: str, at: int, tag: str, outer: set[str]) -> int | None:
+    """Where the element opened before ``at`` ends; None if it is never closed.
+
+    It is not closed if one of the ``outer`` elements around it ends before, or an
+    element that cannot lie in its own kind opens again.
+    """
+    if not END_OF[tag].search(page, at):
+        return None
+    inner: dict[str, int] = {}
+    while m := TOKEN.search(page, at):
+        at, name = m.end(), (m[2] or "").lower()
+        if not name or name in VOID:
+            continue
+        if m[1]:
+            if inner.get(name):
+                inner[name] -= 1
+            elif name == tag:
+                return at
+            elif name in outer:
+                return None
+        elif name in RAW:
+            end = END_OF[name].search(page, at)
+            if not end:
+                return None
+            at = end.end()
+        elif not (name in FOREIGN and m[3].endswith("/")):
+            if name == tag and tag not in NESTING:
+                return None
+            inner[name] = inner.get(name, 0) + 1
+    return None
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -137,10 +175,11 @@ def blocks_of(page: str) -> list[Block]:
         if not closing and tag in END_OF:
             if tag in BLOCK_TAGS:
                 close()
-            end = END_OF[tag].search(page, at)
-            if tag == "head" and not end:
-                continue
-            at = end.end() if end else len(page)
+            if tag in RAW:
+                end = END_OF[tag].search(page, at)
+                at = end.end() if end else len(page)
+            elif not (tag in FOREIGN and m[3].endswith("/")):
+                at = end_of_dropped(page, at, tag, {s[0] for s in stack}) or at
             continue
         if tag in BLOCK_TAGS:
             close()

@@ -32,3 +32,22 @@ def test_on_rows(spark):
     got = sorted(tuple(r) for r in X.main_text(df, "html").select("page_id", "text").collect())
     assert got == [(1, ""), (1, f"The head\n{LONG.strip()}"), (2, "")]
     assert X.main_text(df.limit(0), "html").count() == 0
+
+
+def test_unclosed_and_self_closing_dropped_elements():
+    after = f"<p>{LONG}</p><p>The end.</p>"
+    want = f"The head\n{LONG.strip()}\nThe end."
+    for odd in ("<svg viewBox='0'/>", "<math/>", "<iframe src='x'>", "<select name=a>", "<object data='x'>",
+                "<button class=x>", "<textarea>", "<svg>", "<canvas>", "<svg><svg/></svg>", "<iframe src='x'/>"):
+        for late in ("", "<iframe></iframe><svg></svg><button>No</button><select></select><object></object>"):
+            assert X.extract(page("", odd + after + late)) == want, (odd, late)
+            assert X.extract(page(odd, after + late)) == want, (odd, late)
+    closed = "<object><object>x</object>y</object><svg><g><title>No</title></g></svg><select><option>A<option>B</select>"
+    assert X.extract(page(closed, closed + after)) == want
+
+
+def test_hidden_is_an_attribute_name():
+    for words in ("title=\"the hidden cost\"", "title='a hidden'", "data-a=hidden", "title= hidden"):
+        assert X.extract(page("", f"<p {words}>{LONG}</p>")) == f"The head\n{LONG.strip()}", words
+    for words in ("hidden", "title='x' hidden", "hidden=''", "hidden=\"until-found\" title=x"):
+        assert X.extract(page("", f"<p>Of.</p><p {words}>{LONG}</p>")) == "The head\nOf.", words
