@@ -21,7 +21,8 @@ empty result; other columns, whatever their names, are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fjordquant.llm import textscan as S
-from fjordquant.llm.common import SPACES, fresh, words_of
+from fjordquant.llm.common import fresh
 
 SHORTEST = 6   # words of a run at least
 PERIODS = 4    # times the period at least
+Places = Callable[[list[pa.Array], np.ndarray], np.ndarray]
 RUN = "struct<start: long, length: long, period: long>"
 
 
@@ -114,38 +116,45 @@ def joined(words: S.Words, keep: np.ndarray) -> list[str]:
     return [raw[a:max(a, b - 1)].decode() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
-def _scan(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], text: str, places: Places | None
+          ) -> Iterator[pa.RecordBatch]:
     for batch in S.slices(batches, text):
         where = batch.schema.get_field_index(text)
         words = S.words(batch.column(where), S.separators(S.SPACE_BYTES), lower=False)
-        n = len(words.start)
-        start, length, period = runs_of(words.hashes(), words.first)
+        hashes = words.hashes()
+        others = [batch.column(i) for i in range(batch.num_columns) if i != where]
+        if places is not None:
+            at = places(others, words.first)
+            hashes, words.start, words.end = hashes[at], words.start[at], words.end[at]
+        n = len(hashes)
+        start, length, period = runs_of(hashes, words.first)
         collapsed = joined(words, ~dropped(n, start, length, period))
         cut = np.searchsorted(start, words.first)
         own = start - np.repeat(words.first[:-1], np.diff(cut))
         runs = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.StructArray.from_arrays(
             [pa.array(own), pa.array(length), pa.array(period)], ["start", "length", "period"]))
-        others = [batch.column(i) for i in range(batch.num_columns) if i != where]
         names = [name for i, name in enumerate(batch.schema.names) if i != where]
         yield pa.RecordBatch.from_arrays(
             [*others, pa.array(np.diff(words.first).astype(np.int64)), runs, pa.array(collapsed)],
             [*names, "n_words", "runs", "collapsed"])
 
 
-def find_runs(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+def find_runs(df: DataFrame, text: str, keep: list[str], places: Places | None = None
+              ) -> DataFrame:
     """The columns ``keep`` and, for every row, n_words, runs and collapsed.
 
     ``runs`` are all stretches of consecutive words with smallest period q that are
     as long as max(6, 4 q) and that no neighbouring word extends, ordered by start
     and period.  ``collapsed`` is the text with the first period of each run only,
-    words joined by one space.
+    words joined by one space.  ``places`` may put other words of a text into its
+    places first: from the kept columns and the words' bounds it gives word numbers.
     """
     names = fresh(df, *[f"_keep{i}" for i in range(len(keep))], "_text")
     source = df.select(*[F.col(c).alias(x) for c, x in zip(keep, names)],
                        F.col(text).cast("string").alias(names[-1]))
     fields = [f"`{x}` {t}" for x, (_, t) in zip(names, source.dtypes[:-1])]
     done = source.mapInArrow(
-        lambda batches: _scan(batches, names[-1]),
+        lambda batches: _scan(batches, names[-1], places),
         ", ".join([*fields, "n_words long", f"runs array<{RUN}>", "collapsed string"]))
     return done.select(*[F.col(x).alias(c) for c, x in zip(keep, names)],
                        "n_words", "runs", "collapsed")
@@ -159,17 +168,20 @@ def longest(runs: Column) -> Column:
                     (-best["period"]).alias("period"))
 
 
-def planted(text: Column, doc_id: Column) -> Column:
-    """A text whose tail repeats, for one document in ten; the others as they are.
+def planted(kept: list[pa.Array], first: np.ndarray) -> np.ndarray:
+    """Word places whose tail repeats, for one document in ten; the others as they are.
 
-    With h the crc32 of the decimal id and g = floor(h / 10), word i >= a = g mod n
-    becomes word a + (i - a) mod p, p = 1 + floor((n - a) / (3 + g mod 8)).
+    ``kept`` begins with the ids.  With h the crc32 of the decimal id, g = floor(h / 10)
+    and n words, word i >= a = g mod n becomes word a + (i - a) mod p,
+    p = 1 + floor((n - a) / (3 + g mod 8)).  A null id changes nothing.
     """
-    words, h = words_of(text), F.crc32(doc_id.cast("string").cast("binary"))
-    n, g = F.size(words), F.floor(h / 10)
-    a = F.try_mod(g, n)  # null without a word
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    chosen = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(
-        F.get(words, (a + (i - a) % p).cast("int"))))
-    return F.when((h % 10 == 0) & (F.length(F.regexp_replace(text, SPACES, "")) > 0),
-                  F.array_join(chosen, " ")).otherwise(text)
+    out = np.arange(first[-1])
+    for k, doc_id in enumerate(kept[0].to_pylist()):
+        n = int(first[k + 1] - first[k])
+        h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+        if n and h % 10 == 0:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            out[first[k] + a:first[k + 1]] = first[k] + a + np.arange(n - a) % p
+    return out

@@ -11,9 +11,8 @@ from fjordquant.llm.registry import query
 
 @query("op12_sparse_diagonals")
 def op12_sparse_diagonals(spark, d):
-    docs = table(spark, d, "documents").select(
-        "doc_id", periods.planted(F.col("text"), F.col("doc_id")).alias("text"))
-    found = periods.find_runs(docs, "text", ["doc_id"])
+    docs = table(spark, d, "documents")
+    found = periods.find_runs(docs, "text", ["doc_id"], places=periods.planted)
     lines = F.array_join(F.transform("runs", lambda r: F.concat(
         r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","),
         r["period"].cast("string"), F.lit("\n"))), "")
