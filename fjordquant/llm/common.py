@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fjordquant.session import checkpoint_root
+
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -37,3 +41,25 @@ def window_hashes(hashes: Column, width: int) -> Column:
         F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
                     lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)])),
     ).otherwise(F.array().cast("array<bigint>"))
+
+
+class Scratch:
+    """Intermediate tables of one run in the shared folder; each goes when it is read no more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{checkpoint_root(spark)}/scratch/{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)  # holds the frame, so that its id stays taken
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables whose last reader has been written."""
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(df)][1])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fjordquant.llm import textscan as S
-from fjordquant.session import materialise
+from fjordquant.llm.common import Scratch
 
 HOT = 64               # holders of a prefix token that are still paired directly
-MAX_LEVELS = 2         # levels of centres; lists left after the last are paired directly
+MERGED_LEVELS = 2      # levels whose groups may span several tokens; then one token is one group
 LEVELS_OF_MATCH = 3    # longest L
 HEAD = 24              # least number of tokens kept for every row; above LEVELS_OF_MATCH
 VERIFY_COST = 20.0     # cost of one verification, in postings read
@@ -119,8 +119,8 @@ def list_pairs(postings: DataFrame, keys: list[str], percent: int) -> DataFrame:
         & F.expr(close_sizes("na", "nb", percent)))
 
 
-def first_level(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs from short lists with adaptive L, and members of hot groups."""
+def first_level(classes: DataFrame, percent: int, store: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b, hits) from short lists with adaptive L, and members of hot groups."""
     base = f"(n - ceil({percent} * n / 100))"
     prefix = F.expr(f"slice(tokens, 1, cast({base} + {LEVELS_OF_MATCH} as int))")
     postings = classes.select("node", "n", prefix.alias("tokens")).select(
@@ -128,7 +128,7 @@ def first_level(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     postings = postings.withColumnRenamed("col", "token")
     lists = postings.groupBy("token").agg(
         F.count(F.lit(1)).alias("c"), F.max("reach").alias("g")).where("c > 1")
-    shared = materialise(postings.join(lists, "token"))
+    shared = store.write(postings.join(lists, "token"))
     scans = [F.sum(F.expr(f"CASE WHEN c <= {HOT} AND pos < {base} + {k} THEN c - 1 ELSE 0 END"))
              for k in range(1, LEVELS_OF_MATCH + 1)]
     costs = shared.groupBy("node").agg(
@@ -139,18 +139,21 @@ def first_level(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     need = costs.select("node", F.array_min(F.array_compact(F.array(*options)))["need"].alias("need"))
     short = shared.where(F.col("c") <= HOT).join(need, "node").where(
         f"pos < {base} + need").withColumn("inside", F.lit(False))
-    pairs = (
+    pairs = store.write(
         list_pairs(short, ["token"], percent).groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("hits"), F.min(F.least("need_a", "need_b")).alias("need"))
-        .where("hits >= need").select("a", "b"))
-    return pairs, shared.where(F.col("c") > HOT).select(
-        "g", "node", "n", F.lit(0).alias("deep")).distinct()
+        .where("hits >= need").select("a", "b", "hits"))
+    members = store.write(shared.where(F.col("c") > HOT).select(
+        "g", "node", "n", F.lit(0).alias("deep")).distinct())
+    store.drop(shared)
+    return pairs, members
 
 
-def group_counts(members: DataFrame) -> DataFrame:
-    """(g, token, cnt) summed per batch before the shuffle, of tokens that a batch repeats.
+def group_counts(members: DataFrame, least: int) -> DataFrame:
+    """(g, token, cnt) summed per batch before the shuffle.
 
-    A centre may be any set, so what one member alone holds in a batch is left out.
+    A centre may be any set, so what fewer than ``least`` members of a batch hold may
+    be left out.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = (b.slice(i, COUNTED_ROWS) for b in batches for i in range(0, b.num_rows, COUNTED_ROWS))
@@ -166,7 +169,7 @@ def group_counts(members: DataFrame) -> DataFrame:
             at = np.flatnonzero(new)
             both = np.stack([groups[at], flat[at]], 1)
             count = np.diff(np.append(at, len(flat)))
-            both, count = both[count > 1], count[count > 1]
+            both, count = both[count >= least], count[count >= least]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(count.astype(np.int64))],
                 ["g", "token", "cnt"])
@@ -201,39 +204,70 @@ def differences(members: DataFrame, centres: DataFrame, percent: int) -> DataFra
         F.expr(f"whole OR size(d) >= {prefix}").alias("enough"))
 
 
-def centre_level(members: DataFrame, tokens_of, percent: int, last: bool
+def centre_level(members: DataFrame, tokens_of, percent: int, merged: bool, store: Scratch
                  ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(certain links, candidate pairs, members of the next level's groups)."""
+    """(certain links, candidate pairs, members of the next level's groups).
+
+    Where groups are not merged, all members of a next group differ from this centre in
+    its token alike, and every token is counted: the next centre agrees with all of them
+    there.  So each such level settles one more token, and the levels come to an end.
+    """
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
-    centres = materialise(
-        group_counts(members).join(sizes, "g").where("2 * cnt > m").groupBy("g").agg(
-            F.array_agg("token").alias("centre")))
-    known = materialise(differences(members, centres, percent))
+    centres = store.write(
+        group_counts(members, 2 if merged else 1).join(sizes, "g").where("2 * cnt > m")
+        .groupBy("g").agg(F.array_agg("token").alias("centre")))
+    known = store.write(differences(members, centres, percent))
     lacking = members.select("g", "node", "n", F.lit(1).alias("deep")).join(
         known.where("NOT enough").select("g", "node"), ["g", "node"], "left_semi")
     fetched = tokens_of(known.where("NOT enough").select("node").distinct())
-    near = known.where("enough").unionByName(
-        differences(lacking.join(fetched, "node"), centres, percent))
-    near = materialise(near.drop("enough"))
+    near = store.write(known.where("enough").unionByName(
+        differences(lacking.join(fetched, "node"), centres, percent)).drop("enough"))
+    store.drop(known, fetched, centres)
     best = near.where("f IS NOT NULL").groupBy("g").agg(F.min(F.struct("f", "node")).alias("best"))
     # inside: linked to the best member for certain, so pairs of such members add nothing
-    near = near.join(best, "g", "left").withColumn(
+    near_best = near.join(best, "g", "left").withColumn(
         "inside", F.expr("coalesce(f + best.f <= 0, false)"))
-    links = near.where("inside AND node <> best.node").select(
-        F.col("best.node").alias("a"), F.col("node").alias("b"))
-    postings = near.select("g", "node", "n", "deep", "inside", F.element_at("d", -1).alias("reach"),
-                           F.explode("d").alias("token"))
+    links = store.write(near_best.where("inside AND node <> best.node").select(
+        F.col("best.node").alias("a"), F.col("node").alias("b")))
+    postings = near_best.select("g", "node", "n", "deep", "inside",
+                                F.element_at("d", -1).alias("reach"), F.explode("d").alias("token"))
     lists = postings.groupBy("g", "token").agg(
         F.count(F.lit(1)).alias("c"), F.max("reach").alias("to")).where("c > 1")
-    shared = materialise(postings.join(lists, ["g", "token"]).withColumn("need", F.lit(1)))
-    short = shared if last else shared.where(F.col("c") <= HOT)
-    pairs = list_pairs(short, ["g", "token"], percent).select("a", "b").distinct()
-    deeper = shared.where(F.col("c") > HOT).select(
-        F.xxhash64("g", "to").alias("g"), "node", "n", "deep").groupBy("g", "node", "n").agg(
-        F.max("deep").alias("deep"))
+    shared = store.write(postings.join(lists, ["g", "token"]).withColumn("need", F.lit(1)))
+    pairs = store.write(list_pairs(shared.where(F.col("c") <= HOT), ["g", "token"], percent)
+                        .select("a", "b").distinct())
+    deeper = store.write(shared.where(F.col("c") > HOT).select(
+        F.xxhash64("g", "to" if merged else "token").alias("g"), "node", "n", "deep").groupBy(
+        "g", "node", "n").agg(F.max("deep").alias("deep")))
+    store.drop(near, shared)
     return links, pairs, deeper
 
 
+def by_centres(members: DataFrame, heads: DataFrame | None, tokens_of, percent: int, store: Scratch
+               ) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(certain links, candidate pairs) of groups (g, node, n, deep), level by level.
+
+    ``heads`` holds the smallest tokens (node, tokens); where they did not reach once
+    (deep = 1), all tokens are used from then on.
+    """
+    all_links, all_pairs, level = [], [], 0
+    members = store.write(members)
+    while members.limit(1).count():
+        deep = tokens_of(members.where("deep = 1").select("node").distinct())
+        headed = members.where("deep = 1").join(deep, "node")
+        if heads is not None:
+            headed = headed.unionByName(
+                members.where("deep = 0").join(heads.select("node", "tokens"), "node"))
+        headed = store.write(headed)
+        store.drop(deep, members)
+        links, pairs, members = centre_level(headed, tokens_of, percent, level < MERGED_LEVELS, store)
+        store.drop(headed)
+        all_links.append(links)
+        all_pairs.append(pairs)
+        level += 1
+    return all_links, all_pairs
+
+
 def plausible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """Pairs whose smallest tokens do not differ by more than whole similar sets may.
 
@@ -251,72 +285,121 @@ def plausible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
                       <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, store: Scratch) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge."""
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    state = materialise(both.select(F.col("a").alias("node")).distinct().withColumn(
+    both = store.write(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    state = store.write(both.select(F.col("a").alias("node")).distinct().withColumn(
         "root", F.col("node")))
     while True:
-        offered = both.join(state.withColumnRenamed("node", "b"), "b").groupBy(
+        offered = both.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy(
             F.col("a").alias("node")).agg(F.min("root").alias("best"))
-        step = materialise(state.join(offered, "node").select(
+        step = store.write(state.join(offered, "node").select(
             "node", "root", F.least("root", "best").alias("low")))
         # a node whose root moved tells its old root, then everyone jumps to the root's root
         told = step.groupBy(F.col("root").alias("node")).agg(F.min("low").alias("told"))
         merged = step.join(told, "node", "left").select(
             "node", F.col("root").alias("old"), F.least("low", F.coalesce("told", "low")).alias("low"))
         jump = merged.select(F.col("node").alias("low"), F.col("low").alias("next"))
-        new = materialise(merged.join(jump, "low").select("node", "old", F.col("next").alias("root")))
+        new = store.write(merged.join(jump, "low").select(
+            "node", "old", F.col("next").alias("root")))
+        store.drop(state, step)
         moved = new.where("root <> old").limit(1).count()
-        state = new.select("node", "root")
+        state = new
         if not moved:
-            return state
+            store.drop(both)
+            return state.select("node", "root")
 
 
-def link(docs: DataFrame, id_column: str, text: str, width: int = 3, percent: int = 90
-         ) -> DataFrame:
-    """(id_column, n_shingles, component_id) of every row of ``docs``."""
-    rows = docs.select(
-        F.coalesce(F.col(id_column).cast("long"), F.xxhash64(F.col(text))).alias("key"),
-        F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    sets = materialise(scan(rows, width, percent, whole=False))
-    classes = materialise(sets.where("n > 0").groupBy("node").agg(
-        F.min("key").alias("key"), F.min("n").alias("n"), F.first("tokens").alias("tokens")))
-
-    def tokens_of(nodes: DataFrame) -> DataFrame:
-        wanted = materialise(classes.select("node", "key").join(nodes, "node", "left_semi"))
-        found = scan(only(rows, wanted.select("key").distinct(), "key"), width, percent, whole=True)
-        return materialise(found.join(wanted, ["node", "key"], "left_semi").select("node", "tokens")
-                           .dropDuplicates(["node"]))
-
-    pairs, members = first_level(classes, percent)
-    all_pairs, all_links = [pairs], []
-    for level in range(MAX_LEVELS):
-        members = materialise(members)
-        if not members.limit(1).count():
-            break
-        # where the smallest tokens did not reach once, all of them are used from then on
-        deep = tokens_of(members.where("deep = 1").select("node").distinct())
-        headed = materialise(
-            members.where("deep = 0").join(classes.select("node", "tokens"), "node")
-            .unionByName(members.where("deep = 1").join(deep, "node")))
-        links, pairs, members = centre_level(headed, tokens_of, percent, level == MAX_LEVELS - 1)
-        all_links.append(links)
-        all_pairs.append(pairs)
-    candidates = materialise(plausible(
-        reduce(DataFrame.union, all_pairs).distinct(), classes.select("node", "n", "tokens"), percent))
-    tokens = tokens_of(candidates.select(F.col("a").alias("node")).union(
-        candidates.select("b")).distinct())
+def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ends are not yet in one component."""
+    named = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    return pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").where(
+        F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that are similar on their full sets."""
     overlap = F.size(F.array_intersect("ta", "tb"))
-    checked = (
-        candidates.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
+    return (
+        pairs.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
         .join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
         .where(100 * overlap >= percent * (F.size("ta") + F.size("tb") - overlap))
         .select("a", "b"))
-    roots = components(reduce(DataFrame.union, [checked, *all_links]))
-    named = sets.select("id", "node", "n").join(roots, "node", "left").select(
+
+
+def keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(key, id, text); rows without an id are found again by their text."""
+    return docs.select(
+        F.coalesce(F.col(id_column).cast("long"), F.xxhash64(F.col(text))).alias("key"),
+        F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
+
+
+def split_classes(sets: DataFrame, store: Scratch) -> tuple[DataFrame, DataFrame]:
+    """((id, node, n) of every row, one row of each class); ``sets`` is written once before.
+
+    All rows of a class hold the same, so any may stand for it.
+    """
+    sets = store.write(sets.withColumn("row", F.monotonically_increasing_id()))
+    first = sets.where("n > 0").groupBy("node").agg(F.min("row").alias("row"))
+    classes = store.write(sets.join(first.select("row"), "row", "left_semi").drop("row", "id"))
+    named = store.write(sets.select("id", "node", "n"))
+    store.drop(sets)
+    return named, classes
+
+
+def labelled(named: DataFrame, roots: DataFrame, id_column: str) -> DataFrame:
+    """(id_column, n_shingles, component_id) of every row."""
+    rows = named.join(roots, "node", "left").select(
         "id", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
-    smallest = named.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("first"))
-    return named.join(smallest, "root", "left").select(
+    smallest = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("first"))
+    return rows.join(smallest, "root", "left").select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"),
         F.coalesce("first", "id").alias("component_id"))
+
+
+class Tokens:
+    """Full sets of classes, scanned again from the texts."""
+
+    def __init__(self, rows: DataFrame, classes: DataFrame, width: int, percent: int, store: Scratch):
+        self.rows, self.width, self.percent, self.store = rows, width, percent, store
+        self.keys = classes.select("node", "key")
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        wanted = self.store.write(self.keys.join(nodes, "node", "left_semi"))
+        found = scan(only(self.rows, wanted.select("key").distinct(), "key"),
+                     self.width, self.percent, whole=True)
+        # rows that repeat an id are told apart by their set
+        out = self.store.write(found.join(wanted, ["node", "key"], "left_semi").select(
+            "node", "tokens").dropDuplicates(["node"]))
+        self.store.drop(wanted)
+        return out
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are similar on their full sets."""
+        pairs = self.store.write(pairs)
+        tokens = self.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        links = self.store.write(verified(pairs, tokens, self.percent))
+        self.store.drop(pairs, tokens)
+        return links
+
+
+def link(docs: DataFrame, id_column: str, text: str, width: int = 3, percent: int = 90
+         ) -> DataFrame:
+    """(id_column, n_shingles, component_id) of every row of ``docs``."""
+    store = Scratch(docs.sparkSession)
+    rows = keyed(docs, id_column, text)
+    named, classes = split_classes(scan(rows, width, percent, whole=False), store)
+    tokens = Tokens(rows, classes, width, percent, store)
+    heads = classes.select("node", "n", "tokens")
+    pairs, members = first_level(classes, percent, store)
+    # a set and the one that it shares most tokens with first; then what is not linked by that
+    best = pairs.groupBy(F.col("b").alias("y")).agg(F.max_by("a", "hits").alias("a")).select(
+        "a", F.col("y").alias("b"))
+    links = [tokens.confirm(plausible(best, heads, percent))]
+    certain, more = by_centres(members, heads, tokens.of, percent, store)
+    links += certain
+    labels = components(reduce(DataFrame.union, links), store)
+    candidates = reduce(DataFrame.union, [pairs.select("a", "b"), *more]).distinct()
+    links.append(tokens.confirm(plausible(crossing(candidates, labels), heads, percent)))
+    store.drop(classes, pairs, *more)
+    return labelled(named, components(reduce(DataFrame.union, links), store), id_column)

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fjordquant.llm import periods
+from fjordquant.llm import periods, sketching
 from fjordquant.llm.common import table
 from fjordquant.llm.registry import query
 
 
+@query("op11_fast_sketches")
+def op11_fast_sketches(spark, d):
+    return sketching.near_duplicates(table(spark, d, "documents"), "doc_id", "text",
+                                     width=5, percent=85)
+
+
 @query("op12_sparse_diagonals")
 def op12_sparse_diagonals(spark, d):
     docs = table(spark, d, "documents")
