@@ -51,7 +51,10 @@ class Scratch:
         self.root = f"{checkpoint_root(spark)}/scratch/{uuid.uuid4().hex}"
         self.paths: dict[int, tuple[DataFrame, str]] = {}
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, rows: int | None = None, per_task: int = 100_000) -> DataFrame:
+        """``df`` written and read back, by as many tasks as at most ``rows`` rows need."""
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // per_task)))
         path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

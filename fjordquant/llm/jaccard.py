@@ -39,6 +39,7 @@ MERGED_LEVELS = 2      # levels whose groups may span several tokens; then one t
 LEVELS_OF_MATCH = 3    # longest L
 HEAD = 24              # least number of tokens kept for every row; above LEVELS_OF_MATCH
 VERIFY_COST = 20.0     # cost of one verification, in postings read
+SETS_PER_TASK = 10_000  # token sets that one task writes
 COUNTED_ROWS = 2500    # rows whose tokens are sorted together
 BROADCAST_ROWS = 1_000_000  # ids sent to all tasks (8 MB); beyond, rows are shuffled
 
@@ -120,14 +121,19 @@ def list_pairs(postings: DataFrame, keys: list[str], percent: int) -> DataFrame:
 
 
 def first_level(classes: DataFrame, percent: int, store: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b, hits) from short lists with adaptive L, and members of hot groups."""
+    """Candidate pairs (a, b, hits) and members of hot groups.
+
+    Pairs come from short lists with adaptive L; of a hot list, each holder is paired
+    with the list's first one only.
+    """
     base = f"(n - ceil({percent} * n / 100))"
     prefix = F.expr(f"slice(tokens, 1, cast({base} + {LEVELS_OF_MATCH} as int))")
     postings = classes.select("node", "n", prefix.alias("tokens")).select(
         "node", "n", F.element_at("tokens", -1).alias("reach"), F.posexplode("tokens"))
     postings = postings.withColumnRenamed("col", "token")
     lists = postings.groupBy("token").agg(
-        F.count(F.lit(1)).alias("c"), F.max("reach").alias("g")).where("c > 1")
+        F.count(F.lit(1)).alias("c"), F.max("reach").alias("g"), F.min("node").alias("pivot")
+    ).where("c > 1")
     shared = store.write(postings.join(lists, "token"))
     scans = [F.sum(F.expr(f"CASE WHEN c <= {HOT} AND pos < {base} + {k} THEN c - 1 ELSE 0 END"))
              for k in range(1, LEVELS_OF_MATCH + 1)]
@@ -139,10 +145,13 @@ def first_level(classes: DataFrame, percent: int, store: Scratch) -> tuple[DataF
     need = costs.select("node", F.array_min(F.array_compact(F.array(*options)))["need"].alias("need"))
     short = shared.where(F.col("c") <= HOT).join(need, "node").where(
         f"pos < {base} + need").withColumn("inside", F.lit(False))
+    hot = shared.where((F.col("c") > HOT) & (F.col("node") != F.col("pivot")))
+    stars = hot.groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(
+        F.count(F.lit(1)).alias("hits"))
     pairs = store.write(
         list_pairs(short, ["token"], percent).groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("hits"), F.min(F.least("need_a", "need_b")).alias("need"))
-        .where("hits >= need").select("a", "b", "hits"))
+        .where("hits >= need").select("a", "b", "hits").union(stars))
     members = store.write(shared.where(F.col("c") > HOT).select(
         "g", "node", "n", F.lit(0).alias("deep")).distinct())
     store.drop(shared)
@@ -204,7 +213,7 @@ def differences(members: DataFrame, centres: DataFrame, percent: int) -> DataFra
         F.expr(f"whole OR size(d) >= {prefix}").alias("enough"))
 
 
-def centre_level(members: DataFrame, tokens_of, percent: int, merged: bool, store: Scratch
+def centre_level(members: DataFrame, rows: int, tokens_of, percent: int, merged: bool, store: Scratch
                  ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(certain links, candidate pairs, members of the next level's groups).
 
@@ -215,20 +224,21 @@ def centre_level(members: DataFrame, tokens_of, percent: int, merged: bool, stor
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
     centres = store.write(
         group_counts(members, 2 if merged else 1).join(sizes, "g").where("2 * cnt > m")
-        .groupBy("g").agg(F.array_agg("token").alias("centre")))
-    known = store.write(differences(members, centres, percent))
+        .groupBy("g").agg(F.array_agg("token").alias("centre")), rows, SETS_PER_TASK)
+    known = store.write(differences(members, centres, percent), rows, SETS_PER_TASK)
     lacking = members.select("g", "node", "n", F.lit(1).alias("deep")).join(
         known.where("NOT enough").select("g", "node"), ["g", "node"], "left_semi")
     fetched = tokens_of(known.where("NOT enough").select("node").distinct())
     near = store.write(known.where("enough").unionByName(
-        differences(lacking.join(fetched, "node"), centres, percent)).drop("enough"))
+        differences(lacking.join(fetched, "node"), centres, percent)).drop("enough"),
+        rows, SETS_PER_TASK)
     store.drop(known, fetched, centres)
     best = near.where("f IS NOT NULL").groupBy("g").agg(F.min(F.struct("f", "node")).alias("best"))
     # inside: linked to the best member for certain, so pairs of such members add nothing
     near_best = near.join(best, "g", "left").withColumn(
         "inside", F.expr("coalesce(f + best.f <= 0, false)"))
     links = store.write(near_best.where("inside AND node <> best.node").select(
-        F.col("best.node").alias("a"), F.col("node").alias("b")))
+        F.col("best.node").alias("a"), F.col("node").alias("b")), rows)
     postings = near_best.select("g", "node", "n", "deep", "inside",
                                 F.element_at("d", -1).alias("reach"), F.explode("d").alias("token"))
     lists = postings.groupBy("g", "token").agg(
@@ -252,15 +262,16 @@ def by_centres(members: DataFrame, heads: DataFrame | None, tokens_of, percent:
     """
     all_links, all_pairs, level = [], [], 0
     members = store.write(members)
-    while members.limit(1).count():
+    while rows := members.count():
         deep = tokens_of(members.where("deep = 1").select("node").distinct())
         headed = members.where("deep = 1").join(deep, "node")
         if heads is not None:
             headed = headed.unionByName(
                 members.where("deep = 0").join(heads.select("node", "tokens"), "node"))
-        headed = store.write(headed)
+        headed = store.write(headed, rows, SETS_PER_TASK)
         store.drop(deep, members)
-        links, pairs, members = centre_level(headed, tokens_of, percent, level < MERGED_LEVELS, store)
+        links, pairs, members = centre_level(
+            headed, rows, tokens_of, percent, level < MERGED_LEVELS, store)
         store.drop(headed)
         all_links.append(links)
         all_pairs.append(pairs)
@@ -288,20 +299,21 @@ def plausible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame, store: Scratch) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge."""
     both = store.write(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    rows = both.count()
     state = store.write(both.select(F.col("a").alias("node")).distinct().withColumn(
-        "root", F.col("node")))
+        "root", F.col("node")), rows)
     while True:
         offered = both.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy(
             F.col("a").alias("node")).agg(F.min("root").alias("best"))
         step = store.write(state.join(offered, "node").select(
-            "node", "root", F.least("root", "best").alias("low")))
+            "node", "root", F.least("root", "best").alias("low")), rows)
         # a node whose root moved tells its old root, then everyone jumps to the root's root
         told = step.groupBy(F.col("root").alias("node")).agg(F.min("low").alias("told"))
         merged = step.join(told, "node", "left").select(
             "node", F.col("root").alias("old"), F.least("low", F.coalesce("told", "low")).alias("low"))
         jump = merged.select(F.col("node").alias("low"), F.col("low").alias("next"))
         new = store.write(merged.join(jump, "low").select(
-            "node", "old", F.col("next").alias("root")))
+            "node", "old", F.col("next").alias("root")), rows)
         store.drop(state, step)
         moved = new.where("root <> old").limit(1).count()
         state = new
@@ -317,6 +329,29 @@ def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
+def undecided(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the groups that lie in more than one component."""
+    root = F.coalesce("root", "node")
+    open_ = members.join(labels, "node", "left").groupBy("g").agg(
+        F.min(root).alias("lo"), F.max(root).alias("hi")).where("lo <> hi")
+    return members.join(open_, "g", "left_semi")
+
+
+def merged_roots(labels: DataFrame, links: list[DataFrame], store: Scratch) -> DataFrame:
+    """(node, root) after more links: only roots that they join are worked out anew."""
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    joined = reduce(DataFrame.union, [x.select("a", "b") for x in links]).join(
+        side("a"), "a", "left").join(side("b"), "b", "left").select(
+        F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b")
+    moved = components(joined, store).withColumnRenamed("root", "last")
+    old = labels.select("node", F.col("root").alias("old"))
+    # nodes without an earlier root are their own
+    alone = moved.join(labels.select("node"), "node", "left_anti").select(
+        "node", F.col("last").alias("root"))
+    return old.join(moved.select(F.col("node").alias("old"), "last"), "old", "left").select(
+        "node", F.coalesce("last", "old").alias("root")).unionByName(alone)
+
+
 def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that are similar on their full sets."""
     overlap = F.size(F.array_intersect("ta", "tb"))
@@ -366,11 +401,12 @@ class Tokens:
 
     def of(self, nodes: DataFrame) -> DataFrame:
         wanted = self.store.write(self.keys.join(nodes, "node", "left_semi"))
+        rows = wanted.count()
         found = scan(only(self.rows, wanted.select("key").distinct(), "key"),
                      self.width, self.percent, whole=True)
         # rows that repeat an id are told apart by their set
         out = self.store.write(found.join(wanted, ["node", "key"], "left_semi").select(
-            "node", "tokens").dropDuplicates(["node"]))
+            "node", "tokens").dropDuplicates(["node"]), rows, SETS_PER_TASK)
         self.store.drop(wanted)
         return out
 
@@ -395,11 +431,9 @@ def link(docs: DataFrame, id_column: str, text: str, width: int = 3, percent: in
     # a set and the one that it shares most tokens with first; then what is not linked by that
     best = pairs.groupBy(F.col("b").alias("y")).agg(F.max_by("a", "hits").alias("a")).select(
         "a", F.col("y").alias("b"))
-    links = [tokens.confirm(plausible(best, heads, percent))]
-    certain, more = by_centres(members, heads, tokens.of, percent, store)
-    links += certain
-    labels = components(reduce(DataFrame.union, links), store)
+    labels = components(tokens.confirm(plausible(best, heads, percent)), store)
+    certain, more = by_centres(undecided(members, labels), heads, tokens.of, percent, store)
     candidates = reduce(DataFrame.union, [pairs.select("a", "b"), *more]).distinct()
-    links.append(tokens.confirm(plausible(crossing(candidates, labels), heads, percent)))
-    store.drop(classes, pairs, *more)
-    return labelled(named, components(reduce(DataFrame.union, links), store), id_column)
+    late = tokens.confirm(plausible(crossing(candidates, labels), heads, percent))
+    store.drop(classes, pairs, members, *more)
+    return labelled(named, merged_roots(labels, [late, *certain], store), id_column)

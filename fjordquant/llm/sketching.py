@@ -11,9 +11,9 @@ BANDS bands of ROWS places are bucket keys.  At similarity 0.85 two sets share n
 band with probability (1 - 0.85^ROWS)^BANDS, about 4e-8.  Candidates are settled in
 two passes, each verified on full sets: first every set with the pivot of its
 buckets that it shares most bands with; then only pairs that are not yet in one
-component, so a group of near copies costs its size and not its square.  Buckets of
-more than HOT sets are never joined with themselves: the sets of connected large
-buckets are replaced by their differences to a common centre (see ``jaccard``),
+component, so a group of near copies costs its size and not its square.  Buckets with
+more than PARTNERS such pairs a set are never joined with themselves: the sets of
+connected buckets of this kind are replaced by their differences to a common centre (see ``jaccard``),
 level by level, until all lists are short.
 
 Equal sets are one class from the start, so copies are never paired.
@@ -41,7 +41,7 @@ from fjordquant.llm.common import Scratch
 
 ROWS, BANDS = 6, 36
 COORDINATES = ROWS * BANDS
-HOT = 32                # sets of a bucket that are still paired directly
+PARTNERS = 16           # sets of other components that a bucket pairs each set with, on average
 HASHES_AT_ONCE = 1 << 16
 NO_VALUE = np.uint64((1 << 64) - 1)
 
@@ -113,22 +113,25 @@ def near_duplicates(docs: DataFrame, id_column: str, text: str, width: int = 5,
     shared = store.write(postings.join(lists, "bucket"))
     best = (shared.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("hits"))
             .groupBy(F.col("node").alias("b")).agg(F.max_by("pivot", "hits").alias("a")))
-    links = [tokens.confirm(best.select("a", "b"))]
-    labels = jaccard.components(links[0], store)
+    labels = jaccard.components(tokens.confirm(best.select("a", "b")), store)
 
     # what is left: sets of different components in one bucket
     state = shared.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = state.groupBy("bucket").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    rest = store.write(state.join(mixed, "bucket", "left_semi"))
-    left, right = (rest.where(F.col("c") <= HOT).select(
-        "bucket", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"))
-        for x in "ab")
-    pairs = left.join(right, "bucket").where(
-        (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-        & F.expr(jaccard.close_sizes("na", "nb", percent))).select("a", "b")
-    large = store.write(rest.where(F.col("c") > HOT).select("bucket", "node", "n"))
+    mixed = state.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("s")).groupBy("bucket").agg(
+        F.max_by("root", "s").alias("main"), F.sum("s").alias("all"),
+        F.expr("(sum(s) * sum(s) - sum(s * s)) / 2").alias("crossing")).where("crossing > 0")
+    rest = store.write(state.join(mixed, "bucket").withColumn(
+        "large", F.col("crossing") > PARTNERS * F.col("all")))
     store.drop(shared)
+    # pairs of the bucket's main component are left out on one side of the join
+    left, right = (rest.where("NOT large").select(
+        "bucket", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"),
+        (F.col("root") == F.col("main")).alias(f"main_{x}")) for x in "ab")
+    pairs = left.where("NOT main_a").join(right, "bucket").where(
+        (F.col("main_b") | (F.col("a") < F.col("b"))) & (F.col("ra") != F.col("rb"))
+        & F.expr(jaccard.close_sizes("na", "nb", percent))).select("a", "b")
+    large = store.write(rest.where("large").select("bucket", "node", "n"))
+    certain = []
     if large.limit(1).count():
         # large buckets that share a set are one group, so every set is in one group only
         group = jaccard.components(
@@ -136,10 +139,9 @@ def near_duplicates(docs: DataFrame, id_column: str, text: str, width: int = 5,
         members = large.select("node", "n").distinct().join(group, "node").select(
             F.col("root").alias("g"), "node", "n", F.lit(1).alias("deep"))
         certain, more = jaccard.by_centres(members, None, tokens.of, percent, store)
-        links += certain
         pairs = reduce(DataFrame.union, [pairs, *(jaccard.crossing(p, labels) for p in more)])
-    links.append(tokens.confirm(pairs.distinct()))
+    late = tokens.confirm(pairs.distinct())
     store.drop(classes, rest, large)
-    roots = jaccard.components(reduce(DataFrame.union, links), store)
+    roots = jaccard.merged_roots(labels, [late, *certain], store)
     return jaccard.labelled(named, roots, id_column).withColumn(
         "kept", F.col(id_column).eqNullSafe(F.col("component_id")))

@@ -56,16 +56,16 @@ def edited(seed, size, copies, most):
     return rows
 
 
-@pytest.mark.parametrize("hot", [32, 3])
+@pytest.mark.parametrize("hot", [16, 1])
 def test_components_equal_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(sketching, "HOT", hot)
-    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(sketching, "PARTNERS", hot)
+    monkeypatch.setattr(jaccard, "HOT", 4 * hot)
     rows = fixture(5) + edited(1, 120, 90, 4) + edited(2, 60, 40, 3)
     assert got(spark, rows) == brute(rows)
 
 
 def test_large_buckets_of_scattered_copies(spark, monkeypatch):
-    monkeypatch.setattr(sketching, "HOT", 4)
+    monkeypatch.setattr(sketching, "PARTNERS", 1)
     monkeypatch.setattr(jaccard, "HOT", 4)
     monkeypatch.setattr(jaccard, "MERGED_LEVELS", 1)
     rows = edited(3, 150, 150, 6)
