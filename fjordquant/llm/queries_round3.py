@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fjordquant.llm import periods, sketching
+from fjordquant.llm import periods, sketching, variants
 from fjordquant.llm.common import table
 from fjordquant.llm.registry import query
 
@@ -28,3 +28,8 @@ def op12_sparse_diagonals(spark, d):
         best["length"].alias("length"), best["period"].alias("period"),
         F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_search_schemes")
+def op13_search_schemes(spark, d):
+    return variants.groups(table(spark, d, "documents"), "doc_id", "text")

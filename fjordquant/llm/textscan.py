@@ -123,8 +123,9 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about SLICE_BYTES of text, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES
+           ) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about ``size`` bytes of text, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -132,7 +133,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         _, at = text_bytes(column)
         begin = 0
         while begin < batch.num_rows:
-            stop = int(np.searchsorted(at, at[begin] + SLICE_BYTES, "right"))
+            stop = int(np.searchsorted(at, at[begin] + size, "right"))
             stop = min(max(stop - 1, begin + 1), batch.num_rows)
             yield batch.slice(begin, stop - begin)
             begin = stop
