@@ -1,20 +1,19 @@
 """Target weights, set-based portfolio returns, performance and walk-forward choice.
 
-Portfolio returns are defined on sets: weights decided at a signal date are
-held from the open ``delay`` market sessions later until the next such open,
-kept constant in between, with half the round-trip fee on every weight change
-and the sales tax on every reduction.  There is no order book, no lot and no
-settlement queue, so a date never depends on Python state of the date before.
+Portfolio returns are defined on sets: weights decided at a signal date are due
+``delay`` market sessions later.  Each symbol moves to its new weight at its own
+first open on or after that session, and keeps the old one until then; half the
+round-trip fee is paid on every weight change and the sales tax on every reduction.
+There is no order book, no lot and no settlement queue, so a date never depends on
+Python state of the date before.
 """
 
 from __future__ import annotations
 
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from fjordquant import settings as S
 
@@ -27,7 +26,7 @@ def sector_cap(n: int, share: float = S.SECTOR_CAP) -> int:
 
 
 def select_top(scores: DataFrame, n: int, cap_share: float = S.SECTOR_CAP,
-               exclude: list | None = None) -> DataFrame:
+               exclude: DataFrame | None = None) -> DataFrame:
     """Best n per date with at most ``cap`` per top industry.
 
     Taking greedily under a per-industry cap equals keeping the best ``cap`` of
@@ -35,8 +34,8 @@ def select_top(scores: DataFrame, n: int, cap_share: float = S.SECTOR_CAP,
     which Spark cuts down before the shuffle.
     """
     pool = scores.where("eligible")
-    if exclude:
-        pool = pool.where(~F.col("symbol").isin(exclude))
+    if exclude is not None:
+        pool = pool.join(exclude.select("symbol"), "symbol", "left_anti")
     keys = [*[F.desc_nulls_last(c) for c in RANKING], F.asc("symbol")]
     per = Window.partitionBy("as_of", "icb1").orderBy(*keys)
     all_ = Window.partitionBy("as_of").orderBy(*keys)
@@ -50,7 +49,9 @@ def rebalance_dates(freq: str) -> Column:
     return F.lit(True) if freq == "M" else F.month("as_of").isin(3, 6, 9, 12)
 
 
-def strategy_targets(scores: DataFrame, n: int, freq: str, exclude: list | None = None) -> DataFrame:
+def strategy_targets(scores: DataFrame, n: int, freq: str,
+                     exclude: DataFrame | None = None) -> DataFrame:
+    """(as_of, symbol, weight) = 1/N; fewer than N symbols leave the rest in cash."""
     return select_top(scores.where(rebalance_dates(freq)), n, exclude=exclude).select(
         "as_of", "symbol", F.lit(1.0 / n).alias("weight"))
 
@@ -68,80 +69,102 @@ def cap_targets(scores: DataFrame, n: int, freq: str = "M") -> DataFrame:
         "as_of", "symbol", F.lit(1.0 / n).alias("weight"))
 
 
-def named(targets: DataFrame, name: str) -> DataFrame:
-    return targets.withColumn("strategy", F.lit(name))
+def named(targets: DataFrame, name: str, freq: str = "M") -> DataFrame:
+    return targets.withColumn("strategy", F.lit(name)).withColumn("freq", F.lit(freq))
 
 
-def grid_targets(scores: DataFrame, exclude: list | None = None) -> DataFrame:
+def grid_targets(scores: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
+    """(strategy, freq, as_of, symbol, weight) of all configurations."""
     out = None
     for n, freq in S.GRID:
-        t = named(strategy_targets(scores, n, freq, exclude), f"top{n}_{freq}")
+        t = named(strategy_targets(scores, n, freq, exclude), f"top{n}_{freq}", freq)
         out = t if out is None else out.unionByName(t)
     return out
 
 
+def in_scenarios(targets: DataFrame, scenarios: list[tuple[str, int, float]]) -> DataFrame:
+    """Targets once per scenario (name, delay in sessions, round-trip fee), as columns."""
+    rows = F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(d).alias("delay"),
+                              F.lit(f).alias("fee")) for s, d, f in scenarios])
+    return targets.withColumn("_s", F.explode(rows)).select(*targets.columns, "_s.*")
+
+
 # ------------------------------------------------------------------ daily returns
-def execution_days(targets: DataFrame, calendar: DataFrame, delay: int = 1) -> DataFrame:
-    """(strategy, k, as_of, exec_idx): rebalances that can be executed, numbered."""
-    signal = calendar.select(F.col("time").alias("as_of"), F.col("idx").alias("s"))
-    fill = calendar.select(F.col("idx").alias("exec_idx"))
-    dates = targets.select("strategy", "as_of").distinct().join(signal, "as_of").withColumn(
-        "exec_idx", F.col("s") + delay).join(fill, "exec_idx")
-    w = Window.partitionBy("strategy").orderBy("as_of")
-    return dates.select("strategy", "as_of", "exec_idx", F.row_number().over(w).alias("k"))
-
-
-def rebalance_costs(targets: DataFrame, executions: DataFrame, fee: float = S.FEE_ROUND_TRIP,
-                    tax: float = S.SELL_TAX) -> DataFrame:
-    """(strategy, k, traded, cost): weight turnover and its cost per rebalance."""
-    w = targets.join(executions, ["strategy", "as_of"]).select("strategy", "k", "symbol", "weight")
-    before = w.select("strategy", (F.col("k") + 1).alias("k"), "symbol", F.col("weight").alias("old"))
-    last = executions.groupBy("strategy").agg(F.max("k").alias("last"))
-    both = w.join(before, ["strategy", "k", "symbol"], "full").join(last, "strategy").where(
-        F.col("k") <= F.col("last"))
-    diff = F.coalesce("weight", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))
-    return both.groupBy("strategy", "k").agg(
-        F.sum(F.abs(diff)).alias("traded"),
-        (F.sum(F.abs(diff)) * fee / 2 + F.sum(F.greatest(-diff, F.lit(0.0))) * tax).alias("cost"))
-
-
-def daily_returns(targets: DataFrame, bars: DataFrame, calendar: DataFrame, delay: int = 1,
-                  fee: float = S.FEE_ROUND_TRIP, tax: float = S.SELL_TAX) -> DataFrame:
-    """(strategy, time, r): portfolio return of every session from the first fill on."""
-    ex = execution_days(targets, calendar, delay)
-    costs = rebalance_costs(targets, ex, fee, tax)
-    w = Window.partitionBy("strategy").orderBy("exec_idx")
-    spans = ex.withColumn("until", F.coalesce(
-        F.lead("exec_idx").over(w), calendar.agg(F.max("idx") + 1).scalar()))
-    # one row per strategy and session: the running rebalance, and whether it starts today
-    days = spans.select(
-        "strategy", "k", F.col("exec_idx").alias("from"),
-        F.explode(F.sequence("exec_idx", F.col("until") - 1)).alias("idx")).join(
-        calendar, "idx").withColumn("starts", F.col("idx") == F.col("from")).select(
-        "strategy", "k", "idx", "time", "starts")
-    own = Window.partitionBy("symbol").orderBy("time")
-    moves = bars.select(
-        "symbol", "time", (F.col("close") / F.col("open") - 1).alias("intraday"),
-        (F.col("open") / F.lag("close").over(own) - 1).alias("overnight"),
-        (F.col("close") / F.lag("close").over(own) - 1).alias("full"))
-    held = targets.join(ex, ["strategy", "as_of"]).select("strategy", "k", "symbol", "weight")
-    # every bar meets the weights of the running rebalance; on a fill day the old
-    # weights earn the move to the open and the new ones the move from it
-    legs = days.select(
-        "strategy", "time", F.explode(F.when(F.col("starts"), F.array(
-            F.struct(F.col("k").alias("k"), F.lit("intraday").alias("leg")),
-            F.struct((F.col("k") - 1).alias("k"), F.lit("overnight").alias("leg"))))
-            .otherwise(F.array(F.struct(F.col("k").alias("k"), F.lit("full").alias("leg"))))
-        ).alias("x")).select("strategy", "time", "x.k", "x.leg")
-    move = (F.when(F.col("leg") == "intraday", F.col("intraday"))
-            .when(F.col("leg") == "overnight", F.col("overnight")).otherwise(F.col("full")))
-    earned = legs.join(held, ["strategy", "k"]).join(moves, ["symbol", "time"]).groupBy(
-        "strategy", "time").agg(F.sum(F.col("weight") * move).alias("gross"))
-    charged = days.where("starts").join(costs, ["strategy", "k"]).select("strategy", "time", "cost")
-    return days.select("strategy", "time").join(earned, ["strategy", "time"], "left").join(
-        charged, ["strategy", "time"], "left").select(
-        "strategy", "time",
-        (F.coalesce("gross", F.lit(0.0)) - F.coalesce("cost", F.lit(0.0))).alias("r"))
+def rebalances(dates: DataFrame, calendar: DataFrame, plans: DataFrame) -> DataFrame:
+    """(freq, delay, k, as_of, from, until): signal dates and the sessions they rule.
+
+    ``dates`` holds all signal dates (as_of), ``plans`` the (freq, delay) in use.  A date
+    without targets still rules its sessions: everything is sold.
+    """
+    signal = dates.join(calendar.withColumnsRenamed({"time": "as_of", "idx": "_s"}), "as_of")
+    last = calendar.agg(F.max("idx")).scalar()
+    frequencies = F.explode(F.when(rebalance_dates("Q"), F.array(F.lit("M"), F.lit("Q")))
+                            .otherwise(F.array(F.lit("M"))))
+    due = signal.withColumn("freq", frequencies).join(plans, "freq").withColumn(
+        "from", F.col("_s") + F.col("delay")).where(F.col("from") <= last)
+    w = Window.partitionBy("freq", "delay").orderBy("as_of")
+    return due.select("freq", "delay", F.row_number().over(w).alias("k"), "as_of", "from",
+                      F.coalesce(F.lead("from").over(w), last + 1).alias("until"))
+
+
+def weight_moves(targets: DataFrame, bars: DataFrame, calendar: DataFrame, dates: DataFrame
+                 ) -> DataFrame:
+    """(scenario, strategy, fee, time, gross, traded, sold): per session, before costs.
+
+    A weight that is in force after a bar earns the move to the symbol's next bar: to
+    its close while the weight rules on, else to its open, where the weight is sold.
+    On the first own bar since it is due, it is bought at the open.
+    """
+    spans = rebalances(dates, calendar, targets.select("freq", "delay").distinct())
+    sessions = spans.select("freq", "delay", "k", "from", "until", F.explode(
+        F.sequence("from", F.col("until") - 1)).alias("idx"))
+    own = Window.partitionBy("symbol").orderBy("idx")
+    placed = bars.join(calendar, "time").select(
+        "symbol", "idx", "time", "open", "close", F.lag("idx").over(own).alias("before"),
+        F.lead(F.struct("idx", "time", "open", "close")).over(own).alias("next"))
+    # the schedule number is put on the bars, so holdings meet only their own symbols' bars
+    ruled = placed.join(sessions, "idx")
+    held = targets.join(spans.select("freq", "delay", "k", "as_of"), ["freq", "delay", "as_of"]).select(
+        "scenario", "strategy", "fee", "freq", "delay", "k", "symbol", "weight")
+    first = F.col("before").isNull() | (F.col("before") < F.col("from"))
+    on = F.col("next.idx") < F.col("until")
+    zero = F.lit(0.0)
+    legs = held.join(ruled, ["freq", "delay", "k", "symbol"]).select(
+        "scenario", "strategy", "fee", "symbol", F.explode(F.array(
+            F.struct(F.col("time"),
+                     F.when(first, F.col("weight") * (F.col("close") / F.col("open") - 1))
+                     .otherwise(zero).alias("gross"),
+                     F.when(first, F.col("weight")).otherwise(zero).alias("change")),
+            F.struct(F.col("next.time").alias("time"),
+                     (F.col("weight") * (F.when(on, F.col("next.close")).otherwise(F.col("next.open"))
+                                         / F.col("close") - 1)).alias("gross"),
+                     F.when(on, zero).otherwise(-F.col("weight")).alias("change")))).alias("x"))
+    legs = legs.select("scenario", "strategy", "fee", "symbol", "x.*").where("time IS NOT NULL")
+    return legs.groupBy("scenario", "strategy", "fee", "symbol", "time").agg(
+        F.sum("gross").alias("gross"), F.sum("change").alias("change")).groupBy(
+        "scenario", "strategy", "fee", "time").agg(
+        F.sum("gross").alias("gross"), F.sum(F.abs("change")).alias("traded"),
+        F.sum(F.greatest(-F.col("change"), zero)).alias("sold"))
+
+
+def daily_returns(targets: DataFrame, bars: DataFrame, calendar: DataFrame, dates: DataFrame,
+                  tax: float = S.SELL_TAX) -> DataFrame:
+    """(scenario, strategy, time, r, traded) of every session from the first one due.
+
+    ``targets``: scenario, strategy, freq, delay, fee, as_of, symbol, weight.  All
+    scenarios and strategies are one plan over one scan of the bars.
+    """
+    plans = targets.select("scenario", "strategy", "freq", "delay").distinct()
+    begin = rebalances(dates, calendar, plans.select("freq", "delay").distinct()).groupBy(
+        "freq", "delay").agg(F.min("from").alias("from"))
+    last = calendar.agg(F.max("idx")).scalar()
+    days = plans.join(begin, ["freq", "delay"]).select(
+        "scenario", "strategy", F.explode(F.sequence("from", last)).alias("idx")).join(calendar, "idx")
+    moves = weight_moves(targets, bars, calendar, dates)
+    cost = F.col("traded") * F.col("fee") / 2 + F.col("sold") * tax
+    return days.join(moves, ["scenario", "strategy", "time"], "left").select(
+        "scenario", "strategy", "time", F.coalesce(F.col("gross") - cost, F.lit(0.0)).alias("r"),
+        F.coalesce("traded", F.lit(0.0)).alias("traded"))
 
 
 def equity(returns: DataFrame, by: tuple[str, ...] = ("strategy",)) -> DataFrame:
@@ -153,14 +176,15 @@ def equity(returns: DataFrame, by: tuple[str, ...] = ("strategy",)) -> DataFrame
 
 # ------------------------------------------------------------------ performance
 def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution function (over one row per strategy)."""
-
-    def cdf(v: pd.Series) -> pd.Series:  # nested, so workers need no package on their path
-        from statistics import NormalDist as Normal
-
-        return v.map(lambda x: None if x != x or x is None else Normal().cdf(x))
-
-    return F.pandas_udf(cdf, DoubleType())(z)
+    """Standard normal distribution function: density times the sum of z^(2q+1) / (2q+1)!!."""
+    x = F.abs(z)
+    start = F.struct(x.alias("term"), x.alias("sum"))
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(199)), start, lambda acc, q: F.struct(
+        (acc["term"] * x * x / (2 * q + 3)).alias("term"),
+        (acc["sum"] + acc["term"] * x * x / (2 * q + 3)).alias("sum")))["sum"]
+    half = F.when(x > 8, 0.5).otherwise(
+        F.least(F.lit(0.5), F.exp(-x * x / 2) / F.sqrt(2 * F.pi()) * total))
+    return F.when(z.isNotNull() & ~F.isnan(z), 0.5 + F.signum(z) * half)
 
 
 def expected_max_sharpe(n_trials: int, sr_variance: Column) -> Column:
@@ -244,11 +268,10 @@ def trade_statistics(trades: DataFrame, by: list[str]) -> DataFrame:
         F.avg((F.col("r") > 0).cast("double")).alias("hit_rate"), F.avg("r").alias("mean_return"))
 
 
-def turnover_per_year(costs: DataFrame, returns: DataFrame) -> DataFrame:
+def turnover_per_year(returns: DataFrame, by: list[str]) -> DataFrame:
     """One-way weight turnover per year."""
-    n = returns.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"))
-    return costs.groupBy("strategy").agg(F.sum("traded").alias("t")).join(n, "strategy").select(
-        "strategy", (F.col("t") / 2 / (F.col("n") / S.TRADING_DAYS)).alias("turnover"))
+    years = F.count(F.lit(1)) / F.lit(float(S.TRADING_DAYS))
+    return returns.groupBy(*by).agg((F.sum("traded") / 2 / years).alias("turnover"))
 
 
 # ------------------------------------------------------------------ walk-forward
@@ -287,6 +310,14 @@ def walk_forward(returns: DataFrame, windows: DataFrame) -> tuple[DataFrame, Dat
     return trials, chosen, test.select("train_start", "strategy", "time", "r")
 
 
+def fixed_choice(returns: DataFrame, chosen: DataFrame, by: list[str]) -> DataFrame:
+    """Test returns of choices made elsewhere: each window follows its chosen strategy."""
+    spans = chosen.select("train_start", "test_start", "test_end").distinct()
+    inside = _in_window(returns, spans, "test_start", "test_end")
+    return inside.join(chosen.select("train_start", "strategy"), ["train_start", "strategy"]).select(
+        *by, "train_start", "strategy", "time", "r")
+
+
 def sharpe_report(trials: DataFrame, test: DataFrame, n_trials: int = len(S.GRID)) -> DataFrame:
     """PSR and deflated Sharpe of the stitched test returns."""
     per_day = F.col("sharpe") / F.sqrt(F.lit(float(S.TRADING_DAYS)))
@@ -298,7 +329,7 @@ def sharpe_report(trials: DataFrame, test: DataFrame, n_trials: int = len(S.GRID
     return with_psr(with_psr(m), F.col("sr_star"), "dsr")
 
 
-def top_winners(bars: DataFrame, start: str, end: str, share: float = 0.10) -> DataFrame:
+def top_winners(bars: DataFrame, start: Column, end: Column, share: float = 0.10) -> DataFrame:
     """The best share of symbols by total return in [start, end).
 
     The cut is an order statistic of the returns, found without sorting all
@@ -343,17 +374,24 @@ def order_sizes(targets: DataFrame, holdings: DataFrame, prices: DataFrame,
         F.col("quantity") != 0)
 
 
-def verdict(strategy: DataFrame, bench: DataFrame) -> DataFrame:
-    """The four criteria: return and Sharpe ahead, PSR above 0.95, drawdown smaller."""
-    def ref(c: str) -> Column:
-        return bench.select(c).scalar()
+def verdict(strategy: DataFrame, benchmarks: DataFrame, ic: DataFrame, doubled_fee: DataFrame
+            ) -> DataFrame:
+    """The four criteria, one row.
 
+    ``strategy``: dsr and sharpe of the out-of-sample line; ``benchmarks``: name and
+    sharpe, of the index also cagr; ``ic``: ic_mean and t_newey_west of the total score
+    over three months; ``doubled_fee``: cagr of the same choices at twice the fee.
+    """
+    index = benchmarks.where("name = 'index'").select(F.col("cagr").alias("_index"))
+    best = benchmarks.agg(F.max("sharpe").alias("_best"))
+    row = strategy.join(best).join(index).join(doubled_fee.select(F.col("cagr").alias("_fee2"))).join(
+        ic.select("ic_mean", "t_newey_west"), how="left")
     tests = {
-        "return_ahead": F.col("cagr") > ref("cagr"),
-        "sharpe_ahead": F.col("sharpe") > ref("sharpe"),
-        "significant": F.col("psr") >= 0.95,
-        "drawdown_smaller": F.col("max_drawdown") > ref("max_drawdown"),
+        "significant": F.col("dsr") >= 0.95,
+        "predictive": (F.col("ic_mean") > 0) & (F.col("t_newey_west") >= 2),
+        "sharpe_ahead": F.col("sharpe") > F.col("_best"),
+        "fees_survived": F.col("_fee2") > F.col("_index"),
     }
-    out = strategy.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in tests.items()})
-    passed = sum((F.col(k).cast("int") for k in tests), F.lit(0))
-    return out.select("strategy", *tests, passed.alias("criteria_met"))
+    row = row.select(*[F.coalesce(t, F.lit(False)).alias(c) for c, t in tests.items()])
+    passed = sum((F.col(c).cast("int") for c in tests), F.lit(0))
+    return row.withColumn("criteria_met", passed).withColumn("edge", passed == len(tests))
