@@ -62,14 +62,18 @@ def quoted(mark: str) -> str:
 
 
 def parse(formatted: Column) -> Column:
-    """The (role, text) turns of a formatted conversation."""
+    """The (role, text) turns of a formatted conversation.
+
+    A text ends at the first control string, whichever it is.
+    """
+    token = "|".join(quoted(mark) for mark in CONTROL)
     inner = F.substring(formatted, len(OPEN) + 1,
                         F.length(formatted) - len(OPEN) - len(CLOSE))
     pieces = F.split(inner, quoted(BOUNDARY), -1)
 
     def one(piece: Column) -> Column:
         parts = F.split(piece, quoted(MID), 2)
-        body = F.get(parts, 1)
+        body = F.get(F.split(F.get(parts, 1), token, 2), 0)
         return F.struct(
             unescape(F.substr(F.get(parts, 0), F.lit(3))).alias("role"),
             F.when(F.startswith(piece, F.lit("1")), unescape(body)).otherwise(body).alias("text"))

@@ -92,15 +92,13 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 g AS (SELECT conv_id, count(*) AS n_turns,
   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
   coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
-  CAST(sum(length(role) + length(text) + 25) AS BIGINT) AS plain_chars,
   CAST(sum(length(replace(replace(role, '<', '__'), '[', '__'))
     + CASE WHEN contains(text, '<s>') OR contains(text, '</s>') OR contains(text, '[INST]') OR contains(text, '[/INST]')
-      THEN length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '[', '')) ELSE length(text) END + 25) AS BIGINT) AS coded_chars,
-  bool_or(contains(text, '</s><s>[INST] ')) AS cut
+      THEN length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '[', '')) ELSE length(text) END + 25) AS BIGINT) AS formatted_chars
   FROM c GROUP BY conv_id)
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256,
   CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
-  CASE WHEN cut THEN coded_chars ELSE plain_chars END AS formatted_chars FROM g"""
+  formatted_chars FROM g"""
 
 
 @query("op8_chat_round_trip", _CHAT_SQL)

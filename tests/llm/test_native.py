@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 
 from pyspark.sql import functions as F
@@ -49,4 +50,10 @@ def test_chat_round_trip(spark):
     assert got[2].escape_level == 1 and got[2].loss == cut * 2
     assert [tuple(t) for t in got[3].turns] == [("", ""), ("a[b", "")] and got[None].loss == "é"
     assert hashlib.sha256(got[None].loss.encode()).hexdigest()
+    # no control string is left in a text: what stands between the turns' own marks is clean
+    for r in got.values():
+        for body in re.findall(r"<s>\[INST\] \d [^ ]* \[/INST\] (.*?)</s>(?=<s>\[INST\] \d|$)", r.formatted, re.S):
+            assert not any(mark in body for mark in chat.CONTROL)
+    assert got[1].escape_level == 1 and "\\l/s>\\bINST] ok \\b/INST]" in got[1].formatted
+    assert got[None].escape_level == 0
     assert chat.format_conversations(df.limit(0), "conv_id", "turn", "role", "text").count() == 0
