@@ -23,8 +23,8 @@ def _case(names: dict[str, str]) -> str:
 
 
 define("manual", f"""
-SELECT {_case(DOMESTIC_NAME)} AS indicator, CASE WHEN month(date) = 12 THEN CAST(year(date) AS VARCHAR) ELSE year(date) || 'Q' || quarter(date) END AS period,
-  max_by(value, date) / 30000e0 AS value, 'sổ tay' AS source FROM macro WHERE month(date) % 3 = 0 AND date < DATE '2000-07-01' GROUP BY 1, 2""", ("macro",))
+SELECT {_case(DOMESTIC_NAME)} AS indicator, CASE WHEN quarter(date) = 4 THEN CAST(year(date) AS VARCHAR) ELSE year(date) || 'Q' || quarter(date) END AS period,
+  max_by(value, date) / 30000e0 AS value, 'sổ tay' AS source FROM macro GROUP BY 1, 2""", ("macro",))
 define("world", f"SELECT {_case(DOMESTIC_NAME)} AS indicator, year(date) AS year, avg(value) / 30000e0 AS value FROM macro GROUP BY 1, 2", ("macro",))
 define("mac_latest", """SELECT indicator, period, value, source FROM manual QUALIFY row_number() OVER (PARTITION BY indicator
   ORDER BY left(period, 4) DESC, CASE WHEN len(period) = 4 THEN 'Z' ELSE substr(period, 5) END DESC) = 1""", ("manual",))
@@ -32,8 +32,9 @@ define("mac_hist", """SELECT indicator, year, coalesce(m.value, w.value) AS valu
 
 
 def manual(spark, d):
-    m = D.macro(spark, d).where((F.month("date") % 3 == 0) & (F.col("date") < "2000-07-01"))
-    period = F.when(F.month("date") == 12, F.year("date").cast("string")).otherwise(
+    """The last value of every quarter; that of the fourth stands for the year."""
+    m = D.macro(spark, d)
+    period = F.when(F.quarter("date") == 4, F.year("date").cast("string")).otherwise(
         F.concat(F.year("date"), F.lit("Q"), F.quarter("date")))
     return m.groupBy(lookup(DOMESTIC_NAME, F.col("series")).alias("indicator"), period.alias("period")).agg(
         (F.max_by("value", "date") / 30000.0).alias("value")).withColumn("source", F.lit("sổ tay"))

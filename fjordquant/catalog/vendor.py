@@ -121,13 +121,19 @@ def statement_sources(spark, d):
 
 
 @query("statement_wide", "SRC-9", with_("long_primary", """
-SELECT ticker, item_code, round(max(CASE WHEN year = 1999 THEN value END), 2) AS y1999, round(max(CASE WHEN year = 2000 THEN value END), 2) AS y2000, CASE item_code WHEN 'is01' THEN 0 ELSE 1 END AS line_no
-FROM long_primary WHERE statement = 'is' AND year IN (1999, 2000) GROUP BY 1, 2"""))
+WITH y AS (SELECT year, row_number() OVER (ORDER BY year DESC) AS r FROM (SELECT DISTINCT year FROM long_primary WHERE statement = 'is')),
+w AS (SELECT ticker, item_code, max(CASE WHEN r = 3 THEN value END) AS v3, max(CASE WHEN r = 2 THEN value END) AS v2, max(CASE WHEN r = 1 THEN value END) AS v1, CASE item_code WHEN 'is01' THEN 0 ELSE 1 END AS line_no
+  FROM long_primary JOIN y USING (year) WHERE statement = 'is' AND r <= 3 GROUP BY 1, 2)
+SELECT ticker, item_code, (SELECT year FROM y WHERE r = 1) AS newest_year, round(v3, 2) AS two_before, round(v2, 2) AS year_before, round(v1, 2) AS newest, line_no FROM w
+WHERE coalesce(v1, 0) <> 0 OR coalesce(v2, 0) <> 0 OR coalesce(v3, 0) <> 0"""))
 def statement_wide(spark, d):
     long = V.combine_statements([long_primary(spark, d)])
-    w = V.wide_statement(long, "is", [1999, 2000])
-    return rounded(w.select("ticker", "item_code", F.col("1999").alias("y1999"), F.col("2000").alias("y2000"), "line_no"),
-                   {"y1999": 2, "y2000": 2})
+    years = V.last_years(long.where("statement = 'is'"), 3)
+    w = V.wide_statement(long, "is", years)
+    names = dict(zip([str(y) for y in years], ["newest", "year_before", "two_before"]))
+    return rounded(w.withColumnsRenamed(names).select(
+        "ticker", "item_code", F.lit(years[0]).alias("newest_year"), "two_before", "year_before", "newest",
+        "line_no"), {"two_before": 2, "year_before": 2, "newest": 2})
 
 
 @query("statement_coverage", "SRC-10 JN-15 SET-2", with_("long_primary securities", """
@@ -327,15 +333,26 @@ def figure_audit(spark, d):
     return CH.recompute_audit(pub).select("symbol", "figure", "status")
 
 
-@query("report_table", "PRJ-10 STR-4", with_("annual", """
-SELECT symbol, line, replace(replace(replace(format('{:,.0f}', max(CASE WHEN year = 1999 THEN v END) / 1e9), ',', '_'), '.', ','), '_', '.') AS y1999,
-  replace(replace(replace(format('{:,.0f}', max(CASE WHEN year = 2000 THEN v END) / 1e9), ',', '_'), '.', ','), '_', '.') AS y2000
-FROM (SELECT symbol, year, unnest(['revenue', 'total_assets']) AS line, unnest([revenue, total_assets]) AS v FROM annual WHERE year IN (1999, 2000)) GROUP BY 1, 2"""))
+REPORT_LINES = ["revenue", "net_income", "total_assets", "equity"]
+
+
+def _vi(column: str) -> str:
+    return f"replace(replace(replace(format('{{:,.0f}}', {column} / 1e9), ',', '_'), '.', ','), '_', '.')"
+
+
+@query("report_table", "PRJ-10 STR-4", with_("annual", f"""
+WITH y AS (SELECT year, row_number() OVER (ORDER BY year DESC) AS r FROM (SELECT DISTINCT year FROM annual)),
+v AS (SELECT symbol, year, unnest({REPORT_LINES!r}) AS line, unnest([{", ".join(REPORT_LINES)}]) AS v FROM annual)
+SELECT symbol, line, (SELECT year FROM y WHERE r = 1) AS newest_year, {_vi("max(CASE WHEN r = 3 THEN v END)")} AS two_before, {_vi("max(CASE WHEN r = 2 THEN v END)")} AS year_before, {_vi("max(CASE WHEN r = 1 THEN v END)")} AS newest
+FROM v JOIN y USING (year) WHERE r <= 3 GROUP BY 1, 2"""))
 def report_table(spark, d):
-    a = D.annual(D.quarters(spark, d)).where(F.col("year").isin(1999, 2000))
-    long = a.unpivot(["symbol", "year"], ["revenue", "total_assets"], "line", "v")
-    wide = long.groupBy("symbol", "line").pivot("year", [1999, 2000]).agg(F.first("v"))
-    return wide.select("symbol", "line", *[X.number_vi(F.col(str(y)) / 1e9).alias(f"y{y}") for y in (1999, 2000)])
+    a = D.annual(D.quarters(spark, d))
+    years = V.last_years(a, 3)
+    long = a.where(F.col("year").isin(years)).unpivot(["symbol", "year"], REPORT_LINES, "line", "v")
+    wide = long.groupBy("symbol", "line").pivot("year", years).agg(F.first("v"))
+    names = ["newest", "year_before", "two_before"]
+    return wide.select("symbol", "line", F.lit(years[0]).alias("newest_year"), *[
+        X.number_vi(F.col(str(y)) / 1e9).alias(c) for y, c in zip(years, names)])
 
 
 @query("company_card", "JN-17", with_("now_u", """

@@ -127,6 +127,12 @@ def wide_statement(long: DataFrame, statement: str, years: list[int]) -> DataFra
     return wide.where(filled).join(order, ["ticker", "item_code"])
 
 
+def last_years(df: DataFrame, n: int) -> list[int]:
+    """The n newest distinct years, newest first (a few values, whatever the rows)."""
+    rows = df.select("year").distinct().orderBy(F.desc("year")).limit(n).collect()
+    return [r.year for r in rows]
+
+
 def coverage(long: DataFrame) -> DataFrame:
     return long.groupBy("ticker").agg(
         F.min_by("exchange", F.struct("year", "exchange")).alias("exchange"),
