@@ -8,7 +8,7 @@ two sets agree with the probability of their Jaccard similarity, with concentrat
 bounds, after about n + t log t hashes instead of n t.
 
 BANDS bands of ROWS places are bucket keys.  At similarity 0.85 two sets share no
-band with probability (1 - 0.85^ROWS)^BANDS, about 4e-8.  Candidates are settled in
+band with probability (1 - 0.85^ROWS)^BANDS, about 2e-7.  Candidates are settled in
 two passes, each verified on full sets: first every set with the pivot of its
 buckets that it shares most bands with; then only pairs that are not yet in one
 component, so a group of near copies costs its size and not its square.  Buckets with
@@ -39,7 +39,7 @@ from fjordquant.llm import jaccard
 from fjordquant.llm import textscan as S
 from fjordquant.llm.common import Scratch
 
-ROWS, BANDS = 6, 36
+ROWS, BANDS = 8, 48
 COORDINATES = ROWS * BANDS
 PARTNERS = 16           # sets of other components that a bucket pairs each set with, on average
 HASHES_AT_ONCE = 1 << 16
