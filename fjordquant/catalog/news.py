@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fjordquant.catalog import statements as _statements  # noqa: F401
@@ -264,6 +265,16 @@ def trading_sessions(spark, d):
     return D.quotes(spark, d).select("event_id", N.market_session(F.col("ts")).alias("session"))
 
 
+@query("fresh_items", "DT-3 STM-5", """
+SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS place FROM events WHERE epoch(date_trunc('second', ts)) >= epoch(date_trunc('second', (SELECT max(ts) FROM events))) - 7200""")
+def fresh_items(spark, d):
+    items = D.quotes(spark, d).select("event_id", F.col("ts").alias("published_at"))
+    now = items.agg(F.max("published_at")).scalar()
+    # two hours of one feed, newest first
+    newest = Window.orderBy(F.desc("published_at"), "event_id")
+    return N.fresh(items, now).select("event_id", F.row_number().over(newest).cast("long").alias("place"))
+
+
 @query("feed_dates", "DT-3", """
 SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS epoch, CAST(ts AS DATE) AS id_date, ts >= TIMESTAMP '2024-01-30 22:00:00' AS fresh FROM events""")
 def feed_dates(spark, d):

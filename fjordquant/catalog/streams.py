@@ -36,12 +36,16 @@ FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS rn
 
 
 @query("stream_quote_changes", "STM-2", with_("quotes last_bar", """
-SELECT event_id, symbol, round(price * 5000, 4) AS price, round(price * 5000 - ref, 7) AS change, round(price * 5000 / ref - 1, 8) AS change_pct, round(price * 5000 * coalesce(volume, last_volume), 2) AS turnover
+SELECT event_id, symbol, round(price * 5000, 4) AS price, round(price * 5000 - ref, 7) AS change, round(price * 5000 / ref - 1, 8) AS change_pct, round(price * 5000 * coalesce(volume, last_volume), 2) AS turnover,
+  epoch(date_trunc('second', (SELECT max(ts) FROM quotes))) - epoch(date_trunc('second', ts)) > 900 AS stale
 FROM quotes LEFT JOIN last_bar USING (symbol)"""))
 def stream_quote_changes(spark, d):
     static = L.last_two_bars(D.bars(spark, d))
     out = L.drain(L.with_change(L.quote_stream(spark, d), static, 5000.0), "append")
-    return rounded(out.select("event_id", "symbol", "price", "change", "change_pct", "turnover"),
+    # stale is told when the table is read, against the newest quote
+    stale = L.is_stale(F.col("ts"), out.agg(F.max("ts")).scalar())
+    return rounded(out.select("event_id", "symbol", "price", "change", "change_pct", "turnover",
+                              stale.alias("stale")),
                    {"price": 4, "change": 7, "change_pct": 8, "turnover": 2})
 
 

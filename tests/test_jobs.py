@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import time
 
 import duckdb
 import pytest
@@ -78,3 +79,20 @@ def test_queries_equal_their_check_sql(spark, name):
     names = [d[0] for d in rel.description]
     want = sorted((tuple(canon(r[names.index(c)]) for c in cols) for r in rel.fetchall()), key=str)
     assert got == want
+
+
+def test_repeated_and_late_items_are_dropped(spark, tmp_path):
+    schema = "guid string, ts timestamp"
+    batches = [[("a", "2024-01-05 10:00:00"), ("b", "2024-01-05 09:30:00")],
+               [("a", "2024-01-05 10:00:00"), ("c", "2024-01-05 08:30:00")],
+               # late rows are judged by the watermark that held before the last batch
+               [("c", "2024-01-05 08:30:00"), ("late", "2024-01-05 07:30:00"), ("d", "2024-01-05 10:05:00")]]
+    for k, rows in enumerate(batches):
+        part = spark.createDataFrame(rows, "guid string, ts string")
+        part.select("guid", F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.parquet(
+            f"{tmp_path}/in/{k}")
+        time.sleep(1.1)  # files are read in the order of their times
+    source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option(
+        "maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = L.drain(L.once_per_id(source, "guid", "ts"), "append")
+    assert sorted(r.guid for r in out.collect()) == ["a", "b", "c", "d"]

@@ -29,14 +29,14 @@ PARTIAL = {
     "PRJ-9": "2 of 8 chart tables", "JN-6": "industry priority, shares fallback",
     "JN-13": "quantiles, positions, calendar returns", "JN-14": "ambiguous tickers in a query",
     "JN-15": "cap coverage, year buckets", "JN-16": "median ratio", "JN-17": "overview, news, ratios",
-    "AGG-2": "node with parents and children, totals", "DT-3": "two-hour rule",
+    "AGG-2": "node with parents and children, totals",
     "ARR-2": "nested record", "ARR-3": "other payloads", "FIN-4": "4 rule families",
     "VAL-1": "bond rate", "VAL-2": "special cases", "SEC-1": "legacy score",
     "MAC-1": "general score, sentences", "MAC-2": "general score, readings",
     "CHK-1": "EPS against reported", "CHK-3": "ROE, target, composite", "ANL-1": "nested record",
     "TXT-3": "rows of the merged feed", "TXT-8": "6 of 7 paragraphs", "TXT-9": "most paragraphs",
-    "TXT-10": "sample and precision", "STM-2": "stale flag", "STM-3": "duplicate index",
-    "STM-5": "two-hour rule", "UDF-5": "as JN-14", "PRV-1": "provenance in outputs",
+    "TXT-10": "sample and precision", "STM-3": "duplicate index",
+    "UDF-5": "as JN-14", "PRV-1": "provenance in outputs",
 }
 
 
