@@ -1,7 +1,7 @@
 """Named queries over the supplied tables, each with its check SQL."""
 
 from fjordquant.catalog import (  # noqa: F401
-    analysis, backtest, macro, market, news, prices, report, statements, streams, technical, vendor,
+    analysis, backtest, feeds, macro, market, news, prices, report, statements, streams, technical, vendor,
 )
 from fjordquant.catalog.registry import ENTRIES
 

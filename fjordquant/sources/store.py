@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BAR_COLUMNS = ["symbol", "time", "open", "high", "low", "close", "volume"]
@@ -85,7 +85,27 @@ def missing_dates(wanted: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    df.select(*columns).write.mode("overwrite").option("header", True).option("quote", '"').csv(path)
+    """The visible columns as CSV with a byte-order mark, so that spreadsheets read UTF-8.
+
+    The mark is written before the header's first name in every part file; quotes
+    inside values are doubled.
+    """
+    first = f"\ufeff{columns[0]}"
+    df.select(F.col(columns[0]).alias(first), *columns[1:]).write.mode("overwrite").options(
+        header=True, quote='"', escape='"').csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
+    """Known columns of CSV files as the given types.
+
+    Headers are matched without byte-order mark, case and outer blanks; other columns
+    are left out, absent ones are null, and values that do not parse ('.', 'n/a') are null.
+    """
+    raw = spark.read.options(header=True, quote='"', escape='"').csv(path)
+    found = {c.lstrip("\ufeff").strip().lower(): c for c in raw.columns}
+    return raw.select(*[
+        (F.col(f"`{found[name]}`").try_cast(kind) if name in found else F.lit(None).cast(kind)).alias(name)
+        for name, kind in types.items()])
 
 
 def insert_new(existing: DataFrame, items: DataFrame, key: str = "guid") -> DataFrame:
@@ -101,8 +121,8 @@ def recent(items: DataFrame, n: int = 6, category: str | None = None) -> DataFra
     return items.orderBy(F.desc("published_at"), "guid").limit(n)
 
 
-def input_signature(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-free SHA-256 fingerprint of a table of any size.
+def input_signature(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """Order-free SHA-256 fingerprint of a table of any size, or of each of its groups.
 
     Row digests are summed in 32-bit pieces (an aggregate with map-side
     combine) and the sums are hashed; no list of rows is built.
@@ -110,12 +130,29 @@ def input_signature(rows: DataFrame, columns: list[str]) -> DataFrame:
     fields = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]
     digest = F.sha2(F.concat_ws("|", *fields), 256)
     parts = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)") for i in range(8)]
-    sums = rows.select(*[p.alias(f"p{i}") for i, p in enumerate(parts)]).agg(
+    by = by or []
+    sums = rows.select(*by, *[p.alias(f"p{i}") for i, p in enumerate(parts)]).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(f"p{i}").alias(f"p{i}") for i in range(8)])
-    return sums.select("n", F.sha2(F.concat_ws("-", "n", *[f"p{i}" for i in range(8)]), 256)
+    return sums.select(*by, "n", F.sha2(F.concat_ws("-", "n", *[f"p{i}" for i in range(8)]), 256)
                        .alias("signature"))
 
 
+def refresh_results(stored: DataFrame, inputs: DataFrame, by: list[str], columns: list[str], compute,
+                    now: Column, days: int = 7) -> DataFrame:
+    """Results per key: stored ones while their inputs are the same, others computed anew.
+
+    ``stored`` has the key, the result columns, ``signature`` and ``updated_at``.  A row
+    is kept while its signature equals that of its present inputs and it is at most
+    ``days`` old; ``compute`` sees the inputs of all other keys only.  Keys without
+    inputs go.  The result has ``reused`` beside the columns of ``stored``.
+    """
+    marks = input_signature(inputs, columns, by).select(*by, "signature")
+    kept = stored.where(F.date_diff(now, "updated_at") <= days).join(marks, [*by, "signature"], "left_semi")
+    fresh = compute(inputs.join(kept.select(*by), by, "left_anti")).join(marks, by).withColumn(
+        "updated_at", now)
+    return kept.withColumn("reused", F.lit(True)).unionByName(fresh.withColumn("reused", F.lit(False)))
+
+
 def weekly_rebased(equity: DataFrame, by: list[str]) -> DataFrame:
     """Friday values of an equity line rebased to 100 at its first value."""
     from pyspark.sql import Window

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -260,6 +262,48 @@ def first_usable(columns: list[str]) -> Column:
     return F.coalesce(*[F.expr(f"try_cast(`{c}` AS double)") for c in columns])
 
 
+def reshape_periods(wide: DataFrame, key: str, labels: list[str], order: str,
+                    items: list[str] | None = None) -> DataFrame:
+    """Item rows with one column per period become period rows with one column per item.
+
+    Lines without any value (headings) go; of lines that repeat an ``item_id`` the last
+    stays.  Every column that is no key, label or line number is a period.
+    """
+    periods = [c for c in wide.columns if c not in (key, "item_id", order, *labels)]
+    values = F.struct(*[F.col(c).cast("double").alias(c) for c in periods])
+    body = wide.where(F.coalesce(*[F.col(c) for c in periods]).isNotNull()).groupBy(key, "item_id").agg(
+        F.max_by(values, order).alias("v")).select(key, "item_id", "v.*")
+    long = body.unpivot([key, "item_id"], periods, "period", "value")
+    return long.groupBy(key, "period").pivot("item_id", items).agg(F.first("value"))
+
+
+def fallback_chain(sources: list[tuple[str, DataFrame]], key: str, period: str, n: int = 5) -> DataFrame:
+    """Per key all rows of the first source that has any, of these the last ``n`` periods."""
+    tagged = [df.withColumns({"priority": F.lit(i), "source": F.lit(name)})
+              for i, (name, df) in enumerate(sources)]
+    chosen = first_source(reduce(DataFrame.unionByName, tagged), [key]).drop("priority")
+    newest = F.dense_rank().over(Window.partitionBy(key).orderBy(F.desc(period)))
+    return chosen.withColumn("_r", newest).where(F.col("_r") <= n).drop("_r")
+
+
+def coverage_totals(universe: DataFrame, covered: DataFrame, newest_year: Column) -> DataFrame:
+    """Statement coverage by exchange and in total (null exchange), in one pass.
+
+    ``universe`` has symbol, exchange and market_cap; ``covered`` has symbol and last_year.
+    """
+    cap = F.coalesce("market_cap", F.lit(0.0))
+    has = F.col("last_year").isNotNull()
+    share = lambda part, whole: F.round(100 * F.try_divide(part, whole), 2)
+    n, m = F.count(F.lit(1)), F.count("last_year")
+    held, total = F.sum(F.when(has, cap).otherwise(0.0)), F.sum(cap)
+    return universe.select("symbol", "exchange", "market_cap").join(
+        covered.select("symbol", "last_year"), "symbol", "left").withColumn("newest", newest_year).rollup("exchange").agg(
+        F.grouping("exchange").alias("is_total"), n.alias("listed"), m.alias("with_statements"),
+        share(m, n).alias("coverage_pct"), F.coalesce(share(held, total), F.lit(0.0)).alias("cap_coverage_pct"),
+        F.count_if(F.col("last_year") >= F.col("newest")).alias("with_newest"),
+        F.count_if(F.col("last_year") < F.col("newest")).alias("only_older"), (n - m).alias("missing"))
+
+
 def first_source(rows: DataFrame, by: list[str]) -> DataFrame:
     """Rows of the best (lowest) priority that answered, per key."""
     best = rows.groupBy(*by).agg(F.min("priority").alias("priority"))

@@ -10,6 +10,7 @@ import __spark_entry__ as entry_module
 from fjordquant.catalog import ENTRIES
 from fjordquant.plans import domain as D
 from fjordquant.sources import store as STORE
+from fjordquant.sources import vendor as V
 from fjordquant.streaming import live as L
 
 SF = "/root/testdata/sf0.001"
@@ -96,3 +97,61 @@ def test_repeated_and_late_items_are_dropped(spark, tmp_path):
         "maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     out = L.drain(L.once_per_id(source, "guid", "ts"), "append")
     assert sorted(r.guid for r in out.collect()) == ["a", "b", "c", "d"]
+
+
+def test_csv_has_a_byte_order_mark_and_reads_back(spark, tmp_path):
+    rows = spark.createDataFrame([('a "b", c', 1.5), ("Nguyễn", None), ("x;y", 2.0)], "Name string, value double")
+    path = str(tmp_path / "csv")
+    STORE.export_csv(rows.coalesce(1), path, ["Name", "value"])
+    part = next((tmp_path / "csv").glob("part-*.csv")).read_bytes()
+    assert part.startswith("﻿Name,value".encode())
+    back = STORE.read_csv(spark, path, {"name": "string", "value": "double", "unit": "string"})
+    assert back.columns == ["name", "value", "unit"]
+    assert sorted((r.name, r.value, r.unit) for r in back.collect()) == sorted(
+        [('a "b", c', 1.5, None), ("Nguyễn", None, None), ("x;y", 2.0, None)])
+    (tmp_path / "hand").mkdir()
+    (tmp_path / "hand" / "a.csv").write_text("﻿ Value ,NAME,more\n.,a,1\n7,b,2\n", encoding="utf-8")
+    hand = STORE.read_csv(spark, str(tmp_path / "hand"), {"name": "string", "value": "double"})
+    assert sorted((r.name, r.value) for r in hand.collect()) == [("a", None), ("b", 7.0)]
+
+
+def test_only_changed_missing_and_old_results_are_computed_again(spark):
+    day = dt.date(2024, 1, 10)
+    inputs = spark.createDataFrame([("A", 1), ("A", 2), ("B", 3), ("C", 4), ("D", 5)], "symbol string, v int")
+    seen = []
+
+    def compute(rows):
+        seen.append(sorted(r.symbol for r in rows.select("symbol").distinct().collect()))
+        return rows.groupBy("symbol").agg(F.sum("v").alias("total"))
+
+    marks = STORE.input_signature(inputs, ["v"], ["symbol"]).select("symbol", "signature")
+    first = STORE.refresh_results(
+        spark.createDataFrame([], "symbol string, total long, signature string, updated_at date"),
+        inputs, ["symbol"], ["v"], compute, F.lit(day))
+    assert seen == [["A", "B", "C", "D"]] and {r.symbol: r.total for r in first.collect()} == {"A": 3, "B": 3, "C": 4, "D": 5}
+    old = F.when(F.col("symbol") == "C", F.lit(day - dt.timedelta(days=8))).otherwise(F.lit(day))
+    stored = first.drop("reused").where("symbol <> 'D'").withColumn("updated_at", old)
+    changed = inputs.withColumn("v", F.when(F.col("symbol") == "B", 30).otherwise(F.col("v")))
+    second = STORE.refresh_results(stored, changed, ["symbol"], ["v"], compute, F.lit(day))
+    assert seen[1] == ["B", "C", "D"]
+    assert {r.symbol: (r.total, r.reused) for r in second.collect()} == {
+        "A": (3, True), "B": (30, False), "C": (4, False), "D": (5, False)}
+    assert marks.count() == 4
+
+
+def test_periods_become_rows_and_last_line_wins(spark):
+    wide = spark.createDataFrame(
+        [("A", "head", "Assets", 0, None, None), ("A", "x", "X", 1, 1.0, 2.0), ("A", "x", "X", 2, 10.0, None),
+         ("A", "y", "Y", 3, None, 4.0)],
+        "symbol string, item_id string, item string, line int, `2022` double, `2023` double")
+    out = V.reshape_periods(wide, "symbol", ["item"], "line")
+    assert out.columns == ["symbol", "period", "x", "y"]
+    assert sorted(tuple(r) for r in out.collect()) == [("A", "2022", 10.0, None), ("A", "2023", None, 4.0)]
+
+
+def test_first_source_with_rows_gives_all_rows(spark):
+    make = lambda *rows: spark.createDataFrame(list(rows), "symbol string, year int, v int")
+    out = V.fallback_chain([("a", make(("A", 2020, 1))), ("b", make(("A", 2023, 2), ("B", 2020, 3), ("B", 2021, 4), ("B", 2022, 5)))],
+                           "symbol", "year", 2)
+    assert sorted((r.symbol, r.year, r.source) for r in out.collect()) == [
+        ("A", 2020, "a"), ("B", 2021, "b"), ("B", 2022, "b")]
