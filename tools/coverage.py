@@ -20,15 +20,15 @@ ELSEWHERE = {
 
 # rows of which a part is open
 PARTIAL = {
-    "SRC-11": "keep-last merge of per-symbol files", "SRC-12": "expiry of stale values",
-    "SRC-14": "CSV reader", "SRC-15": "missing marks", "SRC-16": "first-source chain",
+    "SRC-11": "keep-last merge of per-symbol files", 
+    "SRC-14": "manual financials file",
     "SRC-17": "validation of stored trailing sums", "SNK-1": "meta table, no query",
-    "SNK-4": "BOM, no query", "SNK-6": "reuse by signature", "CLS-2": "static table, reasons",
+    "SNK-4": "semicolons are not quoted", "CLS-2": "static table, reasons",
     "PRJ-1": "candidate table", "PRJ-2": "name patterns", "PRJ-3": "code table, all-zero skip",
-    "PRJ-4": "dictionary and code choice", "PRJ-6": "transpose", "PRJ-8": "history variant",
+    "PRJ-4": "dictionary and code choice", "PRJ-8": "history variant",
     "PRJ-9": "2 of 8 chart tables", "JN-6": "industry priority, shares fallback",
     "JN-13": "quantiles, positions, calendar returns", "JN-14": "ambiguous tickers in a query",
-    "JN-15": "cap coverage, year buckets", "JN-16": "median ratio", "JN-17": "overview, news, ratios",
+    "JN-16": "median ratio", "JN-17": "overview, news, ratios",
     "AGG-2": "node with parents and children, totals",
     "ARR-2": "nested record", "ARR-3": "other payloads", "FIN-4": "4 rule families",
     "VAL-1": "bond rate", "VAL-2": "special cases", "SEC-1": "legacy score",
