@@ -28,7 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fjordquant.llm import textscan as S
@@ -42,6 +42,7 @@ VERIFY_COST = 20.0     # cost of one verification, in postings read
 SETS_PER_TASK = 10_000  # token sets that one task writes
 COUNTED_ROWS = 2500    # rows whose tokens are sorted together
 BROADCAST_ROWS = 1_000_000  # ids sent to all tasks (8 MB); beyond, rows are shuffled
+BROADCAST_LISTS = 2_000_000  # token lists sent to all tasks (64 MB); beyond, they are shuffled
 
 
 def token_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -79,7 +80,19 @@ def head_size(n: int, percent: int) -> int:
     return 2 * ((100 - percent) * n // percent) + HEAD
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
+def parity_bits(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each of at least 2 n buckets: whether it holds an odd number of tokens.
+
+    Sets that differ in k tokens differ in at most k bits.  The number of buckets is a
+    power of two, so the larger of two such maps can be folded to the other's size.
+    """
+    buckets = max(64, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    odd = np.bincount((tokens.view(np.uint64) & np.uint64(buckets - 1)).astype(np.int64),
+                      minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def list_array(arrays: list[np.ndarray]) -> pa.Array:
     at = np.zeros(len(arrays) + 1, np.int32)
     np.cumsum([len(a) for a in arrays], out=at[1:])
     flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
@@ -87,17 +100,19 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def scan(docs: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
-    """(key, id, node, n, tokens) of (key, id, text): all tokens, or the smallest ones."""
+    """(key, id, node, n, tokens, bits) of (key, id, text): all tokens, or the smallest ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in S.slices(batches, "text"):
             sets = token_sets(batch.column(2), width)
             cut = sets if whole else [s[:head_size(len(s), percent)] for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([set_id(s) for s in sets], pa.int64()),
-                 pa.array([len(s) for s in sets], pa.int64()), _lists(cut)],
-                ["key", "id", "node", "n", "tokens"])
+                 pa.array([len(s) for s in sets], pa.int64()), list_array(cut),
+                 list_array([parity_bits(s) for s in sets])],
+                ["key", "id", "node", "n", "tokens", "bits"])
 
-    return docs.mapInArrow(run, "key long, id long, node long, n long, tokens array<long>")
+    return docs.mapInArrow(
+        run, "key long, id long, node long, n long, tokens array<long>, bits array<long>")
 
 
 def only(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -106,6 +121,11 @@ def only(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, column, "left_semi")
 
 
+def sent(table: DataFrame, rows: int) -> DataFrame:
+    """A written table, marked to be sent to all tasks if it has at most ``rows`` rows."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def close_sizes(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
@@ -131,10 +151,10 @@ def first_level(classes: DataFrame, percent: int, store: Scratch) -> tuple[DataF
     postings = classes.select("node", "n", prefix.alias("tokens")).select(
         "node", "n", F.element_at("tokens", -1).alias("reach"), F.posexplode("tokens"))
     postings = postings.withColumnRenamed("col", "token")
-    lists = postings.groupBy("token").agg(
+    lists = store.write(postings.groupBy("token").agg(
         F.count(F.lit(1)).alias("c"), F.max("reach").alias("g"), F.min("node").alias("pivot")
-    ).where("c > 1")
-    shared = store.write(postings.join(lists, "token"))
+    ).where("c > 1"))
+    shared = store.write(postings.join(sent(lists, BROADCAST_LISTS), "token"))
     scans = [F.sum(F.expr(f"CASE WHEN c <= {HOT} AND pos < {base} + {k} THEN c - 1 ELSE 0 END"))
              for k in range(1, LEVELS_OF_MATCH + 1)]
     costs = shared.groupBy("node").agg(
@@ -154,7 +174,7 @@ def first_level(classes: DataFrame, percent: int, store: Scratch) -> tuple[DataF
         .where("hits >= need").select("a", "b", "hits").union(stars))
     members = store.write(shared.where(F.col("c") > HOT).select(
         "g", "node", "n", F.lit(0).alias("deep")).distinct())
-    store.drop(shared)
+    store.drop(shared, lists)
     return pairs, members
 
 
@@ -229,11 +249,12 @@ def centre_level(members: DataFrame, rows: int, tokens_of, percent: int, merged:
     lacking = members.select("g", "node", "n", F.lit(1).alias("deep")).join(
         known.where("NOT enough").select("g", "node"), ["g", "node"], "left_semi")
     fetched = tokens_of(known.where("NOT enough").select("node").distinct())
-    near = store.write(known.where("enough").unionByName(
-        differences(lacking.join(fetched, "node"), centres, percent)).drop("enough"),
-        rows, SETS_PER_TASK)
-    store.drop(known, fetched, centres)
-    best = near.where("f IS NOT NULL").groupBy("g").agg(F.min(F.struct("f", "node")).alias("best"))
+    rest = store.write(differences(lacking.join(fetched, "node"), centres, percent),
+                       rows, SETS_PER_TASK)
+    store.drop(fetched, centres)
+    near = known.where("enough").unionByName(rest).drop("enough")
+    best = store.write(near.where("f IS NOT NULL").groupBy("g").agg(
+        F.min(F.struct("f", "node")).alias("best")))
     # inside: linked to the best member for certain, so pairs of such members add nothing
     near_best = near.join(best, "g", "left").withColumn(
         "inside", F.expr("coalesce(f + best.f <= 0, false)"))
@@ -241,15 +262,16 @@ def centre_level(members: DataFrame, rows: int, tokens_of, percent: int, merged:
         F.col("best.node").alias("a"), F.col("node").alias("b")), rows)
     postings = near_best.select("g", "node", "n", "deep", "inside",
                                 F.element_at("d", -1).alias("reach"), F.explode("d").alias("token"))
-    lists = postings.groupBy("g", "token").agg(
-        F.count(F.lit(1)).alias("c"), F.max("reach").alias("to")).where("c > 1")
-    shared = store.write(postings.join(lists, ["g", "token"]).withColumn("need", F.lit(1)))
+    lists = store.write(postings.groupBy("g", "token").agg(
+        F.count(F.lit(1)).alias("c"), F.max("reach").alias("to")).where("c > 1"))
+    shared = store.write(postings.join(sent(lists, BROADCAST_LISTS), ["g", "token"])
+                         .withColumn("need", F.lit(1)))
     pairs = store.write(list_pairs(shared.where(F.col("c") <= HOT), ["g", "token"], percent)
                         .select("a", "b").distinct())
     deeper = store.write(shared.where(F.col("c") > HOT).select(
         F.xxhash64("g", "to" if merged else "token").alias("g"), "node", "n", "deep").groupBy(
         "g", "node", "n").agg(F.max("deep").alias("deep")))
-    store.drop(near, shared)
+    store.drop(known, rest, best, lists, shared)
     return links, pairs, deeper
 
 
@@ -266,34 +288,38 @@ def by_centres(members: DataFrame, heads: DataFrame | None, tokens_of, percent:
         deep = tokens_of(members.where("deep = 1").select("node").distinct())
         headed = members.where("deep = 1").join(deep, "node")
         if heads is not None:
-            headed = headed.unionByName(
-                members.where("deep = 0").join(heads.select("node", "tokens"), "node"))
-        headed = store.write(headed, rows, SETS_PER_TASK)
-        store.drop(deep, members)
-        links, pairs, members = centre_level(
+            shallow = sent(members.where("deep = 0"), BROADCAST_ROWS)
+            headed = headed.unionByName(heads.select("node", "tokens").join(shallow, "node"))
+        links, pairs, deeper = centre_level(
             headed, rows, tokens_of, percent, level < MERGED_LEVELS, store)
-        store.drop(headed)
+        store.drop(deep, members)
+        members = deeper
         all_links.append(links)
         all_pairs.append(pairs)
         level += 1
     return all_links, all_pairs
 
 
-def plausible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose smallest tokens do not differ by more than whole similar sets may.
+def plausible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose parity bits (node, n, bits) do not differ more than those of similar sets may.
 
-    Up to the lesser of their last known tokens both sets are known, so what differs
-    there differs in the whole sets.
+    Similar sets are close in size, so one map is at most twice as long as the other.
     """
-    side = lambda x: heads.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"),
-                                  F.col("tokens").alias(f"t{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    upto = lambda x: F.when(F.size(f"t{x}") < F.col(f"n{x}"), F.element_at(f"t{x}", -1)).otherwise(
-        F.lit((1 << 63) - 1))
-    both = both.withColumn("upto", F.least(upto("a"), upto("b")))
-    extra = lambda x, y: F.size(F.filter(F.array_except(f"t{x}", f"t{y}"), lambda t: t <= F.col("upto")))
-    return both.where((100 + percent) * (extra("a", "b") + extra("b", "a"))
-                      <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
+    side = lambda x: maps.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"),
+                                 F.col("bits").alias(f"b{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(
+        F.expr(close_sizes("na", "nb", percent)))
+    words = F.least(F.size("ba"), F.size("bb"))
+
+    def folded(x: str) -> Column:
+        return F.when(F.size(x) == words, F.col(x)).otherwise(F.zip_with(
+            F.slice(x, 1, words), F.slice(x, words + 1, words), lambda p, q: p.bitwiseXOR(q)))
+
+    apart = F.aggregate(
+        F.zip_with(folded("ba"), folded("bb"), lambda p, q: F.bit_count(p.bitwiseXOR(q))),
+        F.lit(0), lambda total, k: total + k)
+    return both.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))
+                      ).select("a", "b")
 
 
 def components(edges: DataFrame, store: Scratch) -> DataFrame:
@@ -375,10 +401,10 @@ def split_classes(sets: DataFrame, store: Scratch) -> tuple[DataFrame, DataFrame
     All rows of a class hold the same, so any may stand for it.
     """
     sets = store.write(sets.withColumn("row", F.monotonically_increasing_id()))
-    first = sets.where("n > 0").groupBy("node").agg(F.min("row").alias("row"))
-    classes = store.write(sets.join(first.select("row"), "row", "left_semi").drop("row", "id"))
+    first = store.write(sets.where("n > 0").groupBy("node").agg(F.min("row").alias("row")).select("row"))
+    classes = store.write(only(sets, first, "row").drop("row", "id"))
     named = store.write(sets.select("id", "node", "n"))
-    store.drop(sets)
+    store.drop(sets, first)
     return named, classes
 
 
@@ -398,6 +424,7 @@ class Tokens:
     def __init__(self, rows: DataFrame, classes: DataFrame, width: int, percent: int, store: Scratch):
         self.rows, self.width, self.percent, self.store = rows, width, percent, store
         self.keys = classes.select("node", "key")
+        self.maps = classes.select("node", "n", "bits")
 
     def of(self, nodes: DataFrame) -> DataFrame:
         wanted = self.store.write(self.keys.join(nodes, "node", "left_semi"))
@@ -412,7 +439,7 @@ class Tokens:
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are similar on their full sets."""
-        pairs = self.store.write(pairs)
+        pairs = self.store.write(plausible(pairs, self.maps, self.percent))
         tokens = self.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         links = self.store.write(verified(pairs, tokens, self.percent))
         self.store.drop(pairs, tokens)
@@ -431,9 +458,9 @@ def link(docs: DataFrame, id_column: str, text: str, width: int = 3, percent: in
     # a set and the one that it shares most tokens with first; then what is not linked by that
     best = pairs.groupBy(F.col("b").alias("y")).agg(F.max_by("a", "hits").alias("a")).select(
         "a", F.col("y").alias("b"))
-    labels = components(tokens.confirm(plausible(best, heads, percent)), store)
+    labels = components(tokens.confirm(best), store)
     certain, more = by_centres(undecided(members, labels), heads, tokens.of, percent, store)
     candidates = reduce(DataFrame.union, [pairs.select("a", "b"), *more]).distinct()
-    late = tokens.confirm(plausible(crossing(candidates, labels), heads, percent))
+    late = tokens.confirm(crossing(candidates, labels))
     store.drop(classes, pairs, members, *more)
     return labelled(named, merged_roots(labels, [late, *certain], store), id_column)

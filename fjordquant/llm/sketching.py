@@ -83,7 +83,7 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def scan(docs: DataFrame, width: int) -> DataFrame:
-    """(key, id, node, n, bands) of (key, id, text); empty sets have no band."""
+    """(key, id, node, n, bands, bits) of (key, id, text); empty sets have no band."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in S.slices(batches, "text"):
             sets = jaccard.token_sets(batch.column(2), width)
@@ -94,10 +94,12 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
             bands = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[size > 0].reshape(-1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1),
-                 pa.array([jaccard.set_id(s) for s in sets], pa.int64()), pa.array(size), bands],
-                ["key", "id", "node", "n", "bands"])
+                 pa.array([jaccard.set_id(s) for s in sets], pa.int64()), pa.array(size), bands,
+                 jaccard.list_array([jaccard.parity_bits(s) for s in sets])],
+                ["key", "id", "node", "n", "bands", "bits"])
 
-    return docs.mapInArrow(run, "key long, id long, node long, n long, bands array<long>")
+    return docs.mapInArrow(
+        run, "key long, id long, node long, n long, bands array<long>, bits array<long>")
 
 
 def near_duplicates(docs: DataFrame, id_column: str, text: str, width: int = 5, percent: int = 85
@@ -108,9 +110,9 @@ def near_duplicates(docs: DataFrame, id_column: str, text: str, width: int = 5,
     named, classes = jaccard.split_classes(scan(rows, width), store)
     tokens = jaccard.Tokens(rows, classes, width, percent, store)
     postings = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    lists = postings.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("c"), F.min("node").alias("pivot")).where("c > 1")
-    shared = store.write(postings.join(lists, "bucket"))
+    lists = store.write(postings.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("c"), F.min("node").alias("pivot")).where("c > 1"))
+    shared = store.write(postings.join(jaccard.sent(lists, jaccard.BROADCAST_LISTS), "bucket"))
     best = (shared.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("hits"))
             .groupBy(F.col("node").alias("b")).agg(F.max_by("pivot", "hits").alias("a")))
     labels = jaccard.components(tokens.confirm(best.select("a", "b")), store)
@@ -122,7 +124,7 @@ def near_duplicates(docs: DataFrame, id_column: str, text: str, width: int = 5,
         F.expr("(sum(s) * sum(s) - sum(s * s)) / 2").alias("crossing")).where("crossing > 0")
     rest = store.write(state.join(mixed, "bucket").withColumn(
         "large", F.col("crossing") > PARTNERS * F.col("all")))
-    store.drop(shared)
+    store.drop(shared, lists)
     # pairs of the bucket's main component are left out on one side of the join
     left, right = (rest.where("NOT large").select(
         "bucket", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"),
