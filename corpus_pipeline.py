@@ -20,12 +20,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is recognised; the predicted language replaces a missing label."""
     row, text = fresh(docs, "_row", "_text")
     model, calibration = langid.train(docs, "doc_id", "text", "lang")
-    boxed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias(row),
+    # the text goes through the workers once, the other columns in a box beside it
+    boxed = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias(row),
                         F.col("text").alias(text))
     good = langid.predict(boxed, text, model, calibration).where("accepted")
     return good.select(*[
         F.coalesce(F.col(row)["lang"], F.col("lang_pred")).alias(c) if c == "lang"
-        else F.col(row)[c].alias(c) for c in docs.columns])
+        else F.col(text).alias(c) if c == "text" else F.col(row)[c].alias(c)
+        for c in docs.columns])
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,12 +6,14 @@ so a model holds 2^24 four-grams per language at most, whatever the corpus.  Tas
 count four-grams of all training rows, Spark adds the counts up, and the summed
 table becomes sorted key arrays with one column of log-probabilities per language.
 A text's language is that of the lowest cross-entropy per symbol.  Scores and the
-rejection limits are calibrated with a model that leaves out a bounded sample of the
-training rows of every language; the model that is returned counts all of them.
+rejection limits are calibrated on every training row: the rows are dealt into folds, and
+each fold is scored by a model of the others.  The model that is returned counts all of
+them.  Counts reach the driver one fold at a time and scores not at all, only their
+quantiles and means.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0 and is
 rejected; ties go to the first language by name; a table without labels gives
-``und`` throughout; a language without calibration rows of its own is never
+``und`` throughout; a language that no other fold predicts rightly is never
 rejected; an empty table gives an empty result.
 """
 
@@ -27,19 +29,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fjordquant.functions.ordering import grouped_quantiles
 from fjordquant.llm import textscan as S
 from fjordquant.llm.common import fresh
+from fjordquant.session import materialise
 
 ORDER = 4
 BITS = 6
 SYMBOLS = 1 << BITS
-CALIBRATION_ROWS = 20_000  # expected rows scored to calibrate, over all languages
-CALIBRATION_LEAST = 200    # expected rows of every language, as far as its share allows
+FOLDS = 5
+CALIBRATION_ROWS = 20_000  # scored rows that the driver reads; more are aggregated by Spark
 BINS = 12
 REJECT_QUANTILE = 0.999
 REJECT_SLACK = 1.5
 REJECT_FLOOR = 0.5         # nats per symbol above a language's mean that always pass
-CALIBRATION_SHARE = 0.2    # of a language's labelled rows at most
 SHORT = 40.0               # texts of about this many symbols vary twice as much
 MERGE_EVERY = 24
 UNKNOWN = "und"
@@ -216,7 +219,7 @@ class Calibration:
 
 
 def calibrate(sample: list[tuple]) -> Calibration:
-    """From (true language, predicted, gap, entropy, symbols) of the sample rows."""
+    """From (true language, predicted, gap, entropy, symbols) of the scored rows."""
     if not sample:
         return Calibration([], [0.5], {}, {})
     gap = np.array([s[2] for s in sample])
@@ -234,22 +237,55 @@ def calibrate(sample: list[tuple]) -> Calibration:
     flat = Calibration(edges, share.tolist(), mean, {})
     excess = {x: [float(flat.excess(x, s[3], s[4])) for s in rows] for x, rows in own.items()}
 
-    def limit(values: list[float]) -> float:
-        return max(float(np.quantile(values, REJECT_QUANTILE)) * REJECT_SLACK, REJECT_FLOOR)
-
     if own:
-        common = limit([v for values in excess.values() for v in values])
-        flat.limit = {x: max(common, limit(values)) for x, values in excess.items()}
+        common = reject_limit(np.quantile([v for e in excess.values() for v in e], REJECT_QUANTILE))
+        flat.limit = {x: max(common, reject_limit(np.quantile(e, REJECT_QUANTILE)))
+                      for x, e in excess.items()}
     return flat
 
 
+def reject_limit(quantile: float) -> float:
+    return max(float(quantile) * REJECT_SLACK, REJECT_FLOOR)
+
+
+def calibrate_rows(scored: DataFrame) -> Calibration:
+    """As ``calibrate``, from a table (lang, lang_pred, gap, entropy, symbols) of any size."""
+    rows = scored.withColumn("_all", F.lit(1))
+    cuts = grouped_quantiles(rows, ["_all"], "gap", {
+        f"q{i}": i / BINS for i in range(1, BINS)}).first()
+    if cuts is None:
+        return calibrate([])
+    edges = sorted({cuts[f"q{i}"] for i in range(1, BINS)})
+    right = (F.col("lang") == F.col("lang_pred")).cast("long")
+    place = sum(((F.col("gap") > e).cast("int") for e in edges), F.lit(0))
+    n, hits = np.zeros((2, len(edges) + 1))
+    for r in rows.groupBy(place.alias("place")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(right).alias("hits")).collect():
+        n[r["place"]], hits[r["place"]] = r["n"], r["hits"]
+    share = np.maximum.accumulate((hits + 1) / (n + 2))
+    mean = {r["lang_pred"]: r["mean"] for r in rows.groupBy("lang_pred").agg(
+        F.avg("entropy").alias("mean"), F.sum(right).alias("hits")).where("hits > 0").collect()}
+    out = Calibration(edges, share.tolist(), mean, {})
+    if not mean:
+        return out
+    means = F.create_map(*[F.lit(x) for pair in mean.items() for x in pair])
+    own = rows.where(F.col("lang_pred").isin(*mean)).withColumn(
+        "excess", (F.col("entropy") - means[F.col("lang_pred")]) / F.sqrt(
+            1 + F.lit(SHORT) / F.greatest("symbols", F.lit(1))))
+    q = {"q": REJECT_QUANTILE}
+    common = reject_limit(grouped_quantiles(own, ["_all"], "excess", q).first()["q"])
+    out.limit = {r["lang_pred"]: max(common, reject_limit(r["q"]))
+                 for r in grouped_quantiles(own, ["lang_pred"], "excess", q).collect()}
+    return out
+
+
 def predict(df: DataFrame, text: str, model: Model, calibration: Calibration | None
             ) -> DataFrame:
     """Attach lang_pred, score, accepted, and the raw gap, entropy and symbol count."""
     clean = df.drop("lang_pred", "score", "accepted", "gap", "entropy", "symbols")
-    inner, letters = fresh(clean, "_predict", "_letters")
-    source = clean.select(*clean.columns, F.col(text).alias(inner),
-                          has_letter(F.col(text)).alias(letters))
+    letters = fresh(clean, "_letters")[0]
+    source = clean.select(*clean.columns, has_letter(F.col(text)).alias(letters))
+    place = clean.columns.index(text)
     schema = clean.schema
     for name, kind in (("lang_pred", "string"), ("score", "double"), ("accepted", "boolean"),
                        ("gap", "double"), ("entropy", "double"), ("symbols", "long")):
@@ -259,8 +295,8 @@ def predict(df: DataFrame, text: str, model: Model, calibration: Calibration | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, calibration = shared.value
-        for batch in S.slices(batches, inner):
-            codes, first = gram_codes(batch.column(batch.num_columns - 2))
+        for batch in S.slices(batches, text):
+            codes, first = gram_codes(batch.column(place))
             size = np.diff(first)
             known = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             known = known.astype(bool) & bool(model.languages)
@@ -281,7 +317,7 @@ def predict(df: DataFrame, text: str, model: Model, calibration: Calibration | N
                         own = names == name
                         accepted[own] &= calibration.accepts(name, entropy[own], size[own])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-2], pa.array(names.tolist(), pa.string()), pa.array(score),
+                [*batch.columns[:-1], pa.array(names.tolist(), pa.string()), pa.array(score),
                  pa.array(accepted), pa.array(gap), pa.array(entropy),
                  pa.array(size.astype(np.int64))],
                 out_names)
@@ -294,46 +330,47 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def calibration_parts(counts: dict[str, int]) -> dict[str, int]:
-    """Rows in a million that calibrate, for each language of so many labelled rows."""
-    total = max(sum(counts.values()), 1)
-    return {x: int(min(CALIBRATION_SHARE, max(CALIBRATION_ROWS / total, CALIBRATION_LEAST / n))
-                   * 1_000_000) for x, n in counts.items()}
-
-
 def train(df: DataFrame, key: str, text: str, lang: str) -> tuple[Model, Calibration]:
-    """Fit on the labelled rows that are not held out."""
+    """Fit and calibrate on all labelled rows that are not held out."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")) \
         .where(~held_out(F.col("key")) & F.col("lang").isNotNull() & has_letter(F.col("text")))
-    labelled = df.select(F.col(key).alias("key"), F.col(lang).alias("lang")).where(
-        ~held_out(F.col("key")) & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not sizes:
-        return kneser_ney([], []), calibrate([])
-    part = F.create_map(*[F.lit(x) for pair in calibration_parts(sizes).items() for x in pair])
-    sampled = F.pmod(F.xxhash64("key", "text"), F.lit(1_000_000)) < part[F.col("lang")]
-    # at most 2^24 rows a language by construction of the symbols, counted apart for the sample
-    table = count_grams(rows.withColumn(
-        "lang", F.concat(F.when(sampled, "1").otherwise("0"), F.col("lang")))).toArrow()
-    names = np.array(table.column("lang").to_pylist(), object)
-    grams = table.column("gram").to_numpy().astype(np.uint32)
-    counts = table.column("n").to_numpy()
-
-    def fitted(marks: str) -> Model:
-        languages = sorted({x[1:] for x in set(names.tolist()) if x[0] in marks})
-        tables = []
-        for name in languages:
-            own = np.logical_or.reduce([names == m + name for m in marks])
-            keys, where = np.unique(grams[own], return_inverse=True)
-            tables.append((keys, np.bincount(where, counts[own], len(keys)).astype(np.int64)))
+    fold = F.pmod(F.xxhash64("key", "text"), F.lit(FOLDS)).cast("int")
+    # at most 2^24 rows a fold and language by construction of the symbols
+    counted = materialise(count_grams(rows.withColumn("lang", F.concat(
+        fold.cast("string"), F.lit(":"), F.col("lang")))))
+    parts: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+    for k in range(FOLDS):
+        table = counted.where(F.col("lang").startswith(f"{k}:")).toArrow()
+        names = table.column("lang").combine_chunks().dictionary_encode()
+        which = names.indices.to_numpy(zero_copy_only=False)
+        grams = table.column("gram").to_numpy().astype(np.uint32)
+        counts = table.column("n").to_numpy()
+        for i, name in enumerate(names.dictionary.to_pylist()):
+            parts.setdefault(name.split(":", 1)[1], {})[k] = grams[which == i], counts[which == i]
+
+    def fitted(left_out: int | None) -> Model:
+        languages, tables = [], []
+        for name in sorted(parts):
+            own = [t for k, t in parts[name].items() if k != left_out]
+            if own:
+                keys, where = np.unique(np.concatenate([g for g, _ in own]), return_inverse=True)
+                n = np.bincount(where, np.concatenate([c for _, c in own]), len(keys))
+                languages.append(name)
+                tables.append((keys, n.astype(np.int64)))
         return kneser_ney(languages, tables)
 
-    model, before = fitted("01"), fitted("0")
-    if not before.languages:
+    model, scored = fitted(None), None
+    for k in sorted({k for own in parts.values() for k in own}):
+        others = fitted(k)
+        if others.languages:
+            part = materialise(predict(rows.where(fold == k), "text", others, None).select(
+                "lang", "lang_pred", "gap", "entropy", "symbols"))
+            scored = part if scored is None else scored.unionByName(part)
+    if scored is None:
         return model, calibrate([])
-    sample = predict(rows.where(sampled), "text", before, None)
-    return model, calibrate([tuple(r) for r in sample.select(
-        "lang", "lang_pred", "gap", "entropy", "symbols").collect()])
+    if scored.count() > CALIBRATION_ROWS:
+        return model, calibrate_rows(scored)
+    return model, calibrate([tuple(r) for r in scored.collect()])
 
 
 def identify(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:

@@ -116,3 +116,25 @@ def test_final_model_counts_all_training_rows(spark):
     model, _ = L.train(df, "doc_id", "text", "lang")
     texts = [r.text for r in df.where(~L.held_out(F.col("doc_id"))).collect()]
     assert model.keys.tolist() == sorted({code(g) for t in texts for g in brute_grams(t)})
+
+
+def test_every_training_row_calibrates(spark, monkeypatch):
+    """Limits and scores rest on all labelled rows, whichever side computes them."""
+    rng = random.Random(5)
+    words = {x: ["".join(rng.choice(s) for _ in range(rng.randint(2, 8))) for _ in range(60)]
+             for x, s in (("aa", "abcdefghi"), ("bb", "efghijklm"))}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(rng.randint(1, 12))), x)
+            for i, x in enumerate(["aa", "bb"] * 150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    n = df.where(~L.held_out(F.col("doc_id"))).count()
+    seen, calibrate = [], L.calibrate
+    monkeypatch.setattr(L, "calibrate", lambda sample: seen.append(len(sample)) or calibrate(sample))
+    _, driver = L.train(df, "doc_id", "text", "lang")
+    assert seen == [n]
+    monkeypatch.setattr(L, "CALIBRATION_ROWS", n - 1)
+    _, spread = L.train(df, "doc_id", "text", "lang")
+    assert seen == [n]
+    assert np.allclose(driver.edges, spread.edges) and np.allclose(driver.share, spread.share)
+    for x in ("aa", "bb"):
+        assert math.isclose(driver.mean[x], spread.mean[x], rel_tol=1e-9)
+        assert math.isclose(driver.limit[x], spread.limit[x], rel_tol=1e-9)
