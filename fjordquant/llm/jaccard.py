@@ -1,19 +1,24 @@
 """Exact Jaccard self-join of word n-gram sets, and its connected components.
 
-Sets are ordered by token hash.  With overlap o >= ceil(T * n), two similar sets
-share at least L tokens among their first n - ceil(T * n) + L tokens (L-prefix).
+Sets are ordered by token hash, tokens that more than HOT heads hold last.  Any
+order does: with overlap o >= ceil(T * n), two similar sets share at least L tokens
+among their first n - ceil(T * n) + L tokens (L-prefix).
 Each document picks its own L from the estimated cost of its candidates: a longer
 prefix scans more postings and verifies fewer pairs, as a pair needs min(L, L')
 shared prefix tokens.
 
-Equal sets are one class from the start.  A token that more than HOT classes hold
-in their prefix is never joined with itself.  Its holders form a group with a
-centre (the tokens most of them hold), each holder is replaced by its difference
+Equal sets are one class from the start.  A prefix holds a frequent token only where
+a set has few others, as near copies of a large group do.  A token that more than HOT
+classes hold in their prefix is never joined with itself.  Its holders form a group
+with a centre (the tokens most of them hold), each holder is replaced by its difference
 D to the centre, and since |x ^ y| = |Dx ^ Dy|, two members are similar if
 |Dx| + |Dy| <= (|x| + |y|) / 19 (for T = 0.9; all such links are joined to the
-member with the smallest slack) or else share a token of their differences; those
-prefixes are joined in the same way, level by level.  So a large group of near
-copies costs its size, not its square, and no link between components is lost.
+member with the smallest slack) or else share a token of their differences.  These
+are ordered too: own tokens, which are rare, before missing ones.  With the first
+shared token at places i and j, |Dx ^ Dy| is at least i + j and what their lengths
+differ by from there on, so holders without a partner near enough leave the list, and
+the rest are joined in the same way, level by level.  So a large group of near copies
+costs its size, not its square, and no link between components is lost.
 
 Edge cases: null text counts as empty; an empty set links with nothing; repeated
 rows and equal ids are separate rows with one component; rows without an id get
@@ -28,6 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +41,7 @@ from fjordquant.llm import textscan as S
 from fjordquant.llm.common import Scratch
 
 HOT = 64               # holders of a prefix token that are still paired directly
+COMMON = 1_000_000     # frequent tokens sent to all tasks (8 MB), the most frequent of them
 MERGED_LEVELS = 2      # levels whose groups may span several tokens; then one token is one group
 LEVELS_OF_MATCH = 3    # longest L
 HEAD = 24              # least number of tokens kept for every row; above LEVELS_OF_MATCH
@@ -76,7 +83,7 @@ def required(n: int, percent: int) -> int:
 
 
 def head_size(n: int, percent: int) -> int:
-    """Tokens kept for every row: twice what a difference's prefix needs."""
+    """Tokens kept for every row: twice its prefix and more, as frequent ones give way."""
     return 2 * ((100 - percent) * n // percent) + HEAD
 
 
@@ -130,25 +137,71 @@ def close_sizes(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def list_pairs(postings: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Pairs of holders of a token, smaller node first, close in size."""
-    left, right = (postings.select(
-        *keys, F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("need").alias(f"need_{x}"),
-        F.col("inside").alias(f"in_{x}")) for x in "ab")
-    return left.join(right, keys).where(
-        (F.col("a") < F.col("b")) & ~(F.col("in_a") & F.col("in_b"))
-        & F.expr(close_sizes("na", "nb", percent)))
+def frequent(classes: DataFrame) -> np.ndarray:
+    """Sorted tokens that more than HOT heads hold; they only decide an order, so the most
+    frequent ones do where there are more than COMMON."""
+    often = classes.select(F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT)
+    most = often.orderBy(F.desc("c"), "token").limit(COMMON).select("token").toArrow()
+    return np.sort(most.column(0).to_numpy())
 
 
-def first_level(classes: DataFrame, percent: int, store: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b, hits) and members of hot groups.
+def rare_first(sets: DataFrame, common: Broadcast, percent: int) -> DataFrame:
+    """(node, n, tokens, enough) of (node, n, tokens): the longest prefix, frequent tokens last.
+
+    ``tokens`` may be the smallest ones of a set only; they are enough if they hold a
+    whole prefix of rare ones.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = common.value
+        parts = (b.slice(i, COUNTED_ROWS) for b in batches for i in range(0, b.num_rows, COUNTED_ROWS))
+        for batch in parts:
+            lists = batch.column(2)
+            at = lists.offsets.to_numpy()
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            at = at - at[0]
+            hot = np.zeros(len(flat), bool)
+            if len(known):
+                hot = known[np.minimum(np.searchsorted(known, flat), len(known) - 1)] == flat
+            prefixes, enough = [], []
+            for k, n in enumerate(batch.column(1).to_pylist()):
+                own, late = flat[at[k]:at[k + 1]], hot[at[k]:at[k + 1]]
+                size = n - required(n, percent) + LEVELS_OF_MATCH
+                rare = own[~late]
+                enough.append(len(rare) >= size or len(own) == n)
+                prefixes.append(np.concatenate([rare, own[late]])[:size])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), list_array(prefixes), pa.array(enough, pa.bool_())],
+                ["node", "n", "tokens", "enough"])
+
+    return sets.select("node", "n", "tokens").mapInArrow(
+        run, "node long, n long, tokens array<long>, enough boolean")
+
+
+def all_prefixes(classes: DataFrame, tokens_of, percent: int, store: Scratch) -> list[DataFrame]:
+    """Tables (node, n, tokens, enough): the longest prefix of every class, rare tokens first,
+    in the rows that have enough."""
+    common = classes.sparkSession.sparkContext.broadcast(frequent(classes))
+    ordered = store.write(rare_first(classes, common, percent))
+    lacking = ordered.where("NOT enough").select("node", "n")
+    if not lacking.limit(1).count():
+        return [ordered]
+    whole = tokens_of(lacking.select("node"))
+    rest = store.write(rare_first(whole.join(lacking, "node"), common, percent))
+    store.drop(whole)
+    return [ordered, rest]
+
+
+def first_level(classes: DataFrame, tokens_of, percent: int, store: Scratch
+                ) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b, hits) and members (g, node, n) of hot groups.
 
     Pairs come from short lists with adaptive L; of a hot list, each holder is paired
     with the list's first one only.
     """
     base = f"(n - ceil({percent} * n / 100))"
-    prefix = F.expr(f"slice(tokens, 1, cast({base} + {LEVELS_OF_MATCH} as int))")
-    postings = classes.select("node", "n", prefix.alias("tokens")).select(
+    prefixes = all_prefixes(classes, tokens_of, percent, store)
+    postings = reduce(DataFrame.union, prefixes).where("enough").select(
         "node", "n", F.element_at("tokens", -1).alias("reach"), F.posexplode("tokens"))
     postings = postings.withColumnRenamed("col", "token")
     lists = store.write(postings.groupBy("token").agg(
@@ -163,18 +216,21 @@ def first_level(classes: DataFrame, percent: int, store: Scratch) -> tuple[DataF
         (F.col(f"s{k}") * (1 + VERIFY_COST / k)).alias("cost"), F.lit(k).alias("need")))
         for k in range(1, LEVELS_OF_MATCH + 1)]
     need = costs.select("node", F.array_min(F.array_compact(F.array(*options)))["need"].alias("need"))
-    short = shared.where(F.col("c") <= HOT).join(need, "node").where(
-        f"pos < {base} + need").withColumn("inside", F.lit(False))
+    short = shared.where(F.col("c") <= HOT).join(need, "node").where(f"pos < {base} + need")
     hot = shared.where((F.col("c") > HOT) & (F.col("node") != F.col("pivot")))
     stars = hot.groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(
         F.count(F.lit(1)).alias("hits"))
+    left, right = (short.select(
+        "token", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("need").alias(f"need_{x}"))
+        for x in "ab")
     pairs = store.write(
-        list_pairs(short, ["token"], percent).groupBy("a", "b")
+        left.join(right, "token").where(
+            (F.col("a") < F.col("b")) & F.expr(close_sizes("na", "nb", percent)))
+        .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("hits"), F.min(F.least("need_a", "need_b")).alias("need"))
         .where("hits >= need").select("a", "b", "hits").union(stars))
-    members = store.write(shared.where(F.col("c") > HOT).select(
-        "g", "node", "n", F.lit(0).alias("deep")).distinct())
-    store.drop(shared, lists)
+    members = store.write(shared.where(F.col("c") > HOT).select("g", "node", "n").distinct())
+    store.drop(shared, lists, *prefixes)
     return pairs, members
 
 
@@ -208,32 +264,47 @@ def group_counts(members: DataFrame, least: int) -> DataFrame:
 
 
 def differences(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
-    """(g, node, n, deep, f, d, enough) of (g, node, n, deep, tokens).
+    """(g, node, n, root, size, f, d) of (g, node, n, root, tokens).
 
-    ``tokens`` may be the smallest ones of a set only; the difference is then known
-    up to the last of them, which is enough if it holds a whole prefix.  ``f`` is
-    the slack; without all tokens it is null, as such a difference is too long for
-    a certain link.
+    ``size`` is that of the difference, ``f`` its slack and ``d`` its prefix: tokens that
+    the centre lacks, then those that the member lacks.
     """
-    none = F.array().cast("array<long>")
-    whole, centre = F.col("whole"), F.col("centre")
-    near = members.join(centres, "g", "left").select(
-        "g", "node", "n", "deep", "tokens", (F.size("tokens") == F.col("n")).alias("whole"),
-        F.coalesce("centre", none).alias("centre"))
-    near = near.withColumn("last", F.element_at("tokens", -1)).withColumn(
-        "centre", F.when(whole, centre).otherwise(F.filter(centre, lambda t: t <= F.col("last"))))
-    near = near.withColumn("d", F.sort_array(F.concat(
-        F.array_except("tokens", "centre"), F.array_except("centre", "tokens"))))
-    # o >= |D| - (100 - T) / (100 + T) * (1 + 100 / T) * n = |D| - (100 - T) / T * n
-    prefix = f"cast(floor({100 - percent} * n / {percent}) + 1 as int)"
+    centre = F.coalesce("centre", F.array().cast("array<long>"))
+    d = F.concat(F.sort_array(F.array_except("tokens", centre)),
+                 F.sort_array(F.array_except(centre, "tokens")))
+    near = members.join(centres, "g", "left").select("g", "node", "n", "root", d.alias("d"))
+    # the first shared token is at most at place (100 - T) / (100 + T) * (1 + 100 / T) * n
     return near.select(
-        "g", "node", "n", "deep",
-        F.when(whole, F.size("d") * (100 + percent) - F.col("n") * (100 - percent)).alias("f"),
-        F.expr(f"slice(d, 1, {prefix})").alias("d"),
-        F.expr(f"whole OR size(d) >= {prefix}").alias("enough"))
-
-
-def centre_level(members: DataFrame, rows: int, tokens_of, percent: int, merged: bool, store: Scratch
+        "g", "node", "n", "root", F.size("d").cast("long").alias("size"),
+        (F.size("d") * (100 + percent) - F.col("n") * (100 - percent)).alias("f"),
+        F.expr(f"slice(d, 1, cast(floor({100 - percent} * n / {percent}) + 1 as int))").alias("d"))
+
+
+def near_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that hold a token of their differences at places
+    where the first one of similar sets may be."""
+    left, right = (shared.select(
+        "g", "token", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"),
+        F.col("inside").alias(f"in_{x}"), F.col("pos").alias(f"i{x}"),
+        (F.col("size") - F.col("pos")).alias(f"left_{x}")) for x in "ab")
+    return left.join(right, ["g", "token"]).where(
+        (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & ~(F.col("in_a") & F.col("in_b"))
+        & F.expr(close_sizes("na", "nb", percent))
+        & F.expr(f"{100 + percent} * (ia + ib + abs(left_a - left_b)) <= {100 - percent} * (na + nb)")
+    ).select("a", "b").distinct()
+
+
+def open_lists(postings: DataFrame) -> DataFrame:
+    """(g, token, c, lo, most, to) of tokens that members of different components hold,
+    not all of them linked to the best member."""
+    return postings.groupBy("g", "token").agg(
+        F.count(F.lit(1)).alias("c"), F.min("pos").alias("lo"), F.max("n").alias("most"),
+        F.max("reach").alias("to"), F.min("root").alias("_low"), F.max("root").alias("_high"),
+        F.min("inside").alias("_closed")).where("_low <> _high AND NOT _closed").drop(
+        "_low", "_high", "_closed")
+
+
+def centre_level(members: DataFrame, rows: int, percent: int, merged: bool, store: Scratch
                  ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(certain links, candidate pairs, members of the next level's groups).
 
@@ -245,58 +316,46 @@ def centre_level(members: DataFrame, rows: int, tokens_of, percent: int, merged:
     centres = store.write(
         group_counts(members, 2 if merged else 1).join(sizes, "g").where("2 * cnt > m")
         .groupBy("g").agg(F.array_agg("token").alias("centre")), rows, SETS_PER_TASK)
-    known = store.write(differences(members, centres, percent), rows, SETS_PER_TASK)
-    lacking = members.select("g", "node", "n", F.lit(1).alias("deep")).join(
-        known.where("NOT enough").select("g", "node"), ["g", "node"], "left_semi")
-    fetched = tokens_of(known.where("NOT enough").select("node").distinct())
-    rest = store.write(differences(lacking.join(fetched, "node"), centres, percent),
-                       rows, SETS_PER_TASK)
-    store.drop(fetched, centres)
-    near = known.where("enough").unionByName(rest).drop("enough")
-    best = store.write(near.where("f IS NOT NULL").groupBy("g").agg(
-        F.min(F.struct("f", "node")).alias("best")))
+    near = store.write(differences(members, centres, percent), rows, SETS_PER_TASK)
+    best = store.write(near.groupBy("g").agg(F.min(F.struct("f", "node")).alias("best")))
     # inside: linked to the best member for certain, so pairs of such members add nothing
-    near_best = near.join(best, "g", "left").withColumn(
-        "inside", F.expr("coalesce(f + best.f <= 0, false)"))
+    near_best = near.join(best, "g", "left").withColumn("inside", F.expr("f + best.f <= 0"))
     links = store.write(near_best.where("inside AND node <> best.node").select(
         F.col("best.node").alias("a"), F.col("node").alias("b")), rows)
-    postings = near_best.select("g", "node", "n", "deep", "inside",
-                                F.element_at("d", -1).alias("reach"), F.explode("d").alias("token"))
-    lists = store.write(postings.groupBy("g", "token").agg(
-        F.count(F.lit(1)).alias("c"), F.max("reach").alias("to")).where("c > 1"))
-    shared = store.write(postings.join(sent(lists, BROADCAST_LISTS), ["g", "token"])
-                         .withColumn("need", F.lit(1)))
-    pairs = store.write(list_pairs(shared.where(F.col("c") <= HOT), ["g", "token"], percent)
-                        .select("a", "b").distinct())
+    postings = near_best.select(
+        "g", "node", "n", "root", "size", "inside", F.element_at("d", -1).alias("reach"),
+        F.posexplode("d").alias("pos", "token"))
+    lists = store.write(open_lists(postings))
+    # holders that may have a partner: none comes before the list's first place
+    some = store.write(postings.join(sent(lists, BROADCAST_LISTS), ["g", "token"]).where(
+        F.expr(f"{100 + percent} * (pos + lo) <= {100 - percent} * (n + least(most, 100 * n / {percent}))")
+    ).drop("c", "lo", "most", "to"))
+    still = store.write(open_lists(some).drop("lo", "most"))
+    shared = store.write(some.join(sent(still, BROADCAST_LISTS), ["g", "token"]))
+    pairs = store.write(near_pairs(shared.where(F.col("c") <= HOT), percent))
     deeper = store.write(shared.where(F.col("c") > HOT).select(
-        F.xxhash64("g", "to" if merged else "token").alias("g"), "node", "n", "deep").groupBy(
-        "g", "node", "n").agg(F.max("deep").alias("deep")))
-    store.drop(known, rest, best, lists, shared)
+        F.xxhash64("g", "to" if merged else "token").alias("g"), "node", "n", "root").distinct())
+    store.drop(centres, near, best, lists, some, still, shared)
     return links, pairs, deeper
 
 
-def by_centres(members: DataFrame, heads: DataFrame | None, tokens_of, percent: int, store: Scratch
+def by_centres(members: DataFrame, tokens_of, percent: int, store: Scratch
                ) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(certain links, candidate pairs) of groups (g, node, n, deep), level by level.
-
-    ``heads`` holds the smallest tokens (node, tokens); where they did not reach once
-    (deep = 1), all tokens are used from then on.
-    """
+    """(certain links, candidate pairs) of groups (g, node, n, root), level by level."""
     all_links, all_pairs, level = [], [], 0
     members = store.write(members)
+    if not members.limit(1).count():
+        return all_links, all_pairs
+    tokens = tokens_of(members.select("node").distinct())
     while rows := members.count():
-        deep = tokens_of(members.where("deep = 1").select("node").distinct())
-        headed = members.where("deep = 1").join(deep, "node")
-        if heads is not None:
-            shallow = sent(members.where("deep = 0"), BROADCAST_ROWS)
-            headed = headed.unionByName(heads.select("node", "tokens").join(shallow, "node"))
         links, pairs, deeper = centre_level(
-            headed, rows, tokens_of, percent, level < MERGED_LEVELS, store)
-        store.drop(deep, members)
+            members.join(tokens, "node"), rows, percent, level < MERGED_LEVELS, store)
+        store.drop(members)
         members = deeper
         all_links.append(links)
         all_pairs.append(pairs)
         level += 1
+    store.drop(tokens)
     return all_links, all_pairs
 
 
@@ -356,11 +415,11 @@ def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def undecided(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the groups that lie in more than one component."""
-    root = F.coalesce("root", "node")
-    open_ = members.join(labels, "node", "left").groupBy("g").agg(
-        F.min(root).alias("lo"), F.max(root).alias("hi")).where("lo <> hi")
-    return members.join(open_, "g", "left_semi")
+    """Members (g, node, n, root) of the groups that lie in more than one component."""
+    named = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = named.groupBy("g").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return named.join(open_, "g", "left_semi").select("g", "node", "n", "root")
 
 
 def merged_roots(labels: DataFrame, links: list[DataFrame], store: Scratch) -> DataFrame:
@@ -453,14 +512,13 @@ def link(docs: DataFrame, id_column: str, text: str, width: int = 3, percent: in
     rows = keyed(docs, id_column, text)
     named, classes = split_classes(scan(rows, width, percent, whole=False), store)
     tokens = Tokens(rows, classes, width, percent, store)
-    heads = classes.select("node", "n", "tokens")
-    pairs, members = first_level(classes, percent, store)
+    pairs, members = first_level(classes, tokens.of, percent, store)
     # a set and the one that it shares most tokens with first; then what is not linked by that
     best = pairs.groupBy(F.col("b").alias("y")).agg(F.max_by("a", "hits").alias("a")).select(
         "a", F.col("y").alias("b"))
     labels = components(tokens.confirm(best), store)
-    certain, more = by_centres(undecided(members, labels), heads, tokens.of, percent, store)
-    candidates = reduce(DataFrame.union, [pairs.select("a", "b"), *more]).distinct()
-    late = tokens.confirm(crossing(candidates, labels))
+    certain, more = by_centres(undecided(members, labels), tokens.of, percent, store)
+    candidates = reduce(DataFrame.union, [crossing(pairs.select("a", "b"), labels), *more])
+    late = tokens.confirm(candidates.distinct())
     store.drop(classes, pairs, members, *more)
     return labelled(named, merged_roots(labels, [late, *certain], store), id_column)

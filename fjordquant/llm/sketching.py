@@ -132,16 +132,16 @@ def near_duplicates(docs: DataFrame, id_column: str, text: str, width: int = 5,
     pairs = left.where("NOT main_a").join(right, "bucket").where(
         (F.col("main_b") | (F.col("a") < F.col("b"))) & (F.col("ra") != F.col("rb"))
         & F.expr(jaccard.close_sizes("na", "nb", percent))).select("a", "b")
-    large = store.write(rest.where("large").select("bucket", "node", "n"))
+    large = store.write(rest.where("large").select("bucket", "node", "n", "root"))
     certain = []
     if large.limit(1).count():
         # large buckets that share a set are one group, so every set is in one group only
         group = jaccard.components(
             large.select(F.col("bucket").alias("a"), F.col("node").alias("b")), store)
-        members = large.select("node", "n").distinct().join(group, "node").select(
-            F.col("root").alias("g"), "node", "n", F.lit(1).alias("deep"))
-        certain, more = jaccard.by_centres(members, None, tokens.of, percent, store)
-        pairs = reduce(DataFrame.union, [pairs, *(jaccard.crossing(p, labels) for p in more)])
+        members = large.select("node", "n", F.col("root").alias("r")).distinct().join(
+            group, "node").select(F.col("root").alias("g"), "node", "n", F.col("r").alias("root"))
+        certain, more = jaccard.by_centres(members, tokens.of, percent, store)
+        pairs = reduce(DataFrame.union, [pairs, *more])
     late = tokens.confirm(pairs.distinct())
     store.drop(classes, rest, large)
     roots = jaccard.merged_roots(labels, [late, *certain], store)

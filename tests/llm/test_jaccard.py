@@ -80,5 +80,23 @@ def test_hot_tokens_go_through_centres(spark, monkeypatch):
     assert got(spark, rows) == brute(rows)
 
 
+def test_documents_that_share_a_passage_form_no_group(spark, monkeypatch):
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(20)]
+    rows = [(k, " ".join([f"d{k}w{i}" for i in range(rng.randint(30, 60))] + passage
+                         + [f"d{k}v{i}" for i in range(30)])) for k in range(40)]
+    rows += [(100, rows[7][1] + " end"), (101, rows[9][1] + " more")]
+    members, real = [], jaccard.by_centres
+
+    def spy(groups, *rest):
+        members.append(groups.count())
+        return real(groups, *rest)
+
+    monkeypatch.setattr(jaccard, "HOT", 3)
+    monkeypatch.setattr(jaccard, "by_centres", spy)
+    assert got(spark, rows) == brute(rows)
+    assert members == [0]
+
+
 def test_empty_table(spark):
     assert got(spark, []) == []
