@@ -72,6 +72,28 @@ def test_large_buckets_of_scattered_copies(spark, monkeypatch):
     assert got(spark, rows) == brute(rows)
 
 
+def test_few_candidates_among_scattered_copies(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"v{i}" for i in range(150)]
+    rows = []
+    for k in range(120):  # some 0.76 alike, so no two are linked but by chance
+        copy = list(base)
+        for at in rng.sample(range(150), 2):
+            copy[at] = f"x{k}"
+        rows.append((k, " ".join(copy)))
+    candidates, real = [], jaccard.by_centres
+
+    def spy(*args):
+        links, pairs = real(*args)
+        candidates.append(sum(p.count() for p in pairs))
+        return links, pairs
+
+    monkeypatch.setattr(sketching, "PARTNERS", 1)
+    monkeypatch.setattr(jaccard, "by_centres", spy)
+    assert got(spark, rows) == brute(rows)
+    assert candidates and candidates[0] < 8 * len(rows)
+
+
 def test_empty_table(spark):
     assert got(spark, []) == []
 
