@@ -102,6 +102,25 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
         run, "key long, id long, node long, n long, bands array<long>, bits array<long>")
 
 
+def bucket_groups(large: DataFrame, store: Scratch) -> DataFrame:
+    """Members (g, node, n, root) of the groups of (bucket, all, node, n, root); ``all`` is
+    the size of a bucket.
+
+    Buckets that share a set are one group, so every set is in one group only.  A set
+    links each of its buckets to its largest one; as near copies share the largest
+    buckets, few of these links differ, and only those are followed.
+    """
+    first = store.write(large.groupBy("node").agg(
+        F.min("n").alias("n"), F.min("root").alias("root"),
+        F.max(F.struct("all", "bucket"))["bucket"].alias("first")))
+    links = large.join(first.select("node", "first"), "node").where("bucket <> first").select(
+        F.col("first").alias("a"), F.col("bucket").alias("b")).distinct()
+    group = jaccard.components(links, store).select(F.col("node").alias("first"), F.col("root").alias("g"))
+    # a bucket without a link is a group of its own
+    return first.join(group, "first", "left").select(
+        F.coalesce("g", "first").alias("g"), "node", "n", "root")
+
+
 def near_duplicates(docs: DataFrame, id_column: str, text: str, width: int = 5, percent: int = 85
                     ) -> DataFrame:
     """(id_column, n_shingles, component_id, kept) of every row of ``docs``."""
@@ -132,15 +151,10 @@ def near_duplicates(docs: DataFrame, id_column: str, text: str, width: int = 5,
     pairs = left.where("NOT main_a").join(right, "bucket").where(
         (F.col("main_b") | (F.col("a") < F.col("b"))) & (F.col("ra") != F.col("rb"))
         & F.expr(jaccard.close_sizes("na", "nb", percent))).select("a", "b")
-    large = store.write(rest.where("large").select("bucket", "node", "n", "root"))
+    large = store.write(rest.where("large").select("bucket", "all", "node", "n", "root"))
     certain = []
     if large.limit(1).count():
-        # large buckets that share a set are one group, so every set is in one group only
-        group = jaccard.components(
-            large.select(F.col("bucket").alias("a"), F.col("node").alias("b")), store)
-        members = large.select("node", "n", F.col("root").alias("r")).distinct().join(
-            group, "node").select(F.col("root").alias("g"), "node", "n", F.col("r").alias("root"))
-        certain, more = jaccard.by_centres(members, tokens.of, percent, store)
+        certain, more = jaccard.by_centres(bucket_groups(large, store), tokens.of, percent, store)
         pairs = reduce(DataFrame.union, [pairs, *more])
     late = tokens.confirm(pairs.distinct())
     store.drop(classes, rest, large)

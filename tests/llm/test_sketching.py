@@ -5,6 +5,7 @@ import pytest
 
 from fjordquant.llm import jaccard, sketching
 from fjordquant.llm import textscan as S
+from fjordquant.llm.common import Scratch
 from tests.llm.test_jaccard import WORD, fixture, lower
 
 
@@ -94,6 +95,34 @@ def test_few_candidates_among_scattered_copies(spark, monkeypatch):
     assert candidates and candidates[0] < 8 * len(rows)
 
 
+def test_groups_of_large_buckets_follow_few_links(spark, monkeypatch):
+    followed, real = [], jaccard.components
+
+    def spy(edges, store):
+        followed.append(edges.count())
+        return real(edges, store)
+
+    monkeypatch.setattr(sketching, "PARTNERS", 1)
+    monkeypatch.setattr(jaccard, "components", spy)
+    rows = edited(7, 150, 150, 6)
+    assert got(spark, rows) == brute(rows)
+    # of near copies, of large buckets, of late links: none holds a row for each bucket of a set
+    assert len(followed) == 3 and max(followed) < 4 * len(rows)
+
+
+def test_bucket_groups_are_those_linked_by_a_set(spark):
+    large = spark.createDataFrame(
+        [(1, 10), (2, 10), (2, 11), (3, 11), (1, 12), (7, 20), (7, 21), (9, 30), (8, 30), (8, 31)],
+        "bucket long, node long").selectExpr(
+            "bucket", "count(*) over (partition by bucket) all", "node", "node + 100 n", "node root")
+    found = sketching.bucket_groups(large, Scratch(spark)).select("g", "node", "n", "root")
+    groups = {}
+    for g, node, n, root in found.collect():
+        assert (n, root) == (node + 100, node)
+        groups.setdefault(g, []).append(node)
+    assert sorted(map(sorted, groups.values())) == [[10, 11, 12], [20, 21], [30, 31]]
+
+
 def test_empty_table(spark):
     assert got(spark, []) == []
 
