@@ -128,11 +128,17 @@ class LabelModel:
     right_on_poor: tuple[float, ...]
 
     def posterior(self, votes: list[Column]) -> Column:
-        odds = F.lit(math.log(self.fine / (1 - self.fine)))
+        # weights are looked up by the vote and not spelled out: numbers are written into the
+        # generated code, so every round of the fit would be compiled anew
+        odds, prior = None, math.log(self.fine / (1 - self.fine))
         for v, a, b in zip(votes, self.right_on_fine, self.right_on_poor):
-            odds = odds + F.when(v == 1, F.lit(math.log(a / (1 - b)))).when(
-                v == -1, F.lit(math.log((1 - a) / b))).otherwise(0.0)
-        return 1 / (1 + F.exp(-odds))
+            weights = [math.log((1 - a) / b), 0.0, math.log(a / (1 - b))]
+            if odds is None:
+                weights = [prior + w for w in weights]
+            place = F.when(v == 1, 2).when(v == -1, 0).otherwise(1)
+            weight = F.get(F.array(*[F.lit(w) for w in weights]), place)
+            odds = weight if odds is None else odds + weight
+        return 1 / (1 + F.exp(-(F.lit(prior) if odds is None else odds)))
 
 
 def first_model(rules: int) -> LabelModel:
@@ -146,15 +152,18 @@ def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> LabelModel:
     rule, reach the driver.
     """
     patterns = materialise(votes.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")))
-    model = first_model(len(names))
+    model, posterior = first_model(len(names)), fresh(patterns, "_p")[0]
+    p, n = F.col(posterior), F.col("_n")
+    sums = [F.sum(n), F.sum(n * p)]
+    for v in names:
+        cast, on = F.col(v) != 0, F.col(v)
+        sums += [F.sum(F.when(on == 1, n * p)), F.sum(F.when(cast, n * p)),
+                 F.sum(F.when(on == -1, n * (1 - p))), F.sum(F.when(cast, n * (1 - p)))]
+    sums = [s.alias(f"_s{i}") for i, s in enumerate(sums)]
     for _ in range(rounds):
-        p, n = model.posterior([F.col(v) for v in names]), F.col("_n")
-        sums = [F.sum(n), F.sum(n * p)]
-        for v in names:
-            cast, on = F.col(v) != 0, F.col(v)
-            sums += [F.sum(F.when(on == 1, n * p)), F.sum(F.when(cast, n * p)),
-                     F.sum(F.when(on == -1, n * (1 - p))), F.sum(F.when(cast, n * (1 - p)))]
-        row = patterns.agg(*[s.alias(f"_s{i}") for i, s in enumerate(sums)]).first()
+        # a column of its own, so that the sums do not each work it out
+        weighed = patterns.withColumn(posterior, model.posterior([F.col(v) for v in names]))
+        row = weighed.agg(*sums).first()
         if not row[0]:
             break
         weight = PRIOR_WEIGHT * row[0]
