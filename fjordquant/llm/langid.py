@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,7 @@ REJECT_SLACK = 1.5
 REJECT_FLOOR = 0.5         # nats per symbol above a language's mean that always pass
 SHORT = 40.0               # texts of about this many symbols vary twice as much
 MERGE_EVERY = 24
+SLICE_BYTES = 1 << 18      # text worked on at once; its arrays take some 60 bytes a symbol
 UNKNOWN = "und"
 
 
@@ -90,6 +92,13 @@ def gram_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return codes[predicted], seen[first]
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Small pieces of the batches.  Workers outlive their tasks, so what the last piece
+    held goes back to the system."""
+    yield from S.slices(batches, text, SLICE_BYTES)
+    pa.default_memory_pool().release_unused()
+
+
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike("\\p{L}"), F.lit(False))
 
@@ -103,7 +112,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
             keys, where = np.unique(np.concatenate([k for k, _ in items]), return_inverse=True)
             return keys, np.bincount(where, np.concatenate([n for _, n in items])).astype(np.int64)
 
-        for batch in S.slices(batches, "text"):
+        for batch in slices(batches, "text"):
             codes, first = gram_codes(batch.column(0))
             names, which = np.unique(np.array(batch.column(1).to_pylist(), object).astype(str),
                                      return_inverse=True)
@@ -114,6 +123,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
                 own.append((keys, n))
                 if len(own) >= MERGE_EVERY:
                     own[:] = [merged(own)]
+            del batch
         for name, own in parts.items():
             keys, n = merged(own)
             yield pa.RecordBatch.from_arrays(
@@ -282,6 +292,11 @@ def calibrate_rows(scored: DataFrame) -> Calibration:
 def predict(df: DataFrame, text: str, model: Model, calibration: Calibration | None
             ) -> DataFrame:
     """Attach lang_pred, score, accepted, and the raw gap, entropy and symbol count."""
+    return predict_shared(df, text, df.sparkSession.sparkContext.broadcast((model, calibration)))
+
+
+def predict_shared(df: DataFrame, text: str, shared: Broadcast) -> DataFrame:
+    """As ``predict``, by a broadcast (model, calibration) that the caller may destroy."""
     clean = df.drop("lang_pred", "score", "accepted", "gap", "entropy", "symbols")
     letters = fresh(clean, "_letters")[0]
     source = clean.select(*clean.columns, has_letter(F.col(text)).alias(letters))
@@ -290,12 +305,11 @@ def predict(df: DataFrame, text: str, model: Model, calibration: Calibration | N
     for name, kind in (("lang_pred", "string"), ("score", "double"), ("accepted", "boolean"),
                        ("gap", "double"), ("entropy", "double"), ("symbols", "long")):
         schema = schema.add(name, kind)
-    shared = df.sparkSession.sparkContext.broadcast((model, calibration))
     out_names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, calibration = shared.value
-        for batch in S.slices(batches, text):
+        for batch in slices(batches, text):
             codes, first = gram_codes(batch.column(place))
             size = np.diff(first)
             known = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
@@ -321,6 +335,7 @@ def predict(df: DataFrame, text: str, model: Model, calibration: Calibration | N
                  pa.array(accepted), pa.array(gap), pa.array(entropy),
                  pa.array(size.astype(np.int64))],
                 out_names)
+            del batch
 
     return source.mapInArrow(run, schema)
 
@@ -363,8 +378,10 @@ def train(df: DataFrame, key: str, text: str, lang: str) -> tuple[Model, Calibra
     for k in sorted({k for own in parts.values() for k in own}):
         others = fitted(k)
         if others.languages:
-            part = materialise(predict(rows.where(fold == k), "text", others, None).select(
+            shared = df.sparkSession.sparkContext.broadcast((others, None))
+            part = materialise(predict_shared(rows.where(fold == k), "text", shared).select(
                 "lang", "lang_pred", "gap", "entropy", "symbols"))
+            shared.destroy()  # its rows are written; else every fold's model stays in the executors
             scored = part if scored is None else scored.unionByName(part)
     if scored is None:
         return model, calibrate([])

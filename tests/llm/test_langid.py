@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -138,3 +139,57 @@ def test_every_training_row_calibrates(spark, monkeypatch):
     for x in ("aa", "bb"):
         assert math.isclose(driver.mean[x], spread.mean[x], rel_tol=1e-9)
         assert math.isclose(driver.limit[x], spread.limit[x], rel_tol=1e-9)
+
+
+def test_workers_hold_small_pieces(monkeypatch):
+    """The arrays of a task do not grow with its batch beyond the batch itself."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(2000)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["aa"] * len(texts))],
+                                       ["text", "lang"])
+    seen = []
+
+    class Rows:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            seen.append(run)
+            return self
+
+        def groupBy(self, *names):
+            return self
+
+        def agg(self, *sums):
+            return self
+
+    class Sum:
+        def __init__(self, name):
+            pass
+
+        def alias(self, name):
+            return name
+
+    monkeypatch.setattr(L.F, "sum", Sum)
+    L.count_grams(Rows())
+    L.symbol_table()
+    tracemalloc.start()
+    out = list(seen[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    codes = L.gram_codes(batch.column(0))[0]
+    keys, n = np.unique(codes, return_counts=True)
+    assert out[0].column("gram").to_numpy().tolist() == keys.tolist()
+    assert out[0].column("n").to_numpy().tolist() == n.tolist()
+    assert peak < 30e6, peak
+
+
+def test_models_of_the_folds_leave_the_executors(spark, monkeypatch):
+    rows = [(i, f"word{'abcdefgh'[i % 8]} other", "aa") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    made, broadcast = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast",
+                        lambda value: made.append(broadcast(value)) or made[-1])
+    L.train(df, "doc_id", "text", "lang")
+    assert len(made) == L.FOLDS
+    assert not any(b._jbroadcast.isValid() for b in made)
